@@ -14,10 +14,10 @@ LEAST = 0.4
 
 
 def claim_texts(claims: DataFrame) -> DataFrame:
-    """note_id, model, text: entity, value, evidence of more than one character, and entity with value."""
+    """Distinct note_id, model, text: entity, value, evidence of more than one character, and entity with value."""
     e, v, s = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("entity", "value", "evidence"))
     parts = F.filter(F.array(e, v, s, F.trim(F.concat(e, F.lit(" "), v))), lambda x: F.length(x) > 1)
-    return claims.select("note_id", "model", F.explode(F.array_distinct(parts)).alias("text"))
+    return claims.select("note_id", "model", F.explode(F.array_distinct(parts)).alias("text")).distinct()
 
 
 def match_pairs(found: DataFrame, gold: DataFrame, extra: list[str]) -> DataFrame:

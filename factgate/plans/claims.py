@@ -245,3 +245,5 @@ def e13_pivot(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (f01_normalize, f06_identifiers, f10_types, w13_union, e06_consensus, v11_cleaning, sel08_drops, v14_kept, v02_grounding, v03_ontology, v04_schema, v05_temporal, v06_contradiction, v07_trust, sel05_gate, a03_layers, v10_fused, f27_perturbed, f03_match, j06_pairs, j07_blocked, e01_scores, u05_subsets, e04_misses, a18_recurring, e08_quality, e07_failures, e10_curve, c04_ece, c04_bins, c05_scores, w05_curve, c06_aurc, w07_coverage, c07_bands, o05_held, c02_boosted, e13_pivot)}
+
+from factgate.plans.oracles import CLAIMS as ORACLE  # noqa: E402

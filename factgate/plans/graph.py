@@ -209,3 +209,5 @@ def t10_reified(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (g01_statements, s13_ntriples, g03_merged, g06_depths, g07_conditions, g07_medications, g07_procedures, g07_linked, g07_high_trust, g07_temporal, g07_entity_count, g08_cohorts, g09_summary, g09_treated, g09_most_used, g09_comorbid, g09_dated, g10_report, g05_usage, o06_top_properties, j13_two_hops, g15_nodes, g16_propagated, g17_labels, f20_recency, f18_forms, t01_anchored, t03_timeline, t04_metrics, t05_snapshot, t06_about, t07_changes, t08_relations, t09_stats, t10_reified)}
+
+from factgate.plans.oracles import GRAPH as ORACLE  # noqa: E402

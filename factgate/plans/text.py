@@ -145,3 +145,5 @@ def f35_props(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (w09_first_notes, f17_dates, f14_sections, m01_mentions, f16_candidates, m02_chunks, m06_extracted, f24_negation, e09_keyword, r02_bm25, r03_dense, r08_options, r05_fused, f22_answers, f21_salvage, f35_props)}
+
+from factgate.plans.oracles import TEXT as ORACLE  # noqa: E402
