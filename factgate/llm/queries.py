@@ -11,6 +11,7 @@ from factgate.llm.chunking import split_texts
 from factgate.llm.duplicates import label_copies
 from factgate.llm.mixture import mix
 from factgate.llm.packing import pack, pack_report
+from factgate.llm.perplexity import perplexity_bands
 from factgate.llm.repetition import LEAST_SHARE, repetition_share
 from factgate.llm.splits import assign_splits, note_groups, split_report
 from factgate.llm.tokens import count_tokens
@@ -109,7 +110,11 @@ def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
     return repetition_share(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_report, p4_found, p4_splits, p4_report, p7_found, p7_records, p8_packed, p8_report, p9_mixture, p9_report, p10_found, p10_shares)}
+def p10_perplexity(spark: SparkSession, sf: str) -> DataFrame:
+    return perplexity_bands(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_report, p4_found, p4_splits, p4_report, p7_found, p7_records, p8_packed, p8_report, p9_mixture, p9_report, p10_found, p10_shares, p10_perplexity)}
 
 _BARE = r"coalesce(lower(regexp_replace(regexp_replace(regexp_replace({0}, '(\pN)\.(\pN)', '\1' || chr(1) || '\2', 'g'), '(\pN)\.(\pN)', '\1' || chr(1) || '\2', 'g'), '[^\pL\p{{Nd}}' || chr(1) || ']', '', 'g')), '')"
 _P7 = f"""
