@@ -10,7 +10,10 @@ from factgate.functions.clinical import known_concept
 from factgate.functions.match import grounded, score_normal
 from factgate.functions.text import normalize, tokens
 from factgate.operators.claims import first_of
+from factgate.tables import broadcast_if_small
 
+#: Distinct (kind, attribute) pairs that are broadcast to the claims.
+MAX_PAIRS = 200_000
 WEIGHTS = (0.30, 0.20, 0.15, 0.15, 0.20)
 LAYERS = ("grounding", "ontology", "schema", "temporal", "contradiction")
 
@@ -30,19 +33,27 @@ def grounding(claims: DataFrame, notes: DataFrame) -> DataFrame:
     return df.withColumn("grounding", F.when(F.size(some) == 0, 0.5).otherwise(mean)).drop("nid", "note", "note_tokens")
 
 
-def schema_score(kind: Column, attribute: Column) -> Column:
-    """0.5 for a type without a list, 1.0 if a listed attribute lies in the attribute or the reverse, 0.8 from a match of 0.5, else 0.3.
+def schema_scores(claims: DataFrame) -> DataFrame:
+    """kind, attribute, schema of each distinct pair: 0.5 for a type without a list, 1.0 if a listed attribute lies in the
+    attribute or the reverse, 0.8 from a match of 0.5, else 0.3. The best over all listed attributes counts; an empty
+    attribute is contained in every one.
 
-    The best over all listed attributes counts. An empty attribute is contained in every one.
+    Pairs are scored once, against the fixed list as rows, however many claims hold them.
     """
-    a = normalize(F.coalesce(attribute, F.lit("")))
-    out = F.lit(0.5)
-    for t, names in vocab.VALID_ATTRIBUTES.items():
-        listed = names.split("|")
-        inside = F.coalesce(*[F.when(F.contains(a, F.lit(n)) | F.contains(F.lit(n), a), F.lit(True)) for n in listed], F.lit(False))
-        near = F.exists(F.array(*[F.lit(n) for n in listed]), lambda n: score_normal(a, normalize(n)) >= 0.5)
-        out = F.when(kind == t, F.when(inside, 1.0).when(near, 0.8).otherwise(0.3)).otherwise(out)
-    return out
+    spark = claims.sparkSession
+    listed = spark.createDataFrame([(t, n) for t, names in vocab.VALID_ATTRIBUTES.items() for n in names.split("|")], "listed_kind string, name string")
+    pairs = claims.select("kind", "attribute").distinct().withColumn("a", normalize(F.coalesce("attribute", F.lit(""))))
+    x = pairs.join(F.broadcast(listed), F.col("kind") == F.col("listed_kind"), "left")
+    inside = F.contains(F.col("a"), F.col("name")) | F.contains(F.col("name"), F.col("a"))
+    best = F.when(F.col("name").isNull(), 0.5).when(inside, 1.0).when(score_normal(F.col("a"), normalize(F.col("name"))) >= 0.5, 0.8).otherwise(0.3)
+    return x.groupBy("kind", "attribute").agg(F.max(best).alias("schema"))
+
+
+def with_schema(claims: DataFrame) -> DataFrame:
+    """Adds `schema` by joining the scored pairs; they are broadcast while a count shows them few."""
+    s = schema_scores(claims).select(F.col("kind").alias("s_kind"), F.col("attribute").alias("s_attribute"), "schema")
+    on = F.col("kind").eqNullSafe(F.col("s_kind")) & F.col("attribute").eqNullSafe(F.col("s_attribute"))
+    return claims.join(broadcast_if_small(s, MAX_PAIRS), on, "left").drop("s_kind", "s_attribute")
 
 
 def anchor_date(c: Column) -> Column:
@@ -97,8 +108,8 @@ def contradiction(claims: DataFrame) -> DataFrame:
 
 def validate(claims: DataFrame, notes: DataFrame, as_of: str = "2026-01-01", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """Adds the five layers and `trust`, their weighted sum (4 places)."""
-    df = contradiction(grounding(claims, notes))
-    df = df.withColumns({"ontology": known_concept(F.col("entity"), F.col("kind")), "schema": schema_score(F.col("kind"), F.col("attribute")), "temporal": temporal_score(F.col("anchor"), as_of)})
+    df = with_schema(contradiction(grounding(claims, notes)))
+    df = df.withColumns({"ontology": known_concept(F.col("entity"), F.col("kind")), "temporal": temporal_score(F.col("anchor"), as_of)})
     trust = sum((F.col(c) * w for c, w in zip(LAYERS, weights, strict=True)), F.lit(0.0))
     return df.withColumn("trust", F.round(trust, 4))
 

@@ -9,6 +9,7 @@ from factgate import vocab
 from factgate.functions import clinical, match
 from factgate.functions.text import normalize
 from factgate.operators import calibrate, claims, evaluate, validate
+from factgate.session import cut_lineage
 from factgate.tables import table as t
 
 AS_OF = "2021-06-01"
@@ -74,7 +75,7 @@ def v03_ontology(s: SparkSession, d: str) -> DataFrame:
 
 
 def v04_schema(s: SparkSession, d: str) -> DataFrame:
-    return _claims(s, d).select("kind", "attribute").distinct().select(F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("attribute", F.lit("")).alias("attribute"), F.round(validate.schema_score(F.col("kind"), F.col("attribute")), 6).alias("schema"))
+    return validate.schema_scores(_claims(s, d)).select(F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("attribute", F.lit("")).alias("attribute"), "schema")
 
 
 def v05_temporal(s: SparkSession, d: str) -> DataFrame:
@@ -184,7 +185,7 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
     """Validated claims with a verdict: right if another model agrees on the claim."""
     agreed = claims.consensus(_claims(s, d)).select(F.col("first_claim").alias("cid"), (F.col("n_models") > 1).cast("int").alias("y"))
     v = _validated(s, d).join(agreed, F.col("claim_id") == F.col("cid"))
-    return v.select("claim_id", F.least(F.greatest(F.col("trust"), F.lit(0.0)), F.lit(1.0)).alias("score"), "y", "kind", "entity", "value", "evidence", "anchor", "model", *validate.LAYERS, "trust")
+    return cut_lineage(v.select("claim_id", F.least(F.greatest(F.col("trust"), F.lit(0.0)), F.lit(1.0)).alias("score"), "y", "kind", "entity", "value", "evidence", "anchor", "model", *validate.LAYERS, "trust"))
 
 
 def c04_ece(s: SparkSession, d: str) -> DataFrame:

@@ -255,3 +255,107 @@ SELECT query_id, doc_id, score, place FROM (SELECT *, row_number() OVER (PARTITI
     "f21_salvage": "SELECT CAST(a AS BIGINT) AS note_id, b AS pos, c AS entity, d AS value FROM (VALUES (0, 0, 'a', '1'), (1, 0, 'b', NULL), (2, 0, 'c', NULL), (4, 0, 'e', NULL)) t(a, b, c, d)",
     "f35_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, '{\"k\":' || CAST(json_extract(props, '$.k') AS INT) * 2 || '}' AS doubled FROM events",
 }
+
+
+def type_b(raw: str) -> str:
+    key = rf"regexp_replace(lower(trim({raw})), '[\s_-]', '', 'g')"
+    lines = [(w, ty) for ty, ws in vocab.TYPE_LINES_B for w in ws.split()]
+    first: dict[str, str] = {}
+    for w, ty in lines:
+        first.setdefault(w, ty)
+    partial = " ".join(f"WHEN contains({key}, {q(w)}) OR contains({q(w)}, {key}) THEN {q(ty)}" for w, ty in lines)
+    return f"CASE WHEN coalesce({raw}, '') = '' THEN 'Observation' WHEN {raw} IN ({items(vocab.CORE_TYPES)}) THEN {raw} ELSE coalesce({case(key, first)}, CASE {partial} END, 'Observation') END"
+
+
+_TYPED = "tt AS (SELECT DISTINCT coalesce(fhir_type, '') AS raw, coalesce(attribute, '') AS attribute FROM triples), ty AS (SELECT raw, attribute FROM tt UNION SELECT attribute, attribute FROM tt)"
+_NEG = "CASE " + " ".join(f"WHEN contains(lower(coalesce(value, '')), {q(a)}) THEN regexp_replace(coalesce(value, ''), {q(a)}, {q(b)}, 'gi')" for a, b in vocab.NEGATIONS) + " END"
+_NUM1 = r"regexp_extract(coalesce(value, ''), '\d+\.?\d*', 0)"
+_BANDS = f"""{_SCORED}, dv AS (SELECT * FROM sc WHERE claim_id % 2 = 0), te AS (SELECT * FROM sc WHERE claim_id % 2 = 1),
+dn AS (SELECT *, row_number() OVER w AS rank, 1 - sum(1 - y) OVER w / row_number() OVER w AS prec FROM dv WINDOW w AS (ORDER BY score DESC, claim_id)),
+up AS (SELECT *, row_number() OVER w AS rank, sum(y) OVER w / row_number() OVER w AS prec FROM dv WINDOW w AS (ORDER BY score, claim_id)),
+lo AS (SELECT coalesce(arg_max(score, rank) FILTER (WHERE prec <= 0.15), -0.01) AS tau_low FROM up),
+th AS (SELECT target, coalesce(arg_max(score, rank) FILTER (WHERE prec >= target), 1.01) AS tau_high FROM dn CROSS JOIN (SELECT unnest([0.2, 0.3, 0.5]) AS target) GROUP BY target)"""
+CLAIMS |= {
+    "f10_types": f"WITH {_TYPED} SELECT raw, attribute, {type_a('raw', 'attribute')} AS a, {type_b('raw')} AS b, {type_c('raw')} AS c FROM ty",
+    "f27_perturbed": f"WITH {_C} SELECT claim_id, {_NEG} AS negated, CASE WHEN {_NUM1} <> '' THEN round(CAST(rtrim({_NUM1}, '.') AS DOUBLE) * (2 + claim_id % 9), 1) END AS scaled, {case("coalesce(kind, '')", vocab.TYPE_SWAPS)} AS swapped FROM c",
+    "v10_fused": f"""WITH {_VALID}, j AS (SELECT claim_id, note_id, trust, grounding, (claim_id % 10) / 10.0::DOUBLE AS j FROM v),
+g AS (SELECT claim_id, trust, round(greatest(0, least(1, 0.25::DOUBLE * j + 0.25::DOUBLE * (1 - j) + 0.30::DOUBLE * grounding - 0.20::DOUBLE * (j / 2))), 4) AS agent, row_number() OVER (PARTITION BY note_id ORDER BY abs(trust - 0.5::DOUBLE), claim_id) AS place FROM j)
+SELECT claim_id, agent, place, round(CASE WHEN place <= 5 THEN 0.4::DOUBLE * trust + 0.6::DOUBLE * agent ELSE trust END, 4) AS fused FROM g""",
+    "j07_blocked": f"WITH {_HITS}, ba AS (SELECT DISTINCT note_id, a, f1, t1, unnest(t1) AS t FROM fa), bb AS (SELECT DISTINCT note_id, b, f2, t2, unnest(t2) AS t FROM fb), bp AS (SELECT DISTINCT ba.note_id, a, b, f1, f2, t1, t2 FROM ba JOIN bb ON ba.note_id = bb.note_id AND ba.t = bb.t), bs AS (SELECT note_id, a, b, round({score('a', 'b', 'f1', 'f2', 't1', 't2')}, 6) AS score FROM bp) SELECT * FROM bs WHERE score >= 0.4",
+    "e01_scores": f"""WITH {_HITS}, nf AS (SELECT note_id, model, count(DISTINCT text) AS n_found FROM tx GROUP BY 1, 2), ng AS (SELECT note_id, count(DISTINCT gold) AS n_gold FROM gold GROUP BY 1),
+gt AS (SELECT note_id, model, count(DISTINCT text) AS r, count(DISTINCT gold) AS c FROM hits GROUP BY 1, 2),
+s AS (SELECT nf.model, coalesce(r, 0) / n_found AS p, coalesce(c, 0) / n_gold AS r FROM nf JOIN ng ON ng.note_id = nf.note_id LEFT JOIN gt ON gt.note_id = nf.note_id AND gt.model = nf.model),
+f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM s)
+SELECT model, count(*) AS k, round(avg(p), 4) AS mean_p, round(avg(r), 4) AS mean_r, round(avg(f1), 4) AS mean_f1, round(stddev_pop(f1), 4) AS sd_f1, round(avg(f1) - 1.96 * stddev_pop(f1) / sqrt(count(*)), 4) AS ci_low, round(avg(f1) + 1.96 * stddev_pop(f1) / sqrt(count(*)), 4) AS ci_high FROM f GROUP BY 1""",
+    "a18_recurring": f"WITH {_HITS}, {_MISSED} SELECT {norm('gold')} AS gold, count(DISTINCT note_id) AS n_notes FROM ms GROUP BY 1 HAVING count(DISTINCT note_id) >= 2 ORDER BY n_notes DESC, 1 LIMIT 50",
+    "c07_bands": f"""WITH {_BANDS} SELECT target, tau_high, tau_low, count(*) AS n, count(*) FILTER (WHERE score >= tau_high) AS n_insert, count(*) FILTER (WHERE score < tau_high AND score < tau_low) AS n_reject, count(*) FILTER (WHERE score < tau_high AND score >= tau_low) AS n_review,
+round(sum(y) FILTER (WHERE score >= tau_high) / greatest(count(*) FILTER (WHERE score >= tau_high), 1), 6) AS insert_precision, count(*) FILTER (WHERE score < tau_high AND y = 0) AS n_held_wrong FROM te CROSS JOIN th CROSS JOIN lo GROUP BY ALL""",
+}
+
+_ST = f"""{_G},
+ba AS (SELECT *, trim(coalesce(entity, ''), ' ') AS e, trim(coalesce(value, ''), ' ') AS v, 'patient:' || url_encode({_uri('patient')}) AS pat, 'kg:' || url_encode({_uri("coalesce(entity, '')")}) AS ent, {type_c('kind')} AS tc, {code("coalesce(entity, '')")} AS cd FROM cl),
+bo AS (SELECT * FROM ba WHERE e <> '' AND v <> ''),
+st AS (SELECT pat AS s, 'rdf:type' AS p, 'fhir:Patient' AS o, 'uri' AS o_kind FROM ba UNION SELECT pat, 'rdfs:label', patient, 'string' FROM ba
+  UNION SELECT ent, 'rdf:type', 'fhir:' || tc, 'uri' FROM bo WHERE tc IN ({items(vocab.CORE_TYPES)}) UNION SELECT ent, 'rdfs:label', e, 'string' FROM bo
+  UNION SELECT ent, 'owl:sameAs', cd, 'uri' FROM bo WHERE cd IS NOT NULL UNION SELECT ent, 'kg:ontologyCode', cd, 'string' FROM bo WHERE cd IS NOT NULL
+  UNION SELECT ent, CASE WHEN trim(coalesce(attribute, ''), ' ') = '' THEN 'kg:hasValue' ELSE 'kg:' || url_encode({_uri("coalesce(attribute, '')")}) END, v, CASE WHEN regexp_matches(v, '^[+-]?[0-9]+(\\.[0-9]+)?$') THEN 'float' ELSE 'string' END FROM bo
+  UNION SELECT pat, 'kg:hasEntity', ent, 'uri' FROM bo UNION SELECT ent, 'kg:evidenceSpan', left(evidence, 200), 'string' FROM bo WHERE coalesce(evidence, '') <> ''
+  UNION SELECT ent, 'kg:trustScore', printf('%.4f', trust), 'float' FROM bo UNION SELECT ent, 'kg:temporalAnchor', anchor, 'string' FROM bo WHERE lower(coalesce(anchor, '')) NOT IN ('', 'null', 'none')),
+en AS (SELECT s AS entity, o AS label FROM st WHERE p = 'rdfs:label' AND starts_with(s, 'kg:')), pe AS (SELECT s AS patient, o AS entity FROM st WHERE p = 'kg:hasEntity'),
+pl AS (SELECT patient, pe.entity, label FROM pe JOIN en ON en.entity = pe.entity)"""
+
+
+def _class(k: str) -> str:
+    return f"SELECT patient, entity, label FROM pl WHERE entity IN (SELECT s FROM st WHERE p = 'rdf:type' AND o = 'fhir:{k}')"
+
+
+_NEO, _TREAT = f"(?i)({vocab.CANCER}|polyposis)", f"(?i)({vocab.CHEMO}|(cetrol|zolac|pramil|vast|fendor|quast|pride)$)"
+_BOTH = f"""{_ST}, di AS (SELECT patient, min(label) AS diagnosis FROM ({_class('Condition')}) WHERE regexp_matches(label, {q(_NEO)}) GROUP BY 1),
+tr AS (SELECT patient, array_to_string(list_sort(list(DISTINCT label)), ', ') AS treatments FROM ({_class('MedicationStatement')}) WHERE regexp_matches(label, {q(_TREAT)}) GROUP BY 1)"""
+_USE = """r2 AS (SELECT predicate, subject, CASE """ + " ".join(f"WHEN contains(subject, {q(w)}) THEN {q(c)}" for w, c in vocab.CLASS_WORDS) + """ ELSE coalesce(subject_type, 'Resource') END AS st FROM r),
+uc AS (SELECT predicate, st, count(*) AS n FROM r2 GROUP BY 1, 2), us AS (SELECT predicate, CAST(sum(n) AS BIGINT) AS n, arg_min(st, (-n, st)) AS domain, 'Value' AS range FROM uc GROUP BY 1)"""
+_HOPS = """ed AS (SELECT subject AS src, object AS dst FROM r WHERE note_id IS NOT NULL), bt AS (SELECT src AS k, src, dst, dst AS nx FROM ed UNION ALL SELECT dst, src, dst, src FROM ed),
+s0 AS (SELECT DISTINCT lower(canon_name) AS k FROM canon_items WHERE item_kind = 'condition' AND ref_id % 100 = 0), h1 AS (SELECT * FROM bt WHERE k IN (SELECT k FROM s0)),
+s1 AS (SELECT DISTINCT nx AS k FROM h1 WHERE length(nx) >= 3 AND nx NOT IN (SELECT k FROM s0))"""
+_NODES = GRAPH["g15_nodes"].rsplit("SELECT node", 1)[0]
+GRAPH |= {
+    "g01_statements": f"WITH {_ST} SELECT * FROM st",
+    "g03_merged": f"WITH {_ST}, ms AS (SELECT * FROM st UNION (VALUES " + ", ".join([f"({q('fhir:' + c)}, 'rdf:type', 'owl:Class', 'uri')" for c, _ in vocab.CLASSES] + [f"({q('fhir:' + c)}, 'rdfs:subClassOf', {q('fhir:' + p)}, 'uri')" for c, p in vocab.CLASSES if p]) + ")) SELECT p, count(*) AS n FROM ms GROUP BY 1",
+    "g07_conditions": f"WITH {_ST} {_class('Condition')}",
+    "g07_medications": f"WITH {_ST} {_class('MedicationStatement')}",
+    "g07_procedures": f"WITH {_ST} {_class('Procedure')}",
+    "g07_linked": f"WITH {_ST} SELECT s AS entity, o AS code, label FROM st JOIN en ON en.entity = s WHERE p = 'kg:ontologyCode'",
+    "g07_high_trust": f"WITH {_ST} SELECT s AS entity, CAST(o AS DOUBLE) AS trust, label FROM st JOIN en ON en.entity = s WHERE p = 'kg:trustScore' AND CAST(o AS DOUBLE) >= 0.8",
+    "g07_temporal": f"WITH {_ST} SELECT DISTINCT s AS entity, o AS time FROM st WHERE p = 'kg:temporalAnchor'",
+    "g08_cohorts": f"WITH {_ST} SELECT count(DISTINCT patient) FILTER (WHERE regexp_matches(label, {q(_NEO)})) AS n_neoplasm, count(DISTINCT patient) FILTER (WHERE regexp_matches(label, {q(_TREAT)})) AS n_treated, count(DISTINCT patient) FILTER (WHERE entity IN (SELECT s FROM st WHERE p = 'kg:temporalAnchor')) AS n_dated FROM pl",
+    "g09_summary": f"WITH {_BOTH} SELECT di.patient, diagnosis, treatments FROM di JOIN tr ON tr.patient = di.patient",
+    "g09_treated": f"WITH {_BOTH} SELECT count(*) AS n_treated FROM di JOIN tr ON tr.patient = di.patient",
+    "g09_most_used": f"WITH {_ST} SELECT label, count(DISTINCT patient) AS n_patients FROM ({_class('MedicationStatement')}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "g09_comorbid": f"WITH {_ST}, co AS ({_class('Condition')}) SELECT label, count(DISTINCT patient) AS n_patients FROM co WHERE NOT regexp_matches(label, {q(_NEO)}) AND patient IN (SELECT patient FROM co WHERE regexp_matches(label, {q(_NEO)})) GROUP BY 1",
+    "g09_dated": f"WITH {_ST} SELECT DISTINCT patient, label, o AS time FROM pl JOIN st ON s = entity WHERE p = 'kg:temporalAnchor' AND length(o) > 3 AND NOT contains(o, 'REDACTED')",
+    "g10_report": f"WITH {_ST} SELECT count(*) AS n_statements, count(DISTINCT s) AS n_subjects, count(DISTINCT p) AS n_predicates, count(DISTINCT s) FILTER (WHERE starts_with(s, 'patient:')) AS n_patients FROM st",
+    "g05_usage": f"WITH {_R}, {_USE} SELECT * FROM us",
+    "o06_top_properties": f"WITH {_R}, {_USE} SELECT * FROM us ORDER BY n DESC, predicate LIMIT 15",
+    "j13_two_hops": f"WITH {_R}, {_HOPS} SELECT DISTINCT src, dst, 1 AS hop FROM h1 UNION ALL SELECT DISTINCT src, dst, 2 FROM bt WHERE k IN (SELECT k FROM s1)",
+    "g16_propagated": f"""{_NODES}, n0 AS (SELECT node, greatest(0.5, max(trust)) AS t FROM vo GROUP BY 1), ee AS (SELECT e AS src, v AS dst, trust AS w FROM en UNION ALL SELECT v, e, trust FROM en),
+m1 AS (SELECT dst, sum(t * w) / sum(w) AS m FROM ee JOIN n0 ON node = src GROUP BY 1), n1 AS (SELECT node, 0.5::DOUBLE * t + 0.5::DOUBLE * coalesce(m, t) AS t FROM n0 LEFT JOIN m1 ON dst = node),
+m2 AS (SELECT dst, sum(t * w) / sum(w) AS m FROM ee JOIN n1 ON node = src GROUP BY 1) SELECT node, round(0.5::DOUBLE * t + 0.5::DOUBLE * coalesce(m, t), 4) AS trust FROM n1 LEFT JOIN m2 ON dst = node""",
+}
+_COS = "SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / greatest(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 1e-12), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0"
+TEXT |= {
+    "r08_options": f"""WITH s AS ({_COS}), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, label % 2 ORDER BY score DESC, vec_id) AS place FROM s),
+m AS (SELECT query_id, coalesce(avg(score) FILTER (WHERE label % 2 = 0), 0) AS pos, coalesce(avg(score) FILTER (WHERE label % 2 <> 0), 0) AS neg FROM k WHERE place <= 10 GROUP BY 1)
+SELECT query_id, round(pos, 5) AS pos, round(neg, 5) AS neg, round(pos - neg, 5) AS margin, CASE WHEN pos - neg > 0.02 THEN 'yes' WHEN pos - neg < -0.02 THEN 'no' ELSE 'maybe' END AS decision FROM m""",
+    "r05_fused": f"""WITH lx AS (SELECT query_id AS ref, score AS s FROM ({TEXT['r02_bm25']}) WHERE place = 1), vx AS (SELECT query_id // 100 + 501 AS ref, score AS c FROM ({TEXT['r03_dense']}) WHERE place = 1),
+dg AS (SELECT lower(trim(entity, ' ')) AS e, count(DISTINCT lower(value)) AS d FROM triples WHERE note_id IS NOT NULL GROUP BY 1)
+SELECT ref_id, round(0.3::DOUBLE * coalesce(s, 0) / greatest(coalesce(s, 0) + 1, 1) + 0.5::DOUBLE * CASE WHEN c IS NULL THEN 0 ELSE (c + 1) / 2 END + 0.2::DOUBLE * least(coalesce(d, 0) / 5, 1), 4) AS fused
+FROM canon_items LEFT JOIN lx ON lx.ref = ref_id LEFT JOIN vx ON vx.ref = ref_id LEFT JOIN dg ON e = lower(canon_name) WHERE item_kind = 'condition'""",
+    "e09_keyword": f"""WITH f AS ({TEXT['f24_negation']}), fa AS (SELECT note_id, concept FROM f WHERE n_positive = 0), sd AS (SELECT note_id, lower(concat_ws(' ', entity, value)) AS said FROM triples WHERE source <> 'ehr' AND note_id IS NOT NULL),
+av AS (SELECT * FROM fa WHERE NOT EXISTS (SELECT 1 FROM sd WHERE sd.note_id = fa.note_id AND contains(said, concept)))
+SELECT concept, count(*) AS n_keyword, (SELECT count(*) FROM fa WHERE fa.concept = f.concept) AS n_false, (SELECT count(*) FROM av WHERE av.concept = f.concept) AS n_avoided FROM f GROUP BY concept""",
+}
+_X = f"x AS (SELECT triple_id, source, loaded_at, round(0.5::DOUBLE * {ONTOLOGY} + 0.5::DOUBLE * {TEMPORAL.replace(AS_OF, '2026-01-01')}, 4) AS trust FROM (SELECT *, fhir_type AS kind, temporal_start AS anchor FROM triples))"
+STREAMS = {
+    "x1_ingest": f"WITH {_X} SELECT triple_id, trust, trust >= 0.6 AS accepted FROM x",
+    "x2_rates": f"WITH {_X} SELECT to_timestamp(floor(epoch(loaded_at) / 2592000) * 2592000) AS start, source, count(*) AS n, count(*) FILTER (WHERE trust >= 0.6) AS n_accepted FROM x GROUP BY 1, 2",
+}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factgate.plans.oracles import STREAMS
 from factgate.streaming import ingest
 
 
@@ -20,7 +21,7 @@ def x3_sessions(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (x1_ingest, x2_rates, x3_sessions)}
-ORACLE = {
+ORACLE = STREAMS | {
     "x3_sessions": """
 WITH o AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events WHERE ts IS NOT NULL),
 m AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o)
