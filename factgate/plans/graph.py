@@ -145,7 +145,7 @@ def g15_nodes(s: SparkSession, d: str) -> DataFrame:
 
 def g16_propagated(s: SparkSession, d: str) -> DataFrame:
     n, e = rdf.trust_graph(_claims(s, d))
-    return rdf.propagate(n, e).select("node", F.round("trust", 4).alias("trust"))
+    return rdf.propagate(n, e).select("node", F.round("trust", 6).alias("trust"))
 
 
 def g17_labels(s: SparkSession, d: str) -> DataFrame:

@@ -339,7 +339,7 @@ GRAPH |= {
     "j13_two_hops": f"WITH {_R}, {_HOPS} SELECT DISTINCT src, dst, 1 AS hop FROM h1 UNION ALL SELECT DISTINCT src, dst, 2 FROM bt WHERE k IN (SELECT k FROM s1)",
     "g16_propagated": f"""{_NODES}, n0 AS (SELECT node, greatest(0.5, max(trust)) AS t FROM vo GROUP BY 1), ee AS (SELECT e AS src, v AS dst, trust AS w FROM en UNION ALL SELECT v, e, trust FROM en),
 m1 AS (SELECT dst, sum(t * w) / sum(w) AS m FROM ee JOIN n0 ON node = src GROUP BY 1), n1 AS (SELECT node, 0.5::DOUBLE * t + 0.5::DOUBLE * coalesce(m, t) AS t FROM n0 LEFT JOIN m1 ON dst = node),
-m2 AS (SELECT dst, sum(t * w) / sum(w) AS m FROM ee JOIN n1 ON node = src GROUP BY 1) SELECT node, round(0.5::DOUBLE * t + 0.5::DOUBLE * coalesce(m, t), 4) AS trust FROM n1 LEFT JOIN m2 ON dst = node""",
+m2 AS (SELECT dst, sum(t * w) / sum(w) AS m FROM ee JOIN n1 ON node = src GROUP BY 1) SELECT node, round(0.5::DOUBLE * t + 0.5::DOUBLE * coalesce(m, t), 6) AS trust FROM n1 LEFT JOIN m2 ON dst = node""",
 }
 _COS = "SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / greatest(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 1e-12), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0"
 TEXT |= {
@@ -357,5 +357,5 @@ SELECT concept, count(*) AS n_keyword, (SELECT count(*) FROM fa WHERE fa.concept
 _X = f"x AS (SELECT triple_id, source, loaded_at, round(0.5::DOUBLE * {ONTOLOGY} + 0.5::DOUBLE * {TEMPORAL.replace(AS_OF, '2026-01-01')}, 4) AS trust FROM (SELECT *, fhir_type AS kind, temporal_start AS anchor FROM triples))"
 STREAMS = {
     "x1_ingest": f"WITH {_X} SELECT triple_id, trust, trust >= 0.6 AS accepted FROM x",
-    "x2_rates": f"WITH {_X} SELECT to_timestamp(floor(epoch(loaded_at) / 2592000) * 2592000) AS start, source, count(*) AS n, count(*) FILTER (WHERE trust >= 0.6) AS n_accepted FROM x GROUP BY 1, 2",
+    "x2_rates": f"WITH {_X} SELECT to_timestamp(floor(epoch(loaded_at) / 2592000) * 2592000) AT TIME ZONE 'UTC' AS start, source, count(*) AS n, count(*) FILTER (WHERE trust >= 0.6) AS n_accepted FROM x GROUP BY 1, 2",
 }

@@ -13,8 +13,13 @@ from factgate.session import ensure_checkpoint_dir
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """A folder or file of Parquet as a stream with the schema it has now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64).parquet(path)
+    """A folder or one file of Parquet as a stream with the schema it has now."""
+    now = spark.read.parquet(path)
+    reader = spark.readStream.schema(now.schema).option("maxFilesPerTrigger", 64)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if [f.rpartition("/")[2] for f in now.inputFiles()] == [name]:  # a stream reads folders, so the file is picked by its name
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def ingest(claims: DataFrame, delay: str = "3650 days", threshold: float = 0.6) -> DataFrame:
@@ -32,8 +37,8 @@ def admission_rates(gated: DataFrame, width: str = "30 days") -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
-    """Sessions of each user: events no further apart than the gap."""
-    w = events.withWatermark("ts", "1 day").groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    """Sessions of each user: events no further apart than the gap. Times without a zone are read in the session's."""
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return w.select("user_id", F.col("w.start").alias("start"), "n", "total")
 
 
