@@ -21,7 +21,7 @@ from factgate.functions.text import trim_blanks
 from factgate.session import cut_lineage
 
 #: Entries (12 bytes each) of a model that is sent to the tasks.
-MAX_LOCAL = 4_000_000
+MAX_LOCAL = 300_000
 #: Bands: so many standard deviations of log perplexity around a language's mean.
 WIDTH = 2.0
 LEAST_WORDS = 5
