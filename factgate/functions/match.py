@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgate.functions.clinical import lookup
@@ -21,7 +21,17 @@ def forms(n: Column) -> Column:
 def overlap(a: Column, b: Column) -> tuple[Column, Column]:
     """(Jaccard, share of b found in a) of two arrays of distinct tokens; 0 for empty ones."""
     both = F.size(F.array_intersect(a, b)).cast("double")
-    return both / F.greatest(F.size(F.array_union(a, b)), F.lit(1)), both / F.greatest(F.size(b), F.lit(1))
+    return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1.0)), both / F.greatest(F.size(b), F.lit(1))
+
+
+def _score(a: Column, b: Column, fa: Column, fb: Column, na: Column, nb: Column, both: Column) -> Column:
+    jaccard, inside = both / F.greatest(na + nb - both, F.lit(1)), both / F.greatest(nb, F.lit(1))
+    # texts without another form were compared by containment already
+    short = ((F.size(fa) > 1) | (F.size(fb) > 1)) & F.exists(fa, lambda x: F.exists(fb, lambda y: F.contains(x, y) | F.contains(y, x)))
+    return (
+        F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.9).when(short, 0.85)
+        .when(jaccard >= 0.5, jaccard).when(inside >= 0.6, inside * 0.8).otherwise(0.0)
+    )
 
 
 def match_score(a: Column, b: Column) -> Column:
@@ -30,18 +40,25 @@ def match_score(a: Column, b: Column) -> Column:
 
 
 def score_normal(a: Column, b: Column) -> Column:
-    """match_score of texts already in normal form."""
-    jaccard, inside = overlap(tokens(a), tokens(b))
-    short = F.exists(forms(a), lambda x: F.exists(forms(b), lambda y: F.contains(x, y) | F.contains(y, x)))
-    return (
-        F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.9).when(short, 0.85)
-        .when(jaccard >= 0.5, jaccard).when(inside >= 0.6, inside * 0.8).otherwise(0.0)
-    )
+    """match_score of texts already in normal form. For many pairs, shape each side once and use `scored`."""
+    ta, tb = tokens(a), tokens(b)
+    return _score(a, b, forms(a), forms(b), F.size(ta), F.size(tb), F.size(F.array_intersect(ta, tb)))
+
+
+def shaped(df: DataFrame, column: str) -> DataFrame:
+    """Adds what a comparison needs of a normal form: <column>_f (forms) and <column>_t (tokens), once per text, not per pair."""
+    return df.withColumns({f"{column}_f": forms(F.col(column)), f"{column}_t": tokens(F.col(column))})
+
+
+def scored(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds match_score of two shaped columns of a pair; their common tokens are counted once."""
+    pairs = pairs.withColumn("__both", F.size(F.array_intersect(F.col(f"{a}_t"), F.col(f"{b}_t"))))
+    score = _score(F.col(a), F.col(b), F.col(f"{a}_f"), F.col(f"{b}_f"), F.size(f"{a}_t"), F.size(f"{b}_t"), F.col("__both"))
+    return pairs.withColumn(out, score).drop("__both")
 
 
-def grounded(fragment: Column, note: Column, note_tokens: Column) -> Column:
-    """Whether a fragment's normal form lies in the note's, or at least 60 % of its tokens do. Nothing is grounded in no note."""
-    n = normalize(F.coalesce(fragment, F.lit("")))
+def grounded(n: Column, note: Column, note_tokens: Column) -> Column:
+    """Whether a normal form lies in the note's, or at least 60 % of its tokens do. Nothing is grounded in no note."""
     mine = tokens(n)
     share = F.size(F.array_intersect(mine, note_tokens)) / F.greatest(F.size(mine), F.lit(1))
     return F.coalesce((n != "") & (F.contains(note, n) | (share >= 0.6)), F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factgate import vocab
 from factgate.functions.clinical import miss_bucket, tidy
-from factgate.functions.match import score_normal
+from factgate.functions.match import scored, shaped
 from factgate.functions.text import normalize, tokens
 
 LEAST = 0.4
@@ -28,8 +28,8 @@ def match_pairs(found: DataFrame, gold: DataFrame, extra: list[str]) -> DataFram
     """
     a = found.select("note_id", *extra, "text", normalize(F.col("text")).alias("a")).filter("a <> ''")
     b = gold.select("note_id", "gold", normalize(F.col("gold")).alias("b")).filter("b <> ''").distinct()
-    forms = a.select("note_id", "a").distinct().join(b.select("note_id", "b").distinct(), "note_id")
-    hits = forms.withColumn("score", score_normal(F.col("a"), F.col("b"))).filter(F.col("score") >= LEAST)
+    forms = shaped(a.select("note_id", "a").distinct(), "a").join(shaped(b.select("note_id", "b").distinct(), "b"), "note_id")
+    hits = scored(forms, "a", "b", "score").filter(F.col("score") >= LEAST).select("note_id", "a", "b", "score")
     return a.join(hits, ["note_id", "a"]).join(b, ["note_id", "b"]).select("note_id", *extra, "text", "gold", F.round("score", 6).alias("score"))
 
 
@@ -39,7 +39,8 @@ def blocked_pairs(found: DataFrame, gold: DataFrame) -> DataFrame:
     a = found.select("note_id", normalize(F.col("text")).alias("a")).distinct().withColumn("t", F.explode(tokens(F.col("a"))))
     b = gold.select("note_id", normalize(F.col("gold")).alias("b")).distinct().withColumn("t", F.explode(tokens(F.col("b"))))
     pairs = a.join(b, ["note_id", "t"]).select("note_id", "a", "b").distinct()
-    return pairs.withColumn("score", F.round(score_normal(F.col("a"), F.col("b")), 6)).filter(F.col("score") >= LEAST)
+    pairs = scored(shaped(shaped(pairs, "a"), "b"), "a", "b", "score").filter(F.col("score") >= LEAST)
+    return pairs.select("note_id", "a", "b", F.round("score", 6).alias("score"))
 
 
 def prf(hits: DataFrame, found: DataFrame, gold: DataFrame) -> DataFrame:

@@ -146,4 +146,5 @@ def propagate(nodes: DataFrame, edges: DataFrame, rounds: int = 2, keep: float =
 def recency(anchor: Column, base_year: int = 2026) -> Column:
     """1 less 0.05 a year before the base year, within [0, 1]; 0.5 without a year."""
     y = F.regexp_extract(anchor, r"(19|20)\d{2}", 0).try_cast("int")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 0.05 * (F.lit(base_year) - y))), F.lit(0.5))
+    # least and greatest pass over nulls, so the missing year is asked for first
+    return F.when(y.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 0.05 * (F.lit(base_year) - y))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factgate import vocab
 from factgate.functions.clinical import known_concept
-from factgate.functions.match import grounded, score_normal
+from factgate.functions.match import grounded, scored, shaped
 from factgate.functions.text import normalize, tokens
 from factgate.operators.claims import first_of
 from factgate.tables import broadcast_if_small
@@ -26,11 +26,14 @@ def first_notes(notes: DataFrame) -> DataFrame:
 def grounding(claims: DataFrame, notes: DataFrame) -> DataFrame:
     """Adds `grounding`: mean over the fields long enough to check of whether they lie in the note; 0.5 if none is."""
     plain = first_notes(notes).select(F.col("note_id").alias("nid"), normalize(F.coalesce("text", F.lit(""))).alias("note")).withColumn("note_tokens", tokens(F.col("note")))
-    df = claims.join(plain, F.col("note_id") == F.col("nid"), "left")
-    checks = [F.when(F.length(F.coalesce(F.col(c), F.lit(""))) > n, grounded(F.col(c), F.col("note"), F.col("note_tokens")).cast("double")) for c, n in (("entity", 2), ("value", 2), ("evidence", 5))]
-    some = F.array_compact(F.array(*checks))
-    mean = F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.size(some)
-    return df.withColumn("grounding", F.when(F.size(some) == 0, 0.5).otherwise(mean)).drop("nid", "note", "note_tokens")
+    fields = (("entity", 2), ("value", 2), ("evidence", 5))
+    df = claims.withColumns({f"__n_{c}": F.when(F.length(F.coalesce(F.col(c), F.lit(""))) > n, normalize(F.col(c))) for c, n in fields})
+    df = df.join(plain, F.col("note_id") == F.col("nid"), "left")
+    df = df.withColumns({f"__g_{c}": F.when(F.col(f"__n_{c}").isNotNull(), grounded(F.col(f"__n_{c}"), F.col("note"), F.col("note_tokens")).cast("int")) for c, _ in fields})
+    n = sum((F.col(f"__g_{c}").isNotNull().cast("int") for c, _ in fields), F.lit(0))
+    hits = sum((F.coalesce(f"__g_{c}", F.lit(0)) for c, _ in fields), F.lit(0))
+    df = df.withColumn("grounding", F.when(n == 0, 0.5).otherwise(hits / n))
+    return df.drop("nid", "note", "note_tokens", *(f"__{k}_{c}" for k in "ng" for c, _ in fields))
 
 
 def schema_scores(claims: DataFrame) -> DataFrame:
@@ -43,9 +46,10 @@ def schema_scores(claims: DataFrame) -> DataFrame:
     spark = claims.sparkSession
     listed = spark.createDataFrame([(t, n) for t, names in vocab.VALID_ATTRIBUTES.items() for n in names.split("|")], "listed_kind string, name string")
     pairs = claims.select("kind", "attribute").distinct().withColumn("a", normalize(F.coalesce("attribute", F.lit(""))))
-    x = pairs.join(F.broadcast(listed), F.col("kind") == F.col("listed_kind"), "left")
+    listed = shaped(listed.withColumn("b", normalize(F.col("name"))), "b")
+    x = scored(shaped(pairs, "a").join(F.broadcast(listed), F.col("kind") == F.col("listed_kind"), "left"), "a", "b", "score")
     inside = F.contains(F.col("a"), F.col("name")) | F.contains(F.col("name"), F.col("a"))
-    best = F.when(F.col("name").isNull(), 0.5).when(inside, 1.0).when(score_normal(F.col("a"), normalize(F.col("name"))) >= 0.5, 0.8).otherwise(0.3)
+    best = F.when(F.col("name").isNull(), 0.5).when(inside, 1.0).when(F.col("score") >= 0.5, 0.8).otherwise(0.3)
     return x.groupBy("kind", "attribute").agg(F.max(best).alias("schema"))
 
 
@@ -72,9 +76,12 @@ def anchor_date(c: Column) -> Column:
     )
 
 
-def temporal_score(anchor: Column, as_of: str) -> Column:
-    """0.7 without an anchor, 0.6 for one that is no plain date, 0.1 before 1900 or after as_of, 0.3 before 1980, else 1."""
-    d = anchor_date(anchor)
+def temporal_score(anchor: Column, as_of: str, day: Column | None = None) -> Column:
+    """0.7 without an anchor, 0.6 for one that is no plain date, 0.1 before 1900 or after as_of, 0.3 before 1980, else 1.
+
+    day: the anchor's date where it is a column already, so that it is parsed once.
+    """
+    d = anchor_date(anchor) if day is None else day
     none = F.coalesce(F.lower(anchor), F.lit("")).isin("", "null", "none", "n/a")
     return F.when(none, 0.7).when(d.isNull(), 0.6).when((F.year(d) < 1900) | (d > F.lit(as_of).cast("date")), 0.1).when(F.year(d) < 1980, 0.3).otherwise(1.0)
 
@@ -87,13 +94,15 @@ def contradiction(claims: DataFrame) -> DataFrame:
     (entity, attribute, value) forms are compared, so repeated claims of a hot group cost nothing.
     """
     n = {c: normalize(F.coalesce(F.col(c), F.lit(""))) for c in ("entity", "attribute", "value")}
-    shaped = claims.select("claim_id", "note_id", "anchor", *(x.alias(f"n_{c}") for c, x in n.items()))
+    plain = claims.select("claim_id", "note_id", "anchor", *(x.alias(f"n_{c}") for c, x in n.items()))
     held = F.coalesce("anchor", F.lit("")) != ""
     group = ["note_id", "anchor", "n_entity", "n_attribute", "n_value"]
-    faces = shaped.filter(held).groupBy(*group).agg(F.min("claim_id").alias("first"))
-    left = faces.select(*(F.col(c).alias(f"l_{c}") for c in group))
+    faces = plain.filter(held).groupBy(*group).agg(F.min("claim_id").alias("first"))
+    faces = shaped(shaped(faces, "n_entity"), "n_attribute")
+    left = faces.select(*(F.col(c).alias(f"l_{c}") for c in faces.columns if c != "first"))
     pairs = left.join(faces, (F.col("l_note_id") == F.col("note_id")) & (F.col("l_anchor") == F.col("anchor")) & (F.col("l_n_value") != F.col("n_value")))
-    pairs = pairs.filter((score_normal(F.col("l_n_entity"), F.col("n_entity")) >= 0.6) & (score_normal(F.col("l_n_attribute"), F.col("n_attribute")) >= 0.6))
+    pairs = scored(pairs, "l_n_entity", "n_entity", "s_entity").filter("s_entity >= 0.6")
+    pairs = scored(pairs, "l_n_attribute", "n_attribute", "s_attribute").filter("s_attribute >= 0.6")
     a, b = F.col("l_n_value"), F.col("n_value")
     opposite = F.lit(False)
     for p, q in vocab.OPPOSITES:
@@ -102,14 +111,14 @@ def contradiction(claims: DataFrame) -> DataFrame:
     on = F.lit(True)
     for c in group:
         on = on & (F.col(c) == F.col(f"l_{c}"))
-    scores = shaped.join(hit, on, "left").select(F.col("claim_id").alias("cid"), F.coalesce("s", F.lit(1.0)).alias("contradiction"))
+    scores = plain.join(hit, on, "left").select(F.col("claim_id").alias("cid"), F.coalesce("s", F.lit(1.0)).alias("contradiction"))
     return claims.join(scores, F.col("claim_id") == F.col("cid")).drop("cid")
 
 
 def validate(claims: DataFrame, notes: DataFrame, as_of: str = "2026-01-01", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """Adds the five layers and `trust`, their weighted sum (4 places)."""
-    df = with_schema(contradiction(grounding(claims, notes)))
-    df = df.withColumns({"ontology": known_concept(F.col("entity"), F.col("kind")), "temporal": temporal_score(F.col("anchor"), as_of)})
+    df = with_schema(contradiction(grounding(claims, notes))).withColumn("__day", anchor_date(F.col("anchor")))
+    df = df.withColumns({"ontology": known_concept(F.col("entity"), F.col("kind")), "temporal": temporal_score(F.col("anchor"), as_of, F.col("__day"))}).drop("__day")
     trust = sum((F.col(c) * w for c, w in zip(LAYERS, weights, strict=True)), F.lit(0.0))
     return df.withColumn("trust", F.round(trust, 4))
 

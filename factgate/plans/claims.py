@@ -10,6 +10,7 @@ from factgate.functions import clinical, match
 from factgate.functions.text import normalize
 from factgate.operators import calibrate, claims, evaluate, validate
 from factgate.session import cut_lineage
+from factgate.tables import spread
 from factgate.tables import table as t
 
 AS_OF = "2021-06-01"
@@ -17,11 +18,11 @@ MODELS = ["model_a", "model_b", "model_c"]
 
 
 def _claims(s: SparkSession, d: str) -> DataFrame:
-    return claims.claims_of(t(s, d, "triples"))
+    return claims.claims_of(spread(t(s, d, "triples")))
 
 
 def _validated(s: SparkSession, d: str) -> DataFrame:
-    return validate.validate(claims.union_dedup(_claims(s, d)), t(s, d, "notes_all"), AS_OF)
+    return validate.validate(claims.union_dedup(_claims(s, d)), spread(t(s, d, "notes_all")), AS_OF)
 
 
 def f01_normalize(s: SparkSession, d: str) -> DataFrame:
@@ -67,7 +68,7 @@ def v14_kept(s: SparkSession, d: str) -> DataFrame:
 
 
 def v02_grounding(s: SparkSession, d: str) -> DataFrame:
-    return validate.grounding(_claims(s, d), t(s, d, "notes_all")).select("claim_id", F.round("grounding", 6).alias("grounding"))
+    return validate.grounding(_claims(s, d), spread(t(s, d, "notes_all"))).select("claim_id", F.round("grounding", 6).alias("grounding"))
 
 
 def v03_ontology(s: SparkSession, d: str) -> DataFrame:
@@ -165,11 +166,11 @@ def a18_recurring(s: SparkSession, d: str) -> DataFrame:
 
 def e08_quality(s: SparkSession, d: str) -> DataFrame:
     """Per-model quality (E-08, A-16, F-26)."""
-    return evaluate.model_quality(evaluate.in_note(_claims(s, d), validate.first_notes(t(s, d, "notes_all")), 4))
+    return evaluate.model_quality(evaluate.in_note(_claims(s, d), validate.first_notes(spread(t(s, d, "notes_all"))), 4))
 
 
 def e07_failures(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.failures(evaluate.in_note(_claims(s, d), validate.first_notes(t(s, d, "notes_all")), 5))
+    return evaluate.failures(evaluate.in_note(_claims(s, d), validate.first_notes(spread(t(s, d, "notes_all"))), 5))
 
 
 def e10_curve(s: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factgate import vocab
 from factgate.operators import claims, notes, rdf, timeline, validate
+from factgate.tables import spread
 from factgate.tables import table as t
 
 #: The invented names of the test tables: what counts as a neoplasm and as its treatment there.
@@ -18,8 +19,8 @@ def _claims(s: SparkSession, d: str) -> DataFrame:
     """Cleaned claims with their patient and a trust read off the structure alone."""
     from factgate.functions.clinical import known_concept
 
-    cleaned = claims.canonical_dedup(claims.clean(claims.claims_of(t(s, d, "triples")).filter("note_id is not null")))
-    owner = validate.first_notes(t(s, d, "notes_all")).select(F.col("note_id").alias("n"), "subject_id")
+    cleaned = claims.canonical_dedup(claims.clean(claims.claims_of(spread(t(s, d, "triples"))).filter("note_id is not null")))
+    owner = validate.first_notes(spread(t(s, d, "notes_all"))).select(F.col("note_id").alias("n"), "subject_id")
     df = cleaned.join(owner, F.col("note_id") == F.col("n"), "left")
     trust = F.round(0.2 * known_concept(F.col("entity"), F.col("kind")) + 0.15 * validate.temporal_score(F.col("anchor"), "2021-06-01") + 0.55, 4)
     return df.withColumns({"patient_id": F.coalesce(F.concat(F.lit("s"), F.col("subject_id").cast("string")), F.concat(F.lit("n"), F.col("note_id").cast("string"))), "trust": trust}).drop("n")
@@ -162,7 +163,7 @@ def f18_forms(s: SparkSession, d: str) -> DataFrame:
 
 
 def _anchored(s: SparkSession, d: str) -> DataFrame:
-    first = validate.first_notes(t(s, d, "notes_all"))
+    first = validate.first_notes(spread(t(s, d, "notes_all")))
     return timeline.anchored(_claims(s, d), first, notes.dates(first))
 
 

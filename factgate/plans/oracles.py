@@ -225,7 +225,7 @@ GRAPH = {
     "g06_depths": "WITH RECURSIVE h(c, p) AS (VALUES " + ", ".join(f"({q(c)}, {'NULL' if p is None else q(p)})" for c, p in vocab.CLASSES) + "), d(class, depth) AS (SELECT c, 0 FROM h WHERE p IS NULL UNION ALL SELECT h.c, depth + 1 FROM d JOIN h ON h.p = d.class) SELECT class, depth FROM d",
     "g07_entity_count": f"WITH {_G} SELECT count(DISTINCT {_uri('e')}) AS n_entities FROM ok",
     "g17_labels": f"WITH {_G} SELECT lower(trim(entity, ' ')) AS node, arg_max(CAST(trust >= 0.8 AS INT), claim_id) AS label FROM cl GROUP BY 1",
-    "f20_recency": "SELECT triple_id, round(coalesce(greatest(0, least(1, 1 - CAST(0.05 AS DOUBLE) * (2026 - try_cast(regexp_extract(temporal_start, '(19|20)\\d{2}', 0) AS INT)))), 0.5), 4) AS recency FROM triples",
+    "f20_recency": "SELECT triple_id, CASE WHEN y IS NULL THEN 0.5 ELSE round(greatest(0, least(1, 1 - CAST(0.05 AS DOUBLE) * (2026 - y))), 4) END AS recency FROM (SELECT triple_id, try_cast(regexp_extract(temporal_start, '(19|20)\\d{2}', 0) AS INT) AS y FROM triples)",
     "t05_snapshot": f"WITH {_R} SELECT relation_id, subject, predicate, object FROM r WHERE (lower(coalesce(temporal_start, '')) {_MISSING} OR temporal_start <= '2018') AND (lower(coalesce(temporal_end, '')) {_MISSING} OR temporal_end > '2018')",
     "t06_about": f"WITH {_R} SELECT relation_id, subject, predicate, object, temporal_start FROM r WHERE subject = 'suloraspramil' OR object = 'suloraspramil'",
     "t07_changes": f"WITH {_R} SELECT subject, predicate, count(*) AS n, count(DISTINCT object) AS n_objects, arg_min(object, (coalesce(temporal_start, '9999'), relation_id)) AS first_object, arg_max(object, (coalesce(temporal_start, '9999'), relation_id)) AS last_object FROM r GROUP BY 1, 2 HAVING count(DISTINCT object) > 1",

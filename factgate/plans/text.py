@@ -9,11 +9,12 @@ from factgate.functions import clinical
 from factgate.operators import notes, retrieval, validate
 from factgate import vocab
 from factgate.tables import small_rows
+from factgate.tables import spread
 from factgate.tables import table as t
 
 
 def _notes(s: SparkSession, d: str) -> DataFrame:
-    return validate.first_notes(t(s, d, "notes_all"))
+    return validate.first_notes(spread(t(s, d, "notes_all")))
 
 
 def _terms(s: SparkSession, d: str) -> list[str]:

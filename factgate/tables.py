@@ -21,3 +21,12 @@ def small_rows(df: DataFrame, limit: int, what: str) -> list:
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only when a count proves the side small; otherwise a shuffled join (AQE splits skew)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than the cluster has cores, spread over them; larger tables stay as they are read.
+
+    For operators that spend far more on a row than moving it costs. Columns not used are pruned before the move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
