@@ -56,15 +56,19 @@ def test_sinks_and_resume(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).first().n == 2 and spark.read.json(str(tmp_path / "j")).count() == 2
 
 
+def rows(df):
+    return sorted(df.select(*sorted(df.columns)).collect(), key=str)
+
+
 def test_streams_agree_with_batch(spark, tmp_path):
     t = spark.read.parquet("/root/testdata/sf0.001/triples.parquet")
     t.repartition(3).write.parquet(str(tmp_path / "t"))
     s = ingest.stream_table(spark, str(tmp_path / "t"))
     got = ingest.finish(ingest.ingest(s), "append")
     want = ingest.ingest(t)
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert rows(got) == rows(want)  # collected: counting an exceptAll over dropDuplicates fails inside Spark 4.1.2
     rates = ingest.finish(ingest.admission_rates(ingest.ingest(ingest.stream_table(spark, str(tmp_path / "t")))), "complete")
-    assert rates.exceptAll(ingest.admission_rates(want)).count() == 0 and rates.agg(F.sum("n")).first()[0] == t.count()
+    assert rows(rates) == rows(ingest.admission_rates(want)) and rates.agg(F.sum("n")).first()[0] == t.count()
 
 
 def test_registry():
