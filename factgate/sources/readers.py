@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Labels an annotation may carry, and names a text column may have.
-LABELS = ("Datetime", "Biomarker_Name", "ClinicalCondition", "Medication", "Procedure", "Test", "Symptom", "Site")
+LABELS = ("PROBLEM", "TEST", "TREATMENT", "ClinicalCondition", "Observation", "Condition", "Medication", "Procedure")
 TEXT_NAMES = ("text", "note_text", "notes", "note", "report", "content", "discharge_summary")
 
 
@@ -123,3 +123,30 @@ def split_questions(questions: DataFrame, key: str, head: int) -> DataFrame:
     """Adds part: 'train' for the first `head` questions by key, else 'test'; the cut key is found by a top-k, not a global sort."""
     cut = questions.select(key).orderBy(key).limit(head).agg(F.max(key)).scalar()
     return questions.withColumn("part", F.when(F.col(key) <= cut, "train").otherwise("test"))
+
+
+def frequent(notes: DataFrame, least: int = 3) -> DataFrame:
+    """Notes of subjects with at least `least` notes; notes without a subject belong to none."""
+    many = notes.filter("subject_id is not null").groupBy("subject_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return notes.join(many.select("subject_id"), "subject_id", "left_semi")
+
+
+def of_cohort(notes: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Notes of a cohort of subjects (repeated members count once)."""
+    return notes.join(cohort.select("subject_id"), "subject_id", "left_semi")
+
+
+def long_texts(notes: DataFrame, least: int = 200) -> DataFrame:
+    """Notes whose text has at least `least` characters; null texts have none."""
+    return notes.filter(F.length("text") >= least)
+
+
+def warehouse_notes(spark: SparkSession, diagnoses: str, notes: str, low: int, high: int, least: int = 200) -> DataFrame:
+    """The warehouse form of the cohort scan, in SQL over two registered tables: distinct cohort keys joined to longer notes."""
+    return spark.sql(
+        """
+        WITH cohort AS (SELECT DISTINCT subject_id FROM identifier(:d) WHERE try_cast(substr(trim(icd9_code), 1, 3) AS INT) BETWEEN :low AND :high)
+        SELECT n.row_id, n.note_id, subject_id, n.category FROM cohort JOIN identifier(:n) AS n USING (subject_id) WHERE length(n.text) > :least
+        """,
+        {"d": diagnoses, "n": notes, "low": low, "high": high, "least": least},
+    )

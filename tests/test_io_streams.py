@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 def test_folders_annotations_results(spark, tmp_path):
     (tmp_path / "pdac_1.txt").write_text("  " + "note " * 40)
     (tmp_path / "pdac_2.txt").write_text("short")
-    (tmp_path / "pdac_1.ann.txt").write_text("T1\tTest 3 7\tscan\nT2\tOther 1 2\tx\nR1\tfoo\nT3\tSite 4 9;12 15\tleft arm\n")
+    (tmp_path / "pdac_1.ann.txt").write_text("T1\tTEST 3 7\tscan\nT2\tOther 1 2\tx\nR1\tfoo\nT3\tProcedure 4 9;12 15\tleft arm\n")
     n = readers.note_folder(spark, str(tmp_path)).collect()
     assert [r.patient_id for r in n] == ["pdac_1"] and not n[0].text.startswith(" ")
-    assert sorted((r.label, r.start, r.stop, r.text) for r in readers.annotations(spark, str(tmp_path)).collect()) == [("Site", 4, 9, "left arm"), ("Test", 3, 7, "scan")]
+    assert sorted((r.label, r.start, r.stop, r.text) for r in readers.annotations(spark, str(tmp_path)).collect()) == [("Procedure", 4, 9, "left arm"), ("TEST", 3, 7, "scan")]
     for m in ("m1", "m2"):
         (tmp_path / "by" / m).mkdir(parents=True)
         (tmp_path / "by" / m / "7.json").write_text(json.dumps({"triples": [{"entity": m, "value": "v"}] * (1 if m == "m1" else 0)}))
@@ -37,6 +37,17 @@ def test_zip_csv_json_and_text_column(spark, tmp_path):
     assert readers.json_notes(spark, str(tmp_path / "n.jsonl"), "id bigint, text string").filter("id = 1").count() == 1
 
 
+def test_note_subsets(spark):
+    n = spark.createDataFrame([(1, 1, 7, "c", "x" * 300), (2, 2, 7, "c", None), (3, 3, 7, "c", "s"), (4, 4, 8, "c", "x" * 201), (5, 5, None, "c", "x" * 250)], "row_id bigint, note_id bigint, subject_id bigint, category string, text string")
+    d = spark.createDataFrame([(7, "174.1"), (7, "1749"), (8, "V10"), (None, "150")], "subject_id bigint, icd9_code string")
+    assert {r.row_id for r in readers.frequent(n).collect()} == {1, 2, 3}
+    assert {r.row_id for r in readers.long_texts(n).collect()} == {1, 4, 5}
+    assert {r.row_id for r in readers.of_cohort(n, d).collect()} == {1, 2, 3, 4}
+    n.createOrReplaceTempView("t_notes")
+    d.createOrReplaceTempView("t_diag")
+    assert [r.row_id for r in readers.warehouse_notes(spark, "t_diag", "t_notes", 140, 239).collect()] == [1]
+
+
 def test_benchmark_and_questions(spark):
     b = spark.createDataFrame([(1, "Gout", "yes", "Yes", "no"), (1, "Flu", "yes", "yes", "yes"), (2, "x", "no", "yes", "no")], "row_id int, concept string, detection string, encounter string, negation string")
     assert [(r.row_id, r.concepts) for r in readers.benchmark_labels(b).collect()] == [(1, ["gout"])]
