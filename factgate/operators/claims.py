@@ -9,12 +9,12 @@ from factgate import vocab
 from factgate.functions.clinical import is_phi, is_vacuous, scrub_phi, status_of, tidy, type_a
 
 
-def first_of(df: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key. The order must end in a unique column; the hash aggregate combines map-side, so a key with
-    a third of all rows sends one row a task."""
+def first_of(df: DataFrame, key: list[Column], order: list[Column], **of_key: Column) -> DataFrame:
+    """The first row of each key, with the aggregates of the key that of_key names. The order must end in a unique column; the
+    hash aggregate combines map-side, so a key with a third of all rows sends one row a task."""
     named = [k.alias(f"__k{i}") for i, k in enumerate(key)]
-    picked = df.groupBy(*named).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row"))
-    return picked.select("__row.*")
+    picked = df.groupBy(*named).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row"), *(x.alias(n) for n, x in of_key.items()))
+    return picked.select("__row.*", *of_key)
 
 
 def claims_of(triples: DataFrame) -> DataFrame:
@@ -29,9 +29,9 @@ def claim_key() -> list[Column]:
     return [F.col("note_id"), *(F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in ("entity", "attribute", "value"))]
 
 
-def union_dedup(claims: DataFrame) -> DataFrame:
+def union_dedup(claims: DataFrame, **of_key: Column) -> DataFrame:
     """One claim per (note, entity, attribute, value) up to case and outer blanks: the first by model and id survives."""
-    return first_of(claims, claim_key(), [F.col("model"), F.col("claim_id")])
+    return first_of(claims, claim_key(), [F.col("model"), F.col("claim_id")], **of_key)
 
 
 def consensus(claims: DataFrame) -> DataFrame:

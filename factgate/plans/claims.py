@@ -184,8 +184,8 @@ def e10_curve(s: SparkSession, d: str) -> DataFrame:
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
     """Validated claims with a verdict: right if another model agrees on the claim."""
-    agreed = claims.consensus(_claims(s, d)).select(F.col("first_claim").alias("cid"), (F.col("n_models") > 1).cast("int").alias("y"))
-    v = _validated(s, d).join(agreed, F.col("claim_id") == F.col("cid"))
+    agreed = (F.min("model") != F.max("model")).cast("int")  # counted where the union groups by the canonical key: no claim is lost to a join by id
+    v = validate.validate(claims.union_dedup(_claims(s, d), y=agreed), spread(t(s, d, "notes_all")), AS_OF)
     return cut_lineage(v.select("claim_id", F.least(F.greatest(F.col("trust"), F.lit(0.0)), F.lit(1.0)).alias("score"), "y", "kind", "entity", "value", "evidence", "anchor", "model", *validate.LAYERS, "trust"))
 
 
