@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factgate.session import cut_lineage
+from factgate.session import cut_lineage, ensure_checkpoint_dir
 
 
 def _ranged(df: DataFrame, order: list[str], descending: bool) -> DataFrame:
@@ -117,12 +117,16 @@ def features(claims: DataFrame) -> DataFrame:
     return claims.withColumn("f", F.array(*(c.cast("double") for c in cols)))
 
 
-def fit_booster(train: DataFrame, rounds: int = 20, depth: int = 3, seed: int = 0):
-    """Gradient-boosted trees on f, y. Fitted by Spark ML, so distributed over the rows."""
+def fit_booster(train: DataFrame, rounds: int = 200, depth: int = 3, seed: int = 0):
+    """Gradient-boosted trees on f, y. Fitted by Spark ML, so distributed over the rows.
+
+    With the checkpoint folder set the fit cuts the lineage of its errors every ten rounds, so it does not grow with the rounds.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    return GBTClassifier(featuresCol="v", labelCol="y", maxIter=rounds, maxDepth=depth, seed=seed).fit(train.select("y", array_to_vector("f").alias("v")))
+    ensure_checkpoint_dir(train.sparkSession)
+    return GBTClassifier(featuresCol="v", labelCol="y", maxIter=rounds, maxDepth=depth, seed=seed, checkpointInterval=10).fit(train.select("y", array_to_vector("f").alias("v")))
 
 
 def boosted_scores(model, rows: DataFrame) -> DataFrame:

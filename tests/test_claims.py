@@ -2,6 +2,7 @@
 
 import pytest
 
+from factgate.operators import calibrate
 from factgate.plans import claims as plans
 
 
@@ -23,3 +24,9 @@ def test_every_claim_of_the_union_has_a_verdict(spark, tables):
     d = tables([(1, 1, "model_b", "Anemia ", "status", "present"), (2, 1, "model_a", "anemia", "Status", "present"), (3, None, "model_c", "gout", None, None), (4, None, "model_a", "gout", None, ""), (5, 1, "model_a", "cough", "status", "present")])
     assert {r.claim_id: r.y for r in plans._scored(spark, d).collect()} == {2: 1, 4: 1, 5: 0}
     assert plans._scored(spark, d).count() == plans.w13_union(spark, d).count() == 3
+
+
+def test_booster_has_all_its_trees(spark):
+    df = spark.createDataFrame([([float(i % 7), float(i % 3)], i % 2) for i in range(60)], "f array<double>, y int")
+    model = calibrate.fit_booster(df)
+    assert model.getNumTrees == 200 and max(t.depth for t in model.trees) <= 3
