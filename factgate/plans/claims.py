@@ -108,7 +108,7 @@ def v10_fused(s: SparkSession, d: str) -> DataFrame:
     """Fused trust with a reviewer's judgements derived from the claim itself (V-09, V-10, O-03)."""
     j = F.pmod(F.col("claim_id"), F.lit(10)) / 10.0
     x = _validated(s, d).withColumns({"r": j, "c": 1 - j, "j": F.col("grounding"), "xi": j / 2})
-    return validate.fused_trust(x, 5).select("claim_id", "agent", "place", "fused")
+    return validate.fused_trust(x).select("claim_id", "agent", "place", "fused")
 
 
 def f27_perturbed(s: SparkSession, d: str) -> DataFrame:

@@ -30,3 +30,12 @@ def test_booster_has_all_its_trees(spark):
     df = spark.createDataFrame([([float(i % 7), float(i % 3)], i % 2) for i in range(60)], "f array<double>, y int")
     model = calibrate.fit_booster(df)
     assert model.getNumTrees == 200 and max(t.depth for t in model.trees) <= 3
+
+
+def test_fifty_claims_of_a_note_are_fused(spark, tables):
+    d = tables([(i, 1, "model_a", f"finding {i}", "status", "present") for i in range(60)])
+    rows = plans.v10_fused(spark, d).collect()
+    rule = {r.claim_id: r.trust for r in plans._validated(spark, d).collect()}
+    want = {r.claim_id: round(0.4 * rule[r.claim_id] + 0.6 * r.agent, 4) if r.place <= 50 else rule[r.claim_id] for r in rows}
+    assert len(rows) == 60 and {r.claim_id: r.fused for r in rows} == pytest.approx(want, abs=1e-4)
+    assert sum(abs(r.fused - rule[r.claim_id]) > 1e-3 for r in rows) > 5
