@@ -16,6 +16,10 @@ from factgate.functions.text import normalize
 from factgate.functions.clinical import category
 
 CHUNK = 6000
+#: Prior facts in a prompt: mentions looked up, facts a mention, lines in all.
+PRIOR_MENTIONS, PRIOR_FACTS, PRIOR_LINES = 10, 2, 10
+FIELDS = ("entity", "attribute", "value", "fhir_type", "temporal_anchor", "evidence_span")
+FACTS = "note_id bigint, chunk_no int, pos int, " + ", ".join(f"{f} string" for f in FIELDS)
 
 
 def _per_note(notes: DataFrame, kernel: Callable[[str], list[tuple]], columns: str) -> DataFrame:
@@ -104,12 +108,13 @@ def in_chunks(found: DataFrame, parts: DataFrame, slack: int = 50) -> DataFrame:
 
 
 def prompts(parts: DataFrame, notes: DataFrame, found: DataFrame) -> DataFrame:
-    """The request text of each chunk: first chunks and continuations differ, candidates are listed."""
-    listed = in_chunks(found, parts).groupBy("note_id", "chunk_no").agg(F.array_join(F.array_sort(F.collect_set("text")), ", ").alias("terms"))
+    """The request text of each chunk: first chunks and continuations differ, candidates are listed. Adds the chunk's first mentions."""
+    firsts = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("start", "stop", "text"))), 1, PRIOR_MENTIONS), lambda m: m["text"])
+    listed = in_chunks(found, parts).groupBy("note_id", "chunk_no").agg(F.array_join(F.array_sort(F.collect_set("text")), ", ").alias("terms"), firsts.alias("mentions"))
     df = parts.join(notes.select("note_id", "text"), "note_id").join(listed, ["note_id", "chunk_no"], "left")
     body = F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start"))
     head = F.when(F.col("chunk_no") == 0, "Facts of this note:").otherwise("More facts of the same note:")
-    return df.select("note_id", "chunk_no", F.concat_ws("\n", head, body, F.concat(F.lit("Candidates: "), F.coalesce("terms", F.lit("none")))).alias("prompt"))
+    return df.select("note_id", "chunk_no", F.concat_ws("\n", head, body, F.concat(F.lit("Candidates: "), F.coalesce("terms", F.lit("none")))).alias("prompt"), "mentions")
 
 
 def extract(prompted: DataFrame, generate: Callable[[list[str]], list[str]]) -> DataFrame:
@@ -117,14 +122,40 @@ def extract(prompted: DataFrame, generate: Callable[[list[str]], list[str]]) ->
 
     generate takes a batch of prompts and gives as many answers; an answer without readable facts gives no rows.
     """
-    fields = ("entity", "attribute", "value", "fhir_type", "temporal_anchor", "evidence_span")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [(k, c, i, *(o[f] for f in fields)) for k, c, answer in zip(p["note_id"], p["chunk_no"], generate(p["prompt"].tolist()), strict=True) for i, o in enumerate(kernels.salvage(answer))]
-            yield pd.DataFrame(rows, columns=["note_id", "chunk_no", "pos", *fields])
+            rows = [(k, c, i, *(o[f] for f in FIELDS)) for k, c, answer in zip(p["note_id"], p["chunk_no"], generate(p["prompt"].tolist()), strict=True) for i, o in enumerate(kernels.salvage(answer))]
+            yield pd.DataFrame(rows, columns=["note_id", "chunk_no", "pos", *FIELDS])
 
-    return prompted.select("note_id", "chunk_no", "prompt").mapInPandas(run, "note_id bigint, chunk_no int, pos int, " + ", ".join(f"{f} string" for f in fields))
+    return prompted.select("note_id", "chunk_no", "prompt").mapInPandas(run, FACTS)
+
+
+def prior_lines(mentions: list[str], facts: list[dict]) -> list[str]:
+    """Lines of the facts known so far whose entity or value is one of the mentions."""
+    out = []
+    for m in mentions[:PRIOR_MENTIONS]:
+        near = [f for f in facts if m.lower().strip() in ((f["entity"] or "").lower().strip(), (f["value"] or "").lower().strip())]
+        out += [f"Prior: ({f['entity']}, {f['attribute'] or ''}, {f['value'][:40]})" for f in near[:PRIOR_FACTS] if f["entity"] and f["value"]]
+    return out[:PRIOR_LINES]
+
+
+def extract_in_turn(prompted: DataFrame, generate: Callable[[list[str]], list[str]], seeds: tuple[dict, ...] = ()) -> DataFrame:
+    """As extract, but the chunks of a note come one after the other and each prompt ends in the prior facts about its mentions:
+    those of the note's chunks before it and the seeds (entity, attribute, value), a fixed list that is not given out again.
+
+    One group a note, so the notes run side by side and a group holds no more than a note's prompts.
+    """
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        known, rows = list(seeds), []
+        for k, c, prompt, mentions in p.sort_values("chunk_no")[["note_id", "chunk_no", "prompt", "mentions"]].itertuples(index=False):
+            prior = prior_lines([] if mentions is None else list(mentions), known)
+            facts = kernels.salvage(generate(["\n".join([prompt, *prior])])[0])
+            known += facts
+            rows += [(k, c, i, *(o[f] for f in FIELDS)) for i, o in enumerate(facts)]
+        return pd.DataFrame(rows, columns=["note_id", "chunk_no", "pos", *FIELDS])
+
+    return prompted.select("note_id", "chunk_no", "prompt", "mentions").groupBy("note_id").applyInPandas(run, FACTS)
 
 
 def entropy(probabilities: Column) -> Column:

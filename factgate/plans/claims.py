@@ -146,7 +146,7 @@ def j07_blocked(s: SparkSession, d: str) -> DataFrame:
 
 
 def e01_scores(s: SparkSession, d: str) -> DataFrame:
-    """Macro scores per model (E-01, E-02, E-05, A-04, A-05, A-06)."""
+    """Macro scores per model (E-01, E-02, A-04, A-05, A-06)."""
     return evaluate.macro(evaluate.prf(_hits(s, d), evaluate.claim_texts(_claims(s, d).filter("note_id is not null")), _gold(s, d)), "model")
 
 
@@ -242,7 +242,7 @@ def c02_boosted(s: SparkSession, d: str) -> DataFrame:
 
 
 def e13_pivot(s: SparkSession, d: str) -> DataFrame:
-    """Claims per note and model as a table (E-12, E-13)."""
+    """Claims per note and model as a table (E-13)."""
     return _claims(s, d).filter("note_id is not null").groupBy("note_id").pivot("model", MODELS).count().fillna(0)
 
 

@@ -55,20 +55,31 @@ def m02_chunks(s: SparkSession, d: str) -> DataFrame:
     return c.join(inside, ["note_id", "chunk_no"], "left").select("note_id", "chunk_no", "start", "stop", F.coalesce("n_mentions", F.lit(0)).alias("n_mentions"))
 
 
-def m06_extracted(s: SparkSession, d: str) -> DataFrame:
-    """Facts from a stand-in generator that answers each prompt with one fact per candidate (M-04 to M-07, F-21)."""
+def _answers(prompts: list[str]) -> list[str]:
+    """A stand-in generator: one fact per candidate; its value says whether the prompt holds a prior fact of it."""
+    import json
+
+    out = []
+    for p in prompts:
+        names, *prior = p.rsplit("Candidates: ", 1)[-1].split("\n")
+        facts = [{"entity": x, "attribute": "mentioned", "value": "again" if any(f"Prior: ({x}," in y for y in prior) else "yes", "fhir_type": "Observation"} for x in names.split(", ") if x != "none"]
+        out.append("```json\n" + json.dumps(facts) + "\n```")
+    return out
+
+
+def _prompts(s: SparkSession, d: str) -> DataFrame:
     n = _notes(s, d)
+    return notes.prompts(notes.chunks(n, 1500), n, notes.find_terms(n, _terms(s, d)))
+
 
-    def generate(prompts: list[str]) -> list[str]:
-        import json
+def m05_in_turn(s: SparkSession, d: str) -> DataFrame:
+    """Facts of chunks in turn, each prompt with the prior facts of its note (M-05), from the stand-in generator."""
+    return notes.extract_in_turn(_prompts(s, d), _answers).select("note_id", "chunk_no", "pos", "entity", "attribute", "value")
 
-        out = []
-        for p in prompts:
-            names = p.rsplit("Candidates: ", 1)[-1].split(", ")
-            out.append("```json\n" + json.dumps([{"entity": x, "attribute": "mentioned", "value": "yes", "fhir_type": "Observation"} for x in names if x != "none"]) + "\n```")
-        return out
 
-    return notes.extract(notes.prompts(notes.chunks(n, 1500), n, notes.find_terms(n, _terms(s, d))), generate).select("note_id", "chunk_no", "pos", "entity", "attribute", "value")
+def m06_extracted(s: SparkSession, d: str) -> DataFrame:
+    """Facts from a stand-in generator that answers each prompt, in independent batches, with one fact per candidate (M-04, M-06, M-07, F-21)."""
+    return notes.extract(_prompts(s, d), _answers).select("note_id", "chunk_no", "pos", "entity", "attribute", "value")
 
 
 def f24_negation(s: SparkSession, d: str) -> DataFrame:
@@ -91,7 +102,7 @@ def e09_keyword(s: SparkSession, d: str) -> DataFrame:
 
 
 def r02_bm25(s: SparkSession, d: str) -> DataFrame:
-    """Five best code titles for each canonical condition (R-01, R-02, O-01, F-13, M-03)."""
+    """Five best code titles for each canonical condition (R-01, R-02, O-01, F-13)."""
     corpus = t(s, d, "d_icd_diagnoses").select("icd9_code", "long_title").filter("icd9_code is not null").groupBy(F.col("icd9_code").alias("doc_id")).agg(F.min("long_title").alias("text"))
     q = t(s, d, "canon_items").filter("item_kind = 'condition'").select(F.col("ref_id").alias("query_id"), F.col("canon_name").alias("text"))
     return retrieval.bm25(corpus, q, 5)
@@ -145,6 +156,6 @@ def f35_props(s: SparkSession, d: str) -> DataFrame:
     return x.select("event_id", F.col("p.k").alias("k"), F.to_json(F.struct((F.col("p.k") * 2).alias("k"))).alias("doubled"))
 
 
-QUERIES = {f.__name__: f for f in (w09_first_notes, f17_dates, f14_sections, m01_mentions, f16_candidates, m02_chunks, m06_extracted, f24_negation, e09_keyword, r02_bm25, r03_dense, r08_options, r05_fused, f22_answers, f21_salvage, f35_props)}
+QUERIES = {f.__name__: f for f in (w09_first_notes, f17_dates, f14_sections, m01_mentions, f16_candidates, m02_chunks, m05_in_turn, m06_extracted, f24_negation, e09_keyword, r02_bm25, r03_dense, r08_options, r05_fused, f22_answers, f21_salvage, f35_props)}
 
 from factgate.plans.oracles import TEXT as ORACLE  # noqa: E402
