@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
+
 from factgate import vocab
 from factgate.functions.dates import MONTHS
 
@@ -116,3 +118,25 @@ def _loads(s: str):
         return json.loads(s)
     except ValueError:
         return None
+
+
+def near_window(evidence: str, low: str, width: int = 50, share: float = 0.6) -> int:
+    """Offset of the first window of `width` characters that holds the share of the words of the evidence's first 30 characters,
+    -1 for none; windows begin before the last 30 characters. low: the text in lower case.
+
+    Every word marks the starts of the windows it lies in, so a text costs a pass a word and not a comparison a window.
+    """
+    words, stop = evidence[:30].lower().split(), len(low) - 30
+    need = len(words) * share
+    if not words or stop <= 0 or sum(w in low for w in words) < need:
+        return -1
+    held = np.zeros(stop, dtype=np.int32)
+    for w in words:
+        own = np.zeros(stop, dtype=bool)
+        at = low.find(w)
+        while at >= 0:
+            own[max(at + len(w) - width, 0) : at + 1] = True
+            at = low.find(w, at + 1)
+        held += own
+    first = int(np.argmax(held >= need))
+    return first if held[first] >= need else -1

@@ -21,6 +21,15 @@ def date_form(c: Column) -> Column:
     return form(c)
 
 
+def near_window(evidence: Column, low: Column) -> Column:
+    """Offset of the first window of the text that holds most words of the evidence, -1 for none or a null text; Arrow-batched."""
+    @F.pandas_udf("int")
+    def at(e: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([-1 if y is None else kernels.near_window(x, y) for x, y in zip(e, t, strict=True)], dtype="int32")
+
+    return at(evidence, low)
+
+
 def nearest_dates(points: DataFrame, dates: DataFrame, reach: int = NEAR) -> DataFrame:
     """claim_id, form of the absolute date nearest to each point of its note within `reach` characters; ties to the earlier one.
 
@@ -41,7 +50,8 @@ def nearest_dates(points: DataFrame, dates: DataFrame, reach: int = NEAR) -> Dat
 def anchored(claims: DataFrame, notes: DataFrame, dates: DataFrame) -> DataFrame:
     """Adds date_form and date_kind (explicit, inferred_proximity, none).
 
-    A claim's own anchor counts first; else the date nearest to where the first 50 characters of its evidence lie in the note.
+    A claim's own anchor counts first; else the date nearest to where the first 50 characters of its evidence lie in the note,
+    or else (reworded, spaced otherwise) to the first window of 50 characters with 60 % of the words of its first 30.
     Claims of notes without any date keep nulls in both columns.
     """
     dated = dates.select(F.col("note_id").alias("d_note")).distinct()
@@ -49,7 +59,9 @@ def anchored(claims: DataFrame, notes: DataFrame, dates: DataFrame) -> DataFrame
     df = claims.withColumn("explicit", explicit).join(dated, F.col("note_id") == F.col("d_note"), "left")
     text = notes.select(F.col("note_id").alias("t_note"), F.lower("text").alias("low"))
     look = df.filter("explicit is null and d_note is not null and coalesce(evidence, '') <> ''").join(text, F.col("note_id") == F.col("t_note"))
-    points = look.select("claim_id", "note_id", F.position(F.lower(F.left("evidence", F.lit(50))), F.col("low")).alias("at")).filter("at > 0").withColumn("at", F.col("at") - 1)
+    points = look.select("claim_id", "note_id", "evidence", "low", (F.position(F.lower(F.left("evidence", F.lit(50))), F.col("low")) - 1).alias("exact"))
+    missed = F.when(F.col("exact") < 0, F.col("low"))  # only texts in which the evidence was not found go to Python
+    points = points.withColumn("window", near_window(F.col("evidence"), missed)).select("claim_id", "note_id", F.greatest("exact", "window").alias("at")).filter("at >= 0")
     near = nearest_dates(points, dates).select(F.col("claim_id").alias("n_claim"), F.col("form").alias("near"))
     out = df.join(near, F.col("claim_id") == F.col("n_claim"), "left")
     known = F.col("d_note").isNotNull()
