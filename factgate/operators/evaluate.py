@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgate import vocab
@@ -96,7 +96,7 @@ def model_quality(checked: DataFrame) -> DataFrame:
 
 
 def failures(checked: DataFrame) -> DataFrame:
-    """Overlapping kinds of failure: count, share and up to three examples (smallest ids), from one scan."""
+    """Overlapping kinds of failure: count, share and up to three examples (smallest ids)."""
     e, v = tidy(F.col("entity")), tidy(F.col("value"))
     kinds = (
         ("degenerate", (e == v) & (e != "")), ("phi", F.lower(F.concat(F.coalesce("entity", F.lit("")), F.coalesce("value", F.lit("")))).rlike(r"\[|\*\*\*\*\*|known (lastname|firstname)")),
@@ -104,7 +104,9 @@ def failures(checked: DataFrame) -> DataFrame:
         ("vacuous", e.isin(*vocab.SURVEY_GENERIC) | (F.length(e) <= 3)), ("ungrounded", ~F.coalesce("verbatim", F.lit(True))),
     )
     tagged = checked.select("claim_id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in kinds]))).alias("failure"))
-    # three least ids a failure: each task keeps three, so no list grows with the data
-    w = tagged.groupBy("failure", F.pmod(F.xxhash64("claim_id"), F.lit(64)).alias("salt")).agg(F.count("*").alias("n"), F.min("claim_id").alias("example"))
+    # three least ids a failure: a task keeps three of each before the shuffle, so no list grows with the data
+    first = Window.partitionBy("failure").orderBy("claim_id")
+    least = tagged.withColumn("place", F.row_number().over(first)).filter("place <= 3").groupBy("failure").agg(F.array_sort(F.collect_list("claim_id")).alias("examples"))
     total = checked.agg(F.count("*")).scalar()
-    return w.groupBy("failure").agg(F.sum("n").alias("n"), F.min("example").alias("example")).withColumn("share", F.round(F.col("n") / F.greatest(total, F.lit(1)), 4))
+    n = tagged.groupBy("failure").agg(F.count("*").alias("n"))
+    return n.join(least, "failure").withColumn("share", F.round(F.col("n") / F.greatest(total, F.lit(1)), 4))

@@ -39,3 +39,9 @@ def test_fifty_claims_of_a_note_are_fused(spark, tables):
     want = {r.claim_id: round(0.4 * rule[r.claim_id] + 0.6 * r.agent, 4) if r.place <= 50 else rule[r.claim_id] for r in rows}
     assert len(rows) == 60 and {r.claim_id: r.fused for r in rows} == pytest.approx(want, abs=1e-4)
     assert sum(abs(r.fused - rule[r.claim_id]) > 1e-3 for r in rows) > 5
+
+
+def test_failures_name_three_examples(spark, tables):
+    d = tables([(i, 1, "model_a", "anemia", "status", "anemia") for i in (9, 4, 7, 5)] + [(1, 1, "model_a", "xy", "status", "none"), (2, 1, "model_a", "cough", "status", "anemia present")])
+    got = {r.failure: (r.n, r.examples) for r in plans.e07_failures(spark, d).collect()}
+    assert got["degenerate"] == (4, [4, 5, 7]) and got["vacuous"] == (1, [1])
