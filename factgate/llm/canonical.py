@@ -12,11 +12,9 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factgate.tables import small_rows
@@ -156,27 +154,22 @@ def map_to_canonical(rows: DataFrame, canon: DataFrame) -> DataFrame:
     order and no others. Equal scores go to the smallest ref_id. A row whose value exactly is a canon_name gets that entry
     like any other; an empty list maps everything to 0.
     """
-    blocks = build_blocks(canon)
-    parts = [_probe(rows, b) for b in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    keys = [F.col(c) for c in rows.columns]
-    whole = reduce(DataFrame.unionAll, parts)
-    return whole.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("ref_id")).alias("r"))).alias("b")).select(*keys, (-F.col("b.r")).alias("ref_id"), F.col("b.score").alias("score"))
+    return _probe(rows, build_blocks(canon))
 
 
-def _probe(rows: DataFrame, index: Index) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(index)
+def _probe(rows: DataFrame, blocks: list[Index]) -> DataFrame:
+    """One pass over the rows, each block a broadcast of its own; the best over the blocks counts, so no rows are merged."""
+    shared = [rows.sparkSession.sparkContext.broadcast(b) for b in blocks]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str | None, tuple[int, float]] = {}
-        best = shared.value.best
+        indexes = [b.value for b in shared]
         for p in parts:
             if len(known) > CACHE:
                 known.clear()
             values = p["value"].where(p["value"].notna(), None).tolist()
             for v in set(values) - known.keys():
-                known[v] = best(v) if v and not v.isspace() else (0, 0.0)
+                known[v] = max((x.best(v) for x in indexes), key=lambda b: (b[1], -b[0])) if v and not v.isspace() else (0, 0.0)
             p["ref_id"] = [known[v][0] for v in values]
             p["score"] = [known[v][1] for v in values]
             yield p
