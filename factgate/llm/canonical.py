@@ -1,178 +1,198 @@
-"""Mapping free-entered values to a canonical list by a prefix-filter set-similarity join.
+"""Mapping free-entered values to a canonical list by a prefix-filter set-similarity join, in the JVM throughout.
 
-Values are sets of letter pairs. Tokens are ordered by rarity in the reference list; only the rare prefix of a value is
-looked up, candidates pass a length and a positional filter, Jaccard is verified exactly and the best entry kept. An edit
-distance check follows. The index is the reference list in blocks of bounded size; rows are probed where they lie, so no
-row moves and a value that fills a third of the table is matched once a task.
+Texts become their letters, compared as sets of letter pairs. Pairs are ordered by rarity over list and values together; only
+the rare prefixes of two texts are joined, pairs of texts pass a length and a positional filter, their Jaccard similarity is
+counted exactly and the best entry kept. Each distinct value is looked up once, however many rows hold it.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from factgate.tables import small_rows
+from factgate.functions.text import trim_blanks
+from factgate.operators.calibrate import global_rank
+from factgate.session import cut_lineage
+from factgate.tables import MAX_BYTES, is_small
 
-#: Entries of one index block; a longer list is probed block by block.
-BLOCK = 100_000
-#: The whole reference list must fit the driver in rows of two names.
-MAX_ENTRIES = 5_000_000
-#: Least Jaccard of letter pairs; below SURE the edit distance must also be small.
+#: Least Jaccard similarity joined; from SURE on it is enough, below it the edit distance must also be small.
 LEAST = 0.4
 SURE = 0.55
+#: Most edits, as a share of the longer text's letters.
 MOST_EDITS = 0.34
-CACHE = 200_000
+#: Entries whose Jaccard similarity is this close to the best are told apart by their edit distance.
+TIE = 0.15
+#: A side of at most so many rows (and of bounded bytes) is broadcast.
+MAX_SMALL = 500_000
+#: A value that holds more than this share of all rows is hot: at most 1 / HOT of them, which meet their rows by broadcast.
+HOT = 1 / 1000
 
-# Words that dress a drug or condition name without changing what it denotes.
-DRESSING = frozenset(
-    "hcl sodium potassium calcium nos unspecified possible probable suspected known hx of history inj oral susp tab tabs tablet cap caps"
-    " mg mcg g ml iv po sc im xr er sr nf left right bilateral".split()
-)
-_DIGIT_LETTERS = str.maketrans("01", "ol")
-_DIGIT_IN_WORD = re.compile(r"(?<=[^\W\d_])[01]+(?=[^\W\d_])|(?<=[^\W\d_]{2})[01]\b|\b[01](?=[^\W\d_]{3})")
-_WORD = re.compile(r"[^\W\d_]+")
 
+def _unaccented() -> tuple[str, str]:
+    """Letters made of one plain letter and marks, and those plain letters."""
+    pairs = []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFKD", chr(code).lower())
+        if len(parts) > 1 and chr(code).islower() and all(unicodedata.combining(c) for c in parts[1:]):
+            pairs.append((chr(code), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
-def plain(s: str) -> str:
+
+_ACCENTED, _PLAIN = _unaccented()
+
+
+def plain(c: Column) -> Column:
     """Lower case without accents."""
-    return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
-
-
-def words(s: str) -> list[str]:
-    """Letter runs of the plain form without dressing; zeros and ones inside words are read as o and l."""
-    s = _DIGIT_IN_WORD.sub(lambda m: m.group().translate(_DIGIT_LETTERS), plain(s))
-    return [w for w in _WORD.findall(s) if w not in DRESSING]
-
-
-def pairs(ws: list[str]) -> frozenset[str]:
-    t = "".join(ws)
-    return frozenset(t[i : i + 2] for i in range(len(t) - 1)) if len(t) > 1 else frozenset([t] if t else [])
-
-
-def letters(s: str) -> str:
-    return "".join(c for c in plain(s) if c.isalpha())
-
-
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance with swaps of neighbours as one step; most + 1 as soon as it must exceed `most`."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            v = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            new.append(v)
-        if min(new) > most:
-            return most + 1
-        before, row = row, new
-    return min(row[-1], most + 1)
-
-
-class Index:
-    """Rare-prefix postings of one block of entries (ref_id, name) and exact abbreviations (letters -> ref_id)."""
-
-    def __init__(self, names: list[tuple[int, str]], abbreviations: dict[str, int]):
-        self.abbreviations = abbreviations
-        sets = [(r, w, pairs(w)) for r, w in ((r, words(n)) for r, n in names)]
-        count: dict[str, int] = {}
-        for _, _, g in sets:
-            for t in g:
-                count[t] = count.get(t, 0) + 1
-        self.rank = {t: (n, t) for t, n in count.items()}
-        self.refs = [r for r, _, _ in sets]
-        self.text = ["".join(sorted(w)) for _, w, _ in sets]
-        self.sets = [g for _, _, g in sets]
-        self.postings: dict[str, list[tuple[int, int, int]]] = {}
-        for i, g in enumerate(self.sets):
-            order = sorted(g, key=self.rank.__getitem__)
-            for pos, t in enumerate(order[: len(order) - math.ceil(LEAST * len(order)) + 1]):
-                self.postings.setdefault(t, []).append((i, pos, len(order)))
-
-    def best(self, value: str) -> tuple[int, float]:
-        """The entry denoted and its score; (0, 0.0) for none."""
-        known = self.abbreviations.get(letters(value))
-        if known is not None:
-            return known, 2.0
-        ws = words(value)
-        g = pairs(ws)
-        n = len(g)
-        if not n:
-            return 0, 0.0
-        # tokens no entry has are rarer than any other; they use up prefix places but have no postings
-        unknown = sum(t not in self.rank for t in g)
-        order = sorted((t for t in g if t in self.rank), key=self.rank.__getitem__)
-        found: set[int] = set()
-        for pos, t in enumerate(order[: max(0, n - math.ceil(LEAST * n) + 1 - unknown)], unknown):
-            for i, at, m in self.postings.get(t, ()):
-                if i in found or m < LEAST * n or n < LEAST * m:
-                    continue
-                need = math.ceil(LEAST / (1 + LEAST) * (n + m) - 1e-9)
-                if 1 + min(n - pos - 1, m - at - 1) >= need:
-                    found.add(i)
-        text = "".join(sorted(ws))
-        top = (0.0, 0.0, 0)
-        for i in found:
-            both = len(g & self.sets[i])
-            jaccard = both / (n + len(self.sets[i]) - both)
-            if jaccard < LEAST:
-                continue
-            size = max(len(text), len(self.text[i]))
-            edits = edit_distance(text, self.text[i], size // 2) / size
-            if jaccard < SURE and edits > MOST_EDITS:
-                continue
-            top = max(top, (jaccard - edits, jaccard, -self.refs[i]))
-        return (-top[2], top[0] + 1.0) if top[2] else (0, 0.0)
-
-
-def build_blocks(canon: DataFrame) -> list[Index]:
-    """canon: ref_id, item_kind, canon_name, alt_name. A condition's alt_name is an abbreviation, a drug's a second name."""
-    rows = sorted(small_rows(canon.select("ref_id", "item_kind", "canon_name", "alt_name").filter("ref_id is not null"), MAX_ENTRIES, "canon_items"), key=lambda r: r.ref_id)
-    names, short = [], {}
-    for r in rows:
-        names += [(r.ref_id, r.canon_name)] if r.canon_name else []
-        if r.alt_name and r.item_kind == "condition":
-            short.setdefault(letters(r.alt_name), r.ref_id)
-        elif r.alt_name:
-            names.append((r.ref_id, r.alt_name))
-    return [Index(names[i : i + BLOCK], short) for i in range(0, max(1, len(names)), BLOCK)]
+    return F.regexp_replace(F.translate(F.lower(c), _ACCENTED, _PLAIN), r"\p{M}+", "")
 
 
-def map_to_canonical(rows: DataFrame, canon: DataFrame) -> DataFrame:
-    """Adds ref_id (0: denotes no entry) and score to each row by its column `value`; all other columns stay.
+def words(c: Column) -> Column:
+    """Runs of letters of the plain form; a digit between letters belongs to its word."""
+    return F.regexp_extract_all(plain(c), F.lit(r"\p{L}+(?:\p{Nd}\p{L}+)*"), 0)
+
+
+def letters_only(c: Column) -> Column:
+    return F.regexp_replace(plain(c), r"[^\p{L}]", "")
+
+
+def pairs(text: Column) -> Column:
+    """Distinct pairs of neighbouring letters; a single letter is its own."""
+    return F.when(F.length(text) < 2, F.array(text)).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), 1)))
+
+
+def _prefix(size: Column) -> Column:
+    """Tokens of a set of `size` of which one must be shared by any set at least LEAST similar."""
+    return (size - F.ceil(size * LEAST) + 1).cast("int")
 
-    Null and blank values denote nothing. An abbreviation denotes its entry only when all its letters stand there in
-    order and no others. Equal scores go to the smallest ref_id. A row whose value exactly is a canon_name gets that entry
-    like any other; an empty list maps everything to 0.
+
+def _ranked(items: DataFrame, ranks: DataFrame) -> DataFrame:
+    """key, text, r (the ranks of its pairs, rarest first), n, bits (a 64-bit map of the ranks). Partitioned by key once; nothing after it moves."""
+    rows = items.repartition("key").select("key", "text", F.explode(pairs(F.col("text"))).alias("pair"))
+    return rows.join(ranks, "pair").groupBy("key", "text").agg(F.array_sort(F.collect_list("rank")).alias("r"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("rank") % 64)).alias("bits")).withColumn("n", F.size("r"))
+
+
+def _posted(entries: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The rare-prefix postings of the entries."""
+    listed = _ranked(entries.withColumn("key", F.struct("ref", "text")), ranks)
+    at = F.posexplode(F.slice("r", F.lit(1), _prefix(F.col("n"))))
+    return listed.select(F.col("text").alias("e_text"), F.col("r").alias("e_r"), F.col("n").alias("m"), F.col("bits").alias("e_bits"), F.col("key.ref").alias("ref"), at.alias("e_at", "e_rank"))
+
+
+def similar(items: DataFrame, posted: DataFrame, ranks: DataFrame) -> DataFrame:
+    """key, text, ref, jaccard, edits of every item and entry at least LEAST similar.
+
+    items: key, text. posted: postings. Every qualifying pair comes out once: at the rarest pair of letters both share.
+    """
+    left = _ranked(items, ranks)
+    probe = left.select("key", "text", "r", "n", "bits", F.posexplode(F.slice("r", F.lit(1), _prefix(F.col("n")))).alias("at", "rank"))
+    n, m = F.col("n"), F.col("m")
+    need = F.ceil((n + m) * (LEAST / (1 + LEAST)) - 1e-9)
+    on = (F.col("rank") == F.col("e_rank")) & (m >= n * LEAST) & (n >= m * LEAST) & (1 + F.least(n - F.col("at") - 1, m - F.col("e_at") - 1) >= need)
+    # every bit of one map that the other lacks is a pair of letters not shared: a bound that costs no array
+    on = on & (n - F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not("e_bits"))) >= need) & (m - F.bit_count(F.col("e_bits").bitwiseAND(F.bitwise_not("bits"))) >= need)
+    met = probe.join(posted, on)
+    # exploded, so that no later filter is pushed below the cheap conditions of the join and the sets are intersected once
+    met = met.select("*", F.explode(F.array(F.array_intersect("r", "e_r"))).alias("shared"))
+    both = F.size("shared")
+    met = met.filter(F.get("shared", F.lit(0)) == F.col("rank")).withColumn("jaccard", both / (n + m - both)).filter(F.col("jaccard") >= LEAST)
+    edits = F.levenshtein("text", "e_text") / F.greatest(F.length("text"), F.length("e_text"))
+    return met.select("key", "text", "ref", "jaccard", edits.alias("edits"))
+
+
+def _best(found: DataFrame, key: str, least: float) -> DataFrame:
+    """key, ref, score: the most similar entry, where one is at least `least` similar; near ties go to fewer edits, then to the
+    longer text and the smallest ref."""
+    top = F.max("jaccard").over(Window.partitionBy(key))
+    near = found.withColumn("top", top).filter((F.col("top") >= least) & (F.col("jaccard") >= F.col("top") - TIE))
+    order = F.struct(F.col("edits"), -F.col("jaccard"), -F.length("text"), F.col("ref"))
+    return near.groupBy(key).agg(F.min_by(F.struct("ref", "jaccard"), order).alias("b")).select(key, F.col("b.ref").alias("ref"), F.col("b.jaccard").alias("score"))
+
+
+def _keys(names: DataFrame, entries: DataFrame, short: Column) -> DataFrame:
+    """kind, k, ref: the least ref of each exact name, each abbreviation's letters and each name's letters."""
+    exact = names.select(F.lit("name").alias("kind"), F.col("canon_name").alias("k"), "ref")
+    initials = names.filter(short).select(F.lit("short"), letters_only(F.col("alt_name")), "ref")
+    text = entries.select(F.lit("text"), "text", "ref")
+    return exact.unionAll(initials).unionAll(text).filter("k <> ''").groupBy("kind", "k").agg(F.min("ref").alias("ref"))
+
+
+def _stretches(values: DataFrame, longest: int) -> DataFrame:
+    """key, start, text of every run of neighbouring words of at most `longest` letters."""
+    most = F.least(F.size("ws"), F.lit(longest))  # a word has a letter at least
+    runs = values.select("key", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ws")), lambda a: F.slice("ws", a, most))).alias("start", "run"))
+    upto = runs.select("key", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("k"))
+    return upto.select("key", F.array_join(F.slice("run", F.lit(1), F.col("k")), "").alias("text")).filter(F.length("text") <= longest).distinct()
+
+
+def _ranks(values: DataFrame, entries: DataFrame) -> DataFrame:
+    """pair, rank: rarity over list and values together. As large as the alphabet squared at most."""
+    seen = values.select(F.explode(pairs(F.col("text"))).alias("pair")).unionAll(entries.select(F.explode(pairs(F.col("text"))).alias("pair")))
+    counts = cut_lineage(seen.groupBy("pair").agg(F.count("*").alias("n")))
+    if is_small(counts, MAX_SMALL):
+        return F.broadcast(counts.select("pair", F.row_number().over(Window.orderBy("n", "pair")).alias("rank")))
+    return cut_lineage(global_rank(counts, ["n", "pair"]).select("pair", F.col("rank").cast("int").alias("rank")))
+
+
+def canonical_values(values: DataFrame, canon: DataFrame) -> DataFrame:
+    """value, ref, score of each distinct value that denotes an entry. values: value (distinct, not blank). See map_to_canonical."""
+    names = canon.filter("ref_id is not null").select(F.col("ref_id").cast("bigint").alias("ref"), F.lower("item_kind").alias("kind"), "canon_name", "alt_name")
+    short = F.coalesce(F.col("kind") == "condition", F.lit(False))
+    full = names.select("ref", F.col("canon_name").alias("name")).unionAll(names.filter(~short).select("ref", "alt_name")).filter("name is not null")
+    entries = cut_lineage(full.select("ref", F.array_join(words(F.col("name")), "").alias("text")).filter("text <> ''").distinct())
+    sizes = entries.agg(F.max(F.length("text")).alias("longest"), F.count("*").alias("n")).first()
+    longest = math.floor((sizes["longest"] or 0) / LEAST)
+    # a name of the list has at most `longest` postings and two keys
+    hint = F.broadcast if sizes["n"] * longest * max(longest, 8) * 8 <= MAX_BYTES else (lambda df: df)
+
+    df = values.select("value", words(F.col("value")).alias("ws")).withColumn("text", F.array_join("ws", "")).withColumn("initials", letters_only(F.col("value")))
+    keys = _keys(names, entries, short)
+    for kind, column in (("name", "value"), ("short", "initials"), ("text", "text")):
+        one = keys.filter(F.col("kind") == kind).select(F.col("k").alias(f"k_{kind}"), F.col("ref").alias(f"r_{kind}"))
+        df = df.join(hint(one), F.col(column) == F.col(f"k_{kind}"), "left")
+    df = df.select("value", "ws", "text", F.coalesce("r_name", "r_short", "r_text").alias("ref"))
+    df = cut_lineage(df.withColumn("key", F.monotonically_increasing_id()))
+    known = df.filter("ref is not null").select("value", "ref", F.lit(1.0).alias("score"))
+    open_ = df.filter("ref is null and text <> ''")
+    if not longest:
+        return known
+
+    ranks = _ranks(open_, entries)
+    posted = hint(cut_lineage(_posted(entries, ranks)))
+    whole = open_.filter(F.length("text") <= longest).select("key", "text")
+    first = cut_lineage(_best(similar(whole, posted, ranks), "key", SURE))
+    rest = open_.select("key", "ws").join(first.select("key"), "key", "left_anti")
+    parts = _stretches(rest, longest).select(F.struct("key", "text").alias("key"), "text")
+    found = similar(parts, posted, ranks).filter((F.col("jaccard") >= SURE) | (F.col("edits") <= MOST_EDITS)).select(F.col("key.key").alias("key"), "text", "ref", "jaccard", "edits")
+    mapped = first.unionByName(_best(found, "key", LEAST)).join(df.select("key", "value"), "key").select("value", "ref", "score")
+    return known.unionByName(mapped)
+
+
+def map_to_canonical(rows: DataFrame, canon: DataFrame) -> DataFrame:
+    """Adds ref_id (0: denotes no entry) and score (Jaccard similarity, 0.0 for none) to each row by its column `value`.
+
+    canon: ref_id, item_kind, canon_name, alt_name. A condition's alt_name is an abbreviation: it denotes its entry only when all
+    its letters and no others stand there in order. A value equal to a canon_name denotes it before anything else; then
+    abbreviations, then names of the same letters, then the whole value from SURE on, at last its best run of neighbouring words
+    (so doses and routes beside a name need no list of their own). Runs longer than the longest name / LEAST are not compared.
+    Null, blank and letterless values denote nothing; an empty list maps everything to 0. Equal scores go to fewer edits, the
+    longer text, the smallest ref_id. All other columns and repeated rows stay; columns already named ref_id or score are replaced.
     """
-    return _probe(rows, build_blocks(canon))
-
-
-def _probe(rows: DataFrame, blocks: list[Index]) -> DataFrame:
-    """One pass over the rows, each block a broadcast of its own; the best over the blocks counts, so no rows are merged."""
-    shared = [rows.sparkSession.sparkContext.broadcast(b) for b in blocks]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str | None, tuple[int, float]] = {}
-        indexes = [b.value for b in shared]
-        for p in parts:
-            if len(known) > CACHE:
-                known.clear()
-            values = p["value"].where(p["value"].notna(), None).tolist()
-            for v in set(values) - known.keys():
-                known[v] = max((x.best(v) for x in indexes), key=lambda b: (b[1], -b[0])) if v and not v.isspace() else (0, 0.0)
-            p["ref_id"] = [known[v][0] for v in values]
-            p["score"] = [known[v][1] for v in values]
-            yield p
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("ref_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInPandas(run, schema)
+    rows = rows.drop("ref_id", "score")
+    counted = rows.filter(F.coalesce(trim_blanks(F.col("value")), F.lit("")) != "").groupBy("value").agg(F.count("*").alias("n_rows"))
+    counted = cut_lineage(counted)
+    got = cut_lineage(canonical_values(counted, canon).join(counted, "value").select(F.col("value").alias("__v"), F.col("ref").alias("__ref"), F.col("score").alias("__score"), "n_rows"))
+    found = got.drop("n_rows")
+    on = F.col("value") == F.col("__v")
+    if is_small(found, MAX_SMALL):
+        out = rows.join(F.broadcast(found), on, "left")
+    else:
+        # at most 1 / HOT hot values meet their rows where they lie; all other rows meet by a shuffle
+        total = counted.agg(F.sum("n_rows")).first()[0]
+        hot = F.col("n_rows") > total * HOT
+        near = rows.join(F.broadcast(got.filter(hot).drop("n_rows")), on, "left").drop("__v")
+        far = near.filter("__ref is null").drop("__ref", "__score").join(got.filter(~hot).drop("n_rows"), on, "left")
+        out = near.filter("__ref is not null").unionByName(far.drop("__v"))
+    return out.select(*rows.columns, F.coalesce("__ref", F.lit(0).cast("bigint")).alias("ref_id"), F.coalesce("__score", F.lit(0.0)).alias("score"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgate.functions.text import trim_blanks
-from factgate.llm.canonical import map_to_canonical
+from factgate.llm.canonical import LEAST, MAX_SMALL, MOST_EDITS, SURE, TIE, map_to_canonical
 from factgate.llm.chunking import split_texts
 from factgate.llm.duplicates import label_copies
 from factgate.llm.mixture import mix
@@ -15,7 +15,7 @@ from factgate.llm.perplexity import perplexity_bands
 from factgate.llm.repetition import LEAST_SHARE, repetition_share
 from factgate.llm.splits import assign_splits, note_groups, split_report
 from factgate.llm.tokens import count_tokens
-from factgate.tables import table
+from factgate.tables import broadcast_if_small, table
 
 
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,8 +40,8 @@ def _mapped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "canon_items").select(F.col("canon_name").alias("value")).filter("value is not null")
-    return _mapped(spark, sf).join(F.broadcast(names), "value", "left_anti").select("item_table", "row_id", "ref_id")
+    names = table(spark, sf, "canon_items").select(F.col("canon_name").alias("value")).filter("value is not null").distinct()
+    return _mapped(spark, sf).join(broadcast_if_small(names, MAX_SMALL), "value", "left_anti").select("item_table", "row_id", "ref_id")
 
 
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,6 +49,11 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy("item_table").agg(F.count("*").alias("n_rows"), F.count_if(F.col("ref_id") == 0).alias("n_unmatched"), F.countDistinct(F.when(F.col("ref_id") == 0, F.col("value"))).alias("n_unmatched_values"))
 
 
+def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """The values that denote no entry, with the rows that hold them."""
+    return _mapped(spark, sf).filter("ref_id = 0").groupBy("item_table", "value").agg(F.count("*").alias("n_rows"))
+
+
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
     return note_groups(table(spark, sf, "notes_all"), table(spark, sf, "subject_links"))
 
@@ -114,7 +119,7 @@ def p10_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return perplexity_bands(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_report, p4_found, p4_splits, p4_report, p7_found, p7_records, p8_packed, p8_report, p9_mixture, p9_report, p10_found, p10_shares, p10_perplexity)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_report, p3_unmatched, p4_found, p4_splits, p4_report, p7_found, p7_records, p8_packed, p8_report, p9_mixture, p9_report, p10_found, p10_shares, p10_perplexity)}
 
 _BARE = r"coalesce(lower(regexp_replace(regexp_replace(regexp_replace({0}, '(\pN)\.(\pN)', '\1' || chr(1) || '\2', 'g'), '(\pN)\.(\pN)', '\1' || chr(1) || '\2', 'g'), '[^\pL\p{{Nd}}' || chr(1) || ']', '', 'g')), '')"
 _P7 = f"""
@@ -142,12 +147,51 @@ def _longest(pattern: str) -> str:
     return f"list_max(list_transform(string_split_regex(text, '{pattern}'), lambda x: length(regexp_replace(x, '^{blank}+|{blank}+$', '', 'g'))))"
 
 
+def _pairs(t: str) -> str:
+    return f"CASE WHEN length({t}) < 2 THEN [{t}] ELSE list_distinct(list_transform(range(1, length({t})), lambda i: substr({t}, i, 2))) END"
+
+
+def _shared(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+
+
+_EDITS = "levenshtein(t, e) / greatest(length(t), length(e))"
+_WS = r"regexp_extract_all(strip_accents(lower({0})), '\pL+(?:\p{{Nd}}\pL+)*')"
+_BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
+_P3 = rf"""
+WITH rows_ AS (
+  SELECT 'prescriptions' AS item_table, row_id, drug AS v FROM prescriptions UNION ALL SELECT 'triples', triple_id, entity FROM triples WHERE source <> 'ehr'),
+held AS (SELECT * FROM rows_ WHERE regexp_replace(v, '{_BLANKS}', '', 'g') <> ''),
+ents AS (
+  SELECT ref, e, {_pairs('e')} AS pe FROM (SELECT DISTINCT ref, array_to_string({_WS.format('n')}, '') AS e FROM (
+    SELECT ref_id AS ref, canon_name AS n FROM canon_items UNION ALL SELECT ref_id, alt_name FROM canon_items WHERE item_kind <> 'condition') WHERE n IS NOT NULL) WHERE e <> ''),
+vals AS (SELECT v, ws, array_to_string(ws, '') AS t, regexp_replace(strip_accents(lower(v)), '[^\pL]', '', 'g') AS i FROM (SELECT v, {_WS.format('v')} AS ws FROM (SELECT DISTINCT v FROM held))),
+known AS (
+  SELECT v, ws, t, coalesce((SELECT min(ref_id) FROM canon_items WHERE canon_name = v),
+    (SELECT min(ref_id) FROM canon_items WHERE item_kind = 'condition' AND regexp_replace(strip_accents(lower(alt_name)), '[^\pL]', '', 'g') = i),
+    (SELECT min(ref) FROM ents WHERE e = t)) AS ref FROM vals),
+size_ AS (SELECT floor(max(length(e)) / {LEAST}) AS longest FROM ents),
+whole AS (SELECT v, t, e, ents.ref, {_shared('pt', 'pe')} AS j FROM (SELECT v, t, {_pairs('t')} AS pt FROM known, size_ WHERE ref IS NULL AND t <> '' AND length(t) <= longest) JOIN ents ON len(pt) >= {LEAST} * len(pe) AND len(pe) >= {LEAST} * len(pt)),
+w1 AS (SELECT *, {_EDITS} AS d, max(j) OVER (PARTITION BY v) AS top FROM whole WHERE j >= {LEAST}),
+first_ AS (SELECT v, arg_min(ref, (d, -j, -length(t), ref)) AS ref FROM w1 WHERE top >= {SURE} AND j >= top - {TIE} GROUP BY 1),
+runs AS (SELECT v, a, unnest(range(a, len(ws) + 1)) AS b, ws FROM (SELECT v, ws, unnest(range(1, len(ws) + 1)) AS a FROM known WHERE ref IS NULL AND v NOT IN (SELECT v FROM first_))),
+parts AS (SELECT DISTINCT v, t FROM (SELECT v, array_to_string(ws[a:b], '') AS t FROM runs), size_ WHERE length(t) <= longest),
+near AS (SELECT v, t, e, ents.ref, {_shared('pt', 'pe')} AS j FROM (SELECT v, t, {_pairs('t')} AS pt FROM parts) JOIN ents ON len(pt) >= {LEAST} * len(pe) AND len(pe) >= {LEAST} * len(pt)),
+w2 AS (SELECT *, {_EDITS} AS d FROM near WHERE j >= {LEAST}),
+w3 AS (SELECT *, max(j) OVER (PARTITION BY v) AS top FROM w2 WHERE j >= {SURE} OR d <= {MOST_EDITS}),
+second AS (SELECT v, arg_min(ref, (d, -j, -length(t), ref)) AS ref FROM w3 WHERE j >= top - {TIE} GROUP BY 1),
+mapped AS (SELECT item_table, row_id, held.v, CAST(coalesce(known.ref, first_.ref, second.ref, 0) AS BIGINT) AS ref_id FROM held JOIN known ON known.v = held.v LEFT JOIN first_ ON first_.v = held.v LEFT JOIN second ON second.v = held.v)
+"""
+
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
 ORACLE = {
     "p2_found": _STRETCH
     + f"{_longest(r'\n' + r'[\t\r\f\x0B\x1C-\x1F\x{85}\pZ]*' + r'\n')} AS a, {_longest(r'\n')} AS b, "
     + f"list_max(list_transform(string_split_regex(regexp_replace(text, '([.!?]){_SPACE}+', '\\1' || chr(10), 'g'), '\\n'), lambda x: length(regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')))) AS c, {_longest(_SPACE + '+')} AS d FROM long_) "
     + "SELECT item_table, item_key, CASE WHEN a <= max_chars THEN 'blank_line' WHEN b <= max_chars THEN 'line' WHEN c <= max_chars THEN 'sentence' WHEN d <= max_chars THEN 'space' ELSE 'none' END AS boundary FROM longest",
+    "p3_found": _P3 + "SELECT item_table, row_id, ref_id FROM mapped WHERE v NOT IN (SELECT canon_name FROM canon_items WHERE canon_name IS NOT NULL)",
+    "p3_report": _P3 + "SELECT item_table, count(*) AS n_rows, count(*) FILTER (WHERE ref_id = 0) AS n_unmatched, count(DISTINCT v) FILTER (WHERE ref_id = 0) AS n_unmatched_values FROM mapped GROUP BY 1",
+    "p3_unmatched": _P3 + "SELECT item_table, v AS value, count(*) AS n_rows FROM mapped WHERE ref_id = 0 GROUP BY ALL",
     "p4_found": """
 WITH RECURSIVE ties AS (
   SELECT 'n' || note_id AS a, 's' || subject_id AS b FROM notes_all WHERE note_id IS NOT NULL AND subject_id IS NOT NULL

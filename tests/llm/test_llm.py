@@ -82,28 +82,54 @@ def test_values_map_to_their_entry(spark):
     assert canonical.map_to_canonical(rows.limit(0), canon).count() == 0
 
 
-def test_prefix_filter_loses_no_pair():
+def _canon(spark, rows):
+    return spark.createDataFrame(rows, "ref_id bigint, item_kind string, canon_name string, alt_name string")
+
+
+def test_prefix_filter_loses_no_pair(spark):
     rng = random.Random(3)
-    names = [(i + 1, "".join(rng.choice("abcdef") for _ in range(rng.randint(4, 12)))) for i in range(80)]
-    ix = canonical.Index(names, {})
-    for _ in range(300):
+    names = [(i + 1, "".join(rng.choice("abcdef") for _ in range(rng.randint(4, 12)))) for i in range(60)]
+    texts = set()
+    for _ in range(200):
         v = list(rng.choice(names)[1])
         for _ in range(rng.randint(0, 3)):
             v[rng.randrange(len(v))] = rng.choice("abcdefg")
-        v = "".join(v)
-        g = canonical.pairs(canonical.words(v))
-        best = max((len(g & s) / len(g | s) if g | s else 0 for s in ix.sets), default=0)
-        ref, _ = ix.best(v)
-        if best >= canonical.SURE:
-            assert ref  # with a certain candidate there is a result
+        texts.add("".join(v))
+    entries = spark.createDataFrame(names, "ref bigint, text string")
+    items = spark.createDataFrame(list(enumerate(sorted(texts))), "key bigint, text string")
+    ranks = canonical._ranks(items, entries)
+    got = {(r.text, r.ref): round(r.jaccard, 9) for r in canonical.similar(items, canonical._posted(entries, ranks), ranks).collect()}
 
+    def cut(t):
+        return {t[i : i + 2] for i in range(len(t) - 1)}
 
-def test_blocks_agree_with_one_index(spark, monkeypatch):
-    canon = spark.createDataFrame(CANON, "ref_id bigint, item_kind string, canon_name string, alt_name string")
-    rows = spark.createDataFrame([(v,) for v in VALUES], "value string")
-    whole = {r.value: r.ref_id for r in canonical.map_to_canonical(rows, canon).collect()}
-    monkeypatch.setattr(canonical, "BLOCK", 2)
-    assert {r.value: r.ref_id for r in canonical.map_to_canonical(rows, canon).collect()} == whole
+    want = {(t, i): round(len(cut(t) & cut(n)) / len(cut(t) | cut(n)), 9) for t in texts for i, n in names}
+    assert got == {k: j for k, j in want.items() if j >= canonical.LEAST - 1e-9}
+
+
+def test_an_exact_name_wins_and_no_word_is_dropped(spark):
+    canon = _canon(spark, [(3, "drug", "sodium chloride", None), (4, "drug", "potassium chloride", None), (5, "drug", "chloride", None), (6, "condition", "left possible calcium", None)])
+    rows = spark.createDataFrame([(v,) for v in ("sodium chloride", "potassium chloride", "chloride", "Potasium chloride 5 mg", "possible left calcium", None)], "value string")
+    got = {r.value: r.ref_id for r in canonical.map_to_canonical(rows, canon).collect()}
+    assert got == {"sodium chloride": 3, "potassium chloride": 4, "chloride": 5, "Potasium chloride 5 mg": 4, "possible left calcium": 6, None: 0}
+
+
+def test_shuffled_paths_agree_with_broadcasts(spark, monkeypatch):
+    canon = _canon(spark, CANON)
+    values = [v for v in VALUES] + ["hot value"] * 30 + ["rebf?"] * 30
+    rows = spark.createDataFrame([(v, "x", 1) for v in values], "value string, text string, score int")
+    whole = sorted((r.value, r.text, r.ref_id, r.score) for r in canonical.map_to_canonical(rows, canon).collect())
+    monkeypatch.setattr(canonical, "is_small", lambda df, n: False)
+    monkeypatch.setattr(canonical, "MAX_BYTES", 0)
+    monkeypatch.setattr(canonical, "HOT", 0.2)
+    assert sorted((r.value, r.text, r.ref_id, r.score) for r in canonical.map_to_canonical(rows, canon).collect()) == whole
+    assert len(whole) == len(values)
+
+
+def test_long_values_are_read_whole(spark):
+    canon = _canon(spark, CANON)
+    rows = spark.createDataFrame([("word " * 3000 + "suloraspramil",), ("x" * 50_000,)], "value string")
+    assert [r.ref_id for r in canonical.map_to_canonical(rows, canon).collect()] == [1, 0]
 
 
 # ---------------------------------------------------------------- splits
