@@ -2,8 +2,9 @@
 
 Every valid parse of a value is a candidate. Expectation-maximisation per source fits a mixture over formats and over
 the lag between the parsed day and the row's arrival; a value's posterior picks its interpretation and values that stay
-undecided are marked. A source's declared day/month order is a prior that leaves the other order no weight. Only counts
-per (source, candidate formats, lag bins) enter the fit, so its input is bounded however many rows there are.
+undecided are marked. A source's declared day/month order is a prior worth PRIOR values: it decides where the data say little and
+yields where they say otherwise. Only counts per (source, candidate formats, lag bins) enter the fit, so its input is bounded however
+many rows there are. Each value is parsed once and written down; fit and choice read what was written.
 """
 
 from __future__ import annotations
@@ -15,13 +16,20 @@ from pyspark.sql import functions as F
 
 from factgate.functions.dates import DAY_US, MONTH_RE, existing_date, micros_text, month_number
 from factgate.functions.text import trim_blanks
-from factgate.tables import small_rows
+from factgate.session import cut_lineage
+from factgate.tables import broadcast_if_small, small_rows
 
 #: The site table must fit the driver; it bounds the mixture table too (sites x formats x lag bins squared).
 MAX_SITES = 100_000
 EM_ROUNDS = 30
+#: A fit of at most so many rows is broadcast to the values.
+MAX_FIT = 200_000
 #: A posterior below this leaves the value marked as ambiguous.
 DECIDED = 0.95
+#: What a declared day/month order weighs against the data, in values.
+PRIOR = 20.0
+#: Share of a source's numeric dates that may be slips: an order it writes less often is none of its orders.
+ERROR = 0.05
 LAG_EDGES = (-2, 3, 15, 61, 401)  # days from the parsed day to arrival; six bins
 
 # Usual offsets of zone abbreviations in minutes; by region of the site where they differ.
@@ -40,20 +48,24 @@ REGION_ZONES = {
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*([AaPp]\.?[Mm]\.?)?\s*([+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Za-z]{1,5})?$"
 _JOIN = r"(?:[Tt]|\s*,\s*|\s+)"
-# Rewrites of a date part into kind|year|month|day; a part no rule fits keeps no bar.
-_DATE_RULES = (
+# Rewrites of a date part into kind|year|month|day, by what it begins with; a part no rule fits keeps no bar.
+_YEAR_FIRST = (
     (r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$", "ymd|$1|$3|$4"),
     (r"^(\d{4})(\d{2})(\d{2})$", "packed|$1|$2|$3"),
+    (r"^(\d{4})[-/.](\d{1,2})$", "month|$1|$2|1"),
+    (r"^(\d{4})$", "year|$1|1|1"),
+)
+_DAY_OR_MONTH_FIRST = (
     (r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$", "numeric|$4|$1|$3"),
     (r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{2})$", "numeric|20$4|$1|$3"),
+    (r"^(\d{1,2})[-/.](\d{4})$", "month|$2|$1|1"),
+)
+_NAMED = (
     (rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?[\s,.-]*({MONTH_RE})[\s,.-]*(\d{{4}})$", "named|$3|$2|$1"),
     (rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?[\s,.-]*({MONTH_RE})[\s,.-]*(\d{{2}})$", "named|20$3|$2|$1"),
     (rf"(?i)^({MONTH_RE})[\s.-]*(\d{{1,2}})(?:st|nd|rd|th)?[\s,-]+(\d{{4}})$", "named|$3|$1|$2"),
-    (r"^(\d{4})[-/.](\d{1,2})$", "month|$1|$2|1"),
-    (r"^(\d{1,2})[-/.](\d{4})$", "month|$2|$1|1"),
     (rf"(?i)^({MONTH_RE})[\s,.-]*(\d{{4}})$", "month|$2|$1|1"),
-    (r"^(\d{4})$", "year|$1|1|1"),
-)
+)
 
 
 def zone_table(tz: str | None) -> dict[str, int]:
@@ -72,21 +84,27 @@ def _zone_minutes(zone: Column, zones: Column) -> Column:
     return F.when(zone.rlike("^[+-]"), numeric.cast("int")).otherwise(F.try_element_at(zones, F.upper(zone)))
 
 
+def _rewritten(c: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, into in rules:
+        c = F.regexp_replace(c, pattern, into)
+    return c
+
+
 def parse_candidates(values: DataFrame) -> DataFrame:
     """Adds fmt_a, day_a, fmt_b, day_b (the valid readings of the date part), precision, and the parts of the time.
 
-    values: raw, tz and anything else. All in the JVM; each pattern is matched once a value.
+    values: raw, tz and anything else. All in the JVM; a value meets only the patterns its first characters allow.
     """
-    s = trim_blanks(F.col("raw"))
+    trimmed = trim_blanks(F.col("raw"))
     # digits run together are written out first: 20200123T195937Z, 20200123195937
-    s = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})[Tt ]?(\d{2})(\d{2})(\d{2})((?:[.,]\d+)?\s*(?:[Zz]|[+-]\d{2}:?\d{2})?)$", "$1-$2-$3T$4:$5:$6$7")
-    s = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})([Zz]?)$", "$1-$2-$3T$4:$5$6")
-    df = values.withColumn("parts", F.split(F.regexp_replace(s, _JOIN + _TIME, "|$1|$2|$3|$4|$5|$6"), r"\|", -1))
-    parts = F.col("parts")
-    date_s = trim_blanks(parts[0])
-    df = df.withColumn("timed", F.size("parts") == 7)
-    for pattern, into in _DATE_RULES:
-        date_s = F.regexp_replace(date_s, pattern, into)
+    packed = F.regexp_replace(trimmed, r"^(\d{4})(\d{2})(\d{2})[Tt ]?(\d{2})(\d{2})(\d{2})((?:[.,]\d+)?\s*(?:[Zz]|[+-]\d{2}:?\d{2})?)$", "$1-$2-$3T$4:$5:$6$7")
+    packed = F.regexp_replace(packed, r"^(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})([Zz]?)$", "$1-$2-$3T$4:$5$6")
+    s = F.when((F.length(trimmed) > 8) & F.substring(trimmed, 5, 1).between("0", "9"), packed).otherwise(trimmed)
+    df = values.withColumn("__s", s).withColumn("parts", F.split(F.regexp_replace("__s", _JOIN + _TIME, "|$1|$2|$3|$4|$5|$6"), r"\|", -1))
+    s, parts = F.col("__s"), F.col("parts")
+    df = df.withColumn("timed", F.size("parts") == 7).withColumn("__d", trim_blanks(parts[0]))
+    d = F.col("__d")
+    date_s = F.when(d.rlike("[A-Za-z]"), _rewritten(d, _NAMED)).when(d.rlike(r"^\d{4}"), _rewritten(d, _YEAR_FIRST)).otherwise(_rewritten(d, _DAY_OR_MONTH_FIRST))
     df = df.withColumn("ymd", F.split(date_s, r"\|", -1))
     y, m, d = (F.get("ymd", i) for i in (1, 2, 3))
     kind = F.when(F.size("ymd") == 4, F.col("ymd")[0])
@@ -141,18 +159,26 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     f = np.stack([pdf[c].map(index).fillna(-1).to_numpy(int) for c in ("fmt_a", "fmt_b")])
     b = np.stack([pdf[c].fillna(-1).to_numpy(int) for c in ("bin_a", "bin_b")])
     may = f >= 0
-    barred = index.get({"mdy": "dmy", "dmy": "mdy"}.get(declared, ""), -2)
-    may &= f != barred
-    weight, lag = np.full(len(names), 1 / max(1, len(names))), np.full(nb, 1 / nb)
-    post = np.zeros(f.shape)
+    orders = np.array([x in ("mdy", "dmy") for x in names])
+    pseudo = np.array([PRIOR if x == declared else 1e-9 for x in names])
+    weight, lag = 1 + pseudo, np.full(nb, 1 / nb)
+    post, wrong = np.zeros(f.shape), np.zeros(f.shape[1])
     for _ in range(EM_ROUNDS):
-        like = np.where(may, weight[f] * lag[b], 0.0)
-        total = like.sum(0)
-        post = np.divide(like, total, out=np.zeros_like(like), where=total > 0)
+        # the two orders share out the numeric dates; every other format is the only reading of its values
+        share = np.where(orders, weight / max(weight[orders].sum(), 1e-300), 1.0)
+        like = np.where(may, share[f] * lag[b], 0.0)
+        likelier = np.where(share[f[0]] >= share[f[1]], 0, 1) * (f[1] >= 0) * (f[0] >= 0) + (f[0] < 0)
+        at = np.arange(f.shape[1])
+        wrong = np.where(orders[f[likelier, at]], ERROR * lag[b[likelier, at]], 0.0)
+        total = like.sum(0) + wrong
+        post, wrong = np.divide(like, total, out=np.zeros_like(like), where=total > 0), wrong / np.maximum(total, 1e-300)
         soft = post * n
-        weight = np.bincount(f[may], soft[may], minlength=len(names)) + 1e-9
+        weight = np.bincount(f[may], soft[may], minlength=len(names)) + pseudo
         lag = np.bincount(b[may], soft[may], minlength=nb) + 0.5
-        weight, lag = weight / weight.sum(), lag / lag.sum()
+        lag = lag / lag.sum()
+    post[:, wrong > post.max(0)] = 0.0  # more likely a slip of the pen than any order the source writes
+    post = np.divide(post, post.sum(0), out=np.zeros_like(post), where=post.sum(0) > 0)
+    weight = weight / weight.sum()
     both = (pdf["fmt_a"].notna() & pdf["fmt_b"].notna()).to_numpy()
     out = pdf[["source_key", "fmt_a", "bin_a", "fmt_b", "bin_b", "n"]].copy()
     out["post_a"] = post[0]
@@ -183,8 +209,10 @@ def fit_formats(parsed: DataFrame) -> DataFrame:
 
 
 def parse_values(values: DataFrame, sites: DataFrame) -> DataFrame:
+    """Every value with its candidate readings, written to the checkpoint folder."""
     parsed = parse_candidates(with_sites(values, sites))
-    return parsed.withColumn("bin_a", F.when(F.col("fmt_a").isNotNull(), _lag(F.col("day_a"), F.col("loaded_at")))).withColumn("bin_b", F.when(F.col("fmt_b").isNotNull(), _lag(F.col("day_b"), F.col("loaded_at"))))
+    parsed = parsed.drop("zones").withColumn("bin_a", F.when(F.col("fmt_a").isNotNull(), _lag(F.col("day_a"), F.col("loaded_at")))).withColumn("bin_b", F.when(F.col("fmt_b").isNotNull(), _lag(F.col("day_b"), F.col("loaded_at"))))
+    return cut_lineage(parsed.drop("site_id", "loaded_at"))
 
 
 def normalise_times(values: DataFrame, sites: DataFrame) -> DataFrame:
@@ -194,7 +222,7 @@ def normalise_times(values: DataFrame, sites: DataFrame) -> DataFrame:
     (instant, date, month, year), fmt, posterior, status. norm of an instant is UTC with microseconds; seconds not given
     are 0, further fraction digits are cut. Without a zone the site's zone holds: a local time that occurs twice is the
     first, one skipped moves forward by the gap. status: 'ok'; 'ambiguous' (the posterior stays below DECIDED; the likelier
-    reading is still given, equal ones as month first); 'unreadable' (null, no year, no such day or time, unknown zone, a
+    reading is still given, equal ones as month first). Where more than ERROR of a source's rows contradict its declared order, they win over it; 'unreadable' (null, no year, no such day or time, unknown zone, a
     time without any zone; norm is null).
     """
     parsed = parse_values(values, sites)
@@ -202,8 +230,7 @@ def normalise_times(values: DataFrame, sites: DataFrame) -> DataFrame:
     on = F.col("source_key") == F.col("m_source_key")
     for c in ("fmt_a", "bin_a", "fmt_b", "bin_b"):
         on = on & F.col(c).eqNullSafe(F.col(f"m_{c}"))
-    # the fit has at most (MAX_SITES + 1) x formats x bins squared rows, and in fact a few hundred a site
-    got = parsed.join(F.broadcast(fit), on, "left")
+    got = parsed.join(broadcast_if_small(fit, MAX_FIT), on, "left")
     use_a = F.coalesce(F.col("post_a"), F.lit(0.0)) >= F.coalesce(F.col("post_b"), F.lit(0.0))
     post = F.greatest(F.coalesce("post_a", F.lit(0.0)), F.coalesce("post_b", F.lit(0.0)))
     day = F.when(post > 0, F.when(use_a, F.col("day_a")).otherwise(F.col("day_b")))

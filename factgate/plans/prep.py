@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgate.operators.orphans import code_key, orphan_references, orphan_report
-from factgate.operators.timestamps import fit_formats, normalise_times, parse_values
+from factgate.operators.timestamps import REGION_ZONES, ZONES, fit_formats, normalise_times, parse_values
 from factgate.operators.wide import to_wide, wide_issues
 from factgate.tables import table
 
@@ -156,7 +156,51 @@ _P6 = " UNION ALL ".join(
     [_p6_sql("diagnoses_icd", "icd9_code", "d_icd_diagnoses", _CODE), _p6_sql("diagnoses_icd", "hadm_id", "admissions", "{0}"), _p6_sql("labevents", "itemid", "d_labitems", "{0}")]
 )
 
+_ZONES = ", ".join(f"('{z}', {m})" for z, m in ZONES.items())
+_REGIONS = ", ".join(f"('{r}', '{z}', {m})" for r, zs in REGION_ZONES.items() for z, m in zs.items())
+_TIME = r"^(.*?)(?:[Tt]|\s*,\s*|\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*([AaPp]\.?[Mm]\.?)?\s*([+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Za-z]{1,5})?$"
+_DATE_SHAPES = (
+    # pattern, kind, and where year, month (or day) and day (or month) stand
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "ymd", "123"), (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "ymd", "123"), (r"^(\d{4})\.(\d{1,2})\.(\d{1,2})$", "ymd", "123"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "ymd", "123"), (r"^(\d{4})[-/.](\d{1,2})$", "month", "12"), (r"^(\d{4})$", "year", "1"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4}|\d{2})$", "numeric", "312"), (r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$", "numeric", "312"), (r"^(\d{1,2})\.(\d{1,2})\.(\d{4}|\d{2})$", "numeric", "312"),
+    (r"^(\d{1,2})[-/.](\d{4})$", "month", "21"),
+    (rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?[\s,.-]*({_MON})[\s,.-]*(\d{{4}}|\d{{2}})$", "named", "321"),
+    (rf"(?i)^({_MON})[\s.-]*(\d{{1,2}})(?:st|nd|rd|th)?[\s,-]+(\d{{4}})$", "named", "312"), (rf"(?i)^({_MON})[\s,.-]*(\d{{4}})$", "month", "21"),
+)
+
+
+def _part(i: int) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(ds, '{p}') THEN regexp_extract(ds, '{p}', {at[i]})" for p, _, at in _DATE_SHAPES if len(at) > i) + " END"
+
+
+#: norm of every admittime and temporal_start by the plain rules: the declared order, the site's zone.
+TIMES_SQL = rf"""
+raw_ AS (
+  SELECT 'admissions' AS item_table, row_id, admittime AS raw, site_id FROM admissions UNION ALL SELECT 'triples', triple_id, temporal_start, site_id FROM triples),
+t0 AS (SELECT item_table, row_id, tz, coalesce(date_order, 'mdy') AS date_order, {_trim('raw')} AS s FROM raw_ LEFT JOIN sites USING (site_id) WHERE raw IS NOT NULL),
+t1 AS (SELECT * REPLACE (regexp_replace(regexp_replace(s, '^(\d{{4}})(\d{{2}})(\d{{2}})[Tt ]?(\d{{2}})(\d{{2}})(\d{{2}})((?:[.,]\d+)?\s*(?:[Zz]|[+-]\d{{2}}:?\d{{2}})?)$', '\1-\2-\3T\4:\5:\6\7'),
+  '^(\d{{4}})(\d{{2}})(\d{{2}})[Tt](\d{{2}})(\d{{2}})([Zz]?)$', '\1-\2-\3T\4:\5\6') AS s) FROM t0),
+t2 AS (SELECT *, regexp_matches(s, '{_TIME}') AS timed, regexp_extract(s, '{_TIME}', ['d', 'h', 'mi', 'se', 'fr', 'half', 'zone']) AS x FROM t1),
+t3 AS (SELECT *, {_trim("CASE WHEN timed THEN x.d ELSE s END")} AS ds FROM t2),
+t4 AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(ds, '{p}') THEN '{k}'" for p, k, _ in _DATE_SHAPES)} END AS kind, {_part(0)} AS y0, {_part(1)} AS m0, {_part(2)} AS d0 FROM t3),
+t5 AS (SELECT *, CASE WHEN length(y0) = 2 THEN '20' || y0 ELSE y0 END AS y, CASE WHEN regexp_matches(m0, '^[A-Za-z]') THEN try_cast((instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(substr(m0, 1, 3))) + 2) // 3 AS VARCHAR) ELSE m0 END AS a FROM t4),
+t6 AS (SELECT *, CASE WHEN try_cast(y AS INT) > 0 THEN try_cast(y || '-' || CASE WHEN kind = 'year' THEN '1-1' WHEN kind = 'month' THEN a || '-1' WHEN kind = 'numeric' AND date_order = 'dmy' THEN d0 || '-' || a ELSE a || '-' || d0 END AS DATE) END AS day,
+  CASE WHEN x.half = '' THEN try_cast(x.h AS INT) WHEN try_cast(x.h AS INT) BETWEEN 1 AND 12 THEN try_cast(x.h AS INT) % 12 + CASE WHEN lower(x.half[1]) = 'p' THEN 12 ELSE 0 END END AS hh FROM t5),
+zs(zone, mins) AS (VALUES {_ZONES}), zr(region, zone, mins) AS (VALUES {_REGIONS}),
+t7 AS (SELECT t6.*, CASE WHEN x.zone = '' OR NOT timed THEN NULL WHEN regexp_matches(x.zone, '^[+-]') THEN
+    (CASE WHEN x.zone[1] = '-' THEN -1 ELSE 1 END) * (try_cast(regexp_replace(x.zone, '[^0-9]', '', 'g')[1:2] AS INT) * 60 + try_cast('0' || regexp_replace(x.zone, '[^0-9]', '', 'g')[3:4] AS INT))
+    ELSE coalesce(zr.mins, zs.mins) END AS mins,
+  CASE WHEN hh < 24 AND try_cast(x.mi AS INT) < 60 AND coalesce(try_cast(x.se AS INT), 0) < 60 THEN day + to_hours(hh) + to_minutes(try_cast(x.mi AS INT)) + to_seconds(coalesce(try_cast(x.se AS INT), 0)) + to_microseconds(try_cast(rpad(substr(x.fr, 1, 6), 6, '0') AS INT)) END AS wall
+  FROM t6 LEFT JOIN zs ON zs.zone = upper(x.zone) LEFT JOIN zr ON zr.zone = upper(x.zone) AND starts_with(tz, region)),
+t8 AS (SELECT *, CASE WHEN x.zone <> '' THEN wall - to_minutes(mins) WHEN timezone(tz, timezone(tz, wall) - INTERVAL 1 HOUR) = wall THEN timezone('UTC', timezone(tz, wall) - INTERVAL 1 HOUR) ELSE timezone('UTC', timezone(tz, wall)) END AS utc FROM t7),
+times AS (SELECT item_table, row_id, CASE
+  WHEN regexp_matches(s, '^\d{{10}}$') THEN strftime(make_timestamp(try_cast(s AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S.%fZ') WHEN regexp_matches(s, '^\d{{13}}$') THEN strftime(make_timestamp(try_cast(s AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%fZ')
+  WHEN timed AND kind IN ('ymd', 'numeric', 'named') THEN strftime(utc, '%Y-%m-%dT%H:%M:%S.%fZ') WHEN timed THEN NULL
+  WHEN kind = 'year' THEN strftime(day, '%Y') WHEN kind = 'month' THEN strftime(day, '%Y-%m') ELSE strftime(day, '%Y-%m-%d') END AS norm FROM t8)"""
+
 ORACLE = {
+    "p5_found": f"WITH {TIMES_SQL} SELECT * FROM times WHERE norm IS NOT NULL",
     "p1_found": _P1_CELLS + "SELECT entity, attribute, issue FROM judged WHERE issue IS NOT NULL",
     "p1_wide": _P1_WIDE,
     "p6_found": f"SELECT child_table, ref_field, row_id, status FROM ({_P6})",

@@ -73,6 +73,14 @@ def test_em_finds_an_undeclared_order_and_marks_what_stays_open(spark):
     assert fit_formats(parse_values(v, s)).count() > 0
 
 
+def test_a_wrong_declaration_yields_to_the_data(spark):
+    days = [f"{d}/{m}/2021" for d in range(13, 29) for m in range(1, 13)] + ["05/06/2021"]
+    values, sites = frames(spark, [(1, d, None) for d in days] + [(5, "05/06/2021", None)])
+    got = {(r.site, r.raw): r for r in normalise_times(values, sites).join(values.select("row_id", values.site_id.alias("site")), "row_id").collect()}
+    assert got[1, "25/12/2021"].norm == "2021-12-25" and got[1, "05/06/2021"].norm == "2021-06-05"
+    assert got[5, "05/06/2021"].norm == "2021-06-05"
+
+
 def test_empty(spark):
     v, s = frames(spark, CASES)
     assert normalise_times(v.limit(0), s).count() == 0
