@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factgate.functions.clinical import lookup
 from factgate.functions.text import normalize, tokens
-from factgate.vocab import ABBREVIATIONS
+from factgate.vocab import ABBREVIATIONS, CONCEPT_STOP_WORDS
 
 _EXPANDED = {k: v for k, v in ABBREVIATIONS.items()}
 _SHORT = {v: k for k, v in ABBREVIATIONS.items()}
@@ -64,7 +64,25 @@ def grounded(n: Column, note: Column, note_tokens: Column) -> Column:
     return F.coalesce((n != "") & (F.contains(note, n) | (share >= 0.6)), F.lit(False))
 
 
+def concept_form(c: Column) -> Column:
+    """The normal form without words that say nothing and without single characters."""
+    kept = F.filter(F.split(normalize(F.coalesce(c, F.lit(""))), " "), lambda w: (F.length(w) > 1) & ~w.isin(*CONCEPT_STOP_WORDS))
+    return F.array_join(kept, " ")
+
+
+def same_concept(x: Column, y: Column, tx: Column, ty: Column) -> Column:
+    """Whether two concept forms with their distinct tokens match: equal; one of at least four characters lies in the other; or more than
+    30 % of all their tokens are shared. An empty form matches nothing."""
+    shorter = F.least(F.length(x), F.length(y))
+    inside = (shorter >= 4) & F.when(F.length(x) <= F.length(y), F.contains(y, x)).otherwise(F.contains(x, y))
+    return (x != "") & (y != "") & ((x == y) | inside | (overlap(tx, ty)[0] > 0.3))
+
+
 def concept_match(a: Column, b: Column) -> Column:
-    """Equal, contained either way, or token Jaccard above 0.3; both sides non-empty."""
-    x, y = normalize(F.coalesce(a, F.lit(""))), normalize(F.coalesce(b, F.lit("")))
-    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x) | (overlap(tokens(x), tokens(y))[0] > 0.3))
+    """same_concept of two texts."""
+    x, y = concept_form(a), concept_form(b)
+    return same_concept(x, y, form_tokens(x), form_tokens(y))
+
+
+def form_tokens(form: Column) -> Column:
+    return F.when(form == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(form, " ")))

@@ -63,6 +63,12 @@ def date_form(text: str | None) -> str | None:
     return None
 
 
+def lower_in_place(text: str) -> str:
+    """Lower case in which every character keeps its offset: one whose lower case is longer stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 _SECTION = tuple((n, re.compile(p, re.I)) for n, p in vocab.SECTIONS)
 
 

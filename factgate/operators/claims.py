@@ -63,10 +63,10 @@ def clean(claims: DataFrame) -> DataFrame:
     )
 
 
-def canonical_dedup(cleaned: DataFrame) -> DataFrame:
-    """Kept claims, one per note and canonical (entity, attribute, value, kind); the first id survives."""
+def canonical_dedup(cleaned: DataFrame, **of_key: Column) -> DataFrame:
+    """Kept claims, one per note and canonical (entity, attribute, value, kind); the first id survives. of_key: aggregates of the key."""
     kept = cleaned.filter("drop_reason is null")
-    return first_of(kept, [F.col("note_id"), *(tidy(F.col(c)) for c in ("entity", "attribute", "value")), F.col("kind")], [F.col("claim_id")])
+    return first_of(kept, [F.col("note_id"), *(tidy(F.col(c)) for c in ("entity", "attribute", "value")), F.col("kind")], [F.col("claim_id")], **of_key)
 
 
 def cleaning_report(cleaned: DataFrame) -> DataFrame:

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgate.operators.claims import first_of
+from factgate.operators.timestamps import normalise_times
+from factgate.session import cut_lineage
+from factgate.tables import broadcast_if_small
+
+#: Code titles of at most so many rows are broadcast.
+MAX_TITLES = 1_000_000
 
 
 def icd_group(code: Column) -> Column:
@@ -18,6 +24,19 @@ def cohort_by_range(diagnoses: DataFrame, low: int, high: int) -> DataFrame:
     return diagnoses.filter(icd_group(F.col("icd9_code")).between(low, high)).select("subject_id").filter("subject_id is not null").distinct()
 
 
+def neoplasm_codes(code: Column, version: Column | None = None, groups: tuple[int, ...] = (), prefixes: tuple[str, ...] = ()) -> Column:
+    """Whether a code means a chosen illness: revision 9 by its three-digit group (140 to 208 where none is named), revision 10 by
+    its beginning ('C' where none is named). Without a version column all codes are of revision 9."""
+    group = icd_group(code)
+    nine = group.isin(*groups) if groups else group.between(140, 208)
+    if version is None:
+        return F.coalesce(nine, F.lit(False))
+    ten = F.lit(False)
+    for p in prefixes or ("C",):
+        ten = ten | F.startswith(F.upper(F.trim(code)), F.lit(p))
+    return F.coalesce(((version == 9) & nine) | ((version == 10) & ten), F.lit(False))
+
+
 def cohort_by_pattern(diagnoses: DataFrame, pattern: str) -> DataFrame:
     return diagnoses.filter(F.col("icd9_code").rlike(pattern)).select("subject_id").filter("subject_id is not null").distinct()
 
@@ -33,7 +52,7 @@ def chart_facts(diagnoses: DataFrame, prescriptions: DataFrame, admissions: Data
     A diagnosis is named by its code's title, or the code itself if it has none; prescriptions and admissions follow. The smallest
     hadm_id survives among equal facts. Rows without a subject or a name make no fact.
     """
-    named = diagnoses.join(F.broadcast(titles(codes)), "icd9_code", "left")
+    named = diagnoses.join(broadcast_if_small(titles(codes), MAX_TITLES), "icd9_code", "left")
     d = named.select("subject_id", F.coalesce("long_title", "icd9_code").alias("entity"), F.lit("has_diagnosis").alias("attribute"), F.col("icd9_code").alias("value"), F.lit("Condition").alias("kind"), "hadm_id")
     p = prescriptions.select("subject_id", F.trim("drug").alias("entity"), F.lit("has_medication").alias("attribute"), F.coalesce("route", F.lit("")).alias("value"), F.lit("MedicationStatement").alias("kind"), "hadm_id")
     a = admissions.select("subject_id", F.concat(F.lit("Admission_"), F.col("hadm_id").cast("string")).alias("entity"), F.lit("admission_type").alias("attribute"), F.coalesce("admission_type", F.lit("")).alias("value"), F.lit("Encounter").alias("kind"), "hadm_id")
@@ -41,21 +60,24 @@ def chart_facts(diagnoses: DataFrame, prescriptions: DataFrame, admissions: Data
     return facts.groupBy("subject_id", "entity", "attribute", "value", "kind").agg(F.min("hadm_id").alias("hadm_id"))
 
 
-def admissions_once(admissions: DataFrame) -> DataFrame:
-    """One row per hadm_id, that of the smallest row_id; `at` is the arrival time that orders them."""
-    return first_of(admissions.filter("hadm_id is not null").select("row_id", "subject_id", "hadm_id", F.col("dischtime").alias("at")), [F.col("hadm_id")], [F.col("row_id")])
+def admissions_once(admissions: DataFrame, sites: DataFrame) -> DataFrame:
+    """One row per hadm_id, that of the smallest row_id: subject_id, hadm_id, at. `at` is its admission time in the one form of
+    `normalise_times`, so text orders as time does; unreadable ones come last."""
+    one = first_of(admissions.filter("hadm_id is not null").select("row_id", "subject_id", "hadm_id", "admittime", "site_id", "loaded_at"), [F.col("hadm_id")], [F.col("row_id")])
+    raw = one.select(F.lit("admissions").alias("item_table"), F.col("hadm_id").alias("row_id"), F.col("admittime").alias("raw"), "site_id", "loaded_at")
+    at = normalise_times(raw, sites).select(F.col("row_id").alias("hadm_id"), F.coalesce("norm", F.lit("9999")).alias("at"))
+    return cut_lineage(one.select("hadm_id", "subject_id").join(at, "hadm_id"))
 
 
-def code_growth(diagnoses: DataFrame, admissions: DataFrame) -> DataFrame:
-    """New and cumulative distinct codes of a subject by admission, in order of (at, hadm_id).
+def code_growth(diagnoses: DataFrame, adm: DataFrame) -> DataFrame:
+    """New and cumulative distinct codes of a subject by admission, in order of (at, hadm_id). adm: admissions_once.
 
     A code counts at the admission where it first appears: a partial aggregation finds it, so the window sees one row per admission.
     """
-    adm = admissions_once(admissions).select("hadm_id", "subject_id", "at")
     seen = diagnoses.select("hadm_id", "icd9_code").filter("icd9_code is not null").join(adm, "hadm_id")
-    first = seen.groupBy("subject_id", "icd9_code").agg(F.min(F.struct(F.coalesce("at", F.lit("9999-12-31").cast("timestamp")).alias("at"), "hadm_id")).alias("f"))
+    first = seen.groupBy("subject_id", "icd9_code").agg(F.min(F.struct("at", "hadm_id")).alias("f"))
     new = first.groupBy(F.col("f.hadm_id").alias("hadm_id")).agg(F.count("*").alias("n_new"))
-    w = Window.partitionBy("subject_id").orderBy(F.coalesce("at", F.lit("9999-12-31").cast("timestamp")), "hadm_id")
+    w = Window.partitionBy("subject_id").orderBy("at", "hadm_id")
     df = adm.filter("subject_id is not null").join(new, "hadm_id", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
     return df.select("subject_id", "hadm_id", "n_new", F.sum("n_new").over(w).alias("n_codes"), F.row_number().over(w).alias("nth"))
 
@@ -66,10 +88,10 @@ def growth(by_admission: DataFrame, least: int) -> DataFrame:
     return g.filter(F.col("n_admissions") >= least).withColumn("growth", (F.col("last_codes") - F.col("first_codes")) / F.greatest("first_codes", F.lit(1)))
 
 
-def row_growth(diagnoses: DataFrame, admissions: DataFrame) -> DataFrame:
-    """All diagnosis rows over those of the first admission, for subjects with two admissions or more."""
-    adm = admissions_once(admissions).filter("subject_id is not null")
-    firsts = adm.groupBy("subject_id").agg(F.count("*").alias("n_admissions"), F.min_by("hadm_id", F.struct(F.coalesce("at", F.lit("9999-12-31").cast("timestamp")), "hadm_id")).alias("first_hadm"))
+def row_growth(diagnoses: DataFrame, adm: DataFrame) -> DataFrame:
+    """All diagnosis rows over those of the first admission, for subjects with two admissions or more. adm: admissions_once."""
+    adm = adm.filter("subject_id is not null")
+    firsts = adm.groupBy("subject_id").agg(F.count("*").alias("n_admissions"), F.min_by("hadm_id", F.struct("at", "hadm_id")).alias("first_hadm"))
     rows = diagnoses.select("hadm_id").join(adm.select("hadm_id", "subject_id"), "hadm_id").join(firsts, "subject_id")
     g = rows.groupBy("subject_id", "n_admissions").agg(F.count("*").alias("n_rows"), F.count_if(F.col("hadm_id") == F.col("first_hadm")).alias("n_first"))
     return g.filter("n_admissions >= 2").withColumn("growth", F.col("n_rows") / F.greatest("n_first", F.lit(1)))

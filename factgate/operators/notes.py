@@ -67,9 +67,9 @@ def find_terms(notes: DataFrame, terms: list[str]) -> DataFrame:
             if wanted:
                 a.make_automaton()
             _cache["a"] = a
-        low = text.lower()
+        low = kernels.lower_in_place(text)
         out = []
-        if not wanted or len(low) != len(text):
+        if not wanted:
             return out
         for end, t in _cache["a"].iter(low):
             s = end - len(t) + 1

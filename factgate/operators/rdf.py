@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgate import vocab
-from factgate.functions.clinical import code_of, safe_uri, type_c
+from factgate.functions.clinical import code_of, lookup, safe_uri, type_c
+from factgate.operators.calibrate import global_rank
 from factgate.session import cut_lineage
+from factgate.tables import broadcast_if_small
+
+#: Names of at most so many rows are broadcast to the labels.
+MAX_NAMES = 500_000
 
 NUMBER = r"^[+-]?[0-9]+(\.[0-9]+)?$"
 
@@ -20,8 +25,9 @@ def _s(s: Column, p: Column | str, o: Column, kind: str | Column, when: Column |
 def statements(claims: DataFrame) -> DataFrame:
     """Distinct statements (s, p, o, o_kind: uri, string or float) of claims.
 
-    claims: patient_id, entity, attribute, value, kind, evidence, anchor, trust. Entities are shared between patients, as their
-    identifier is their name. Claims without entity or value state nothing but their patient. One pass, one distinct.
+    claims: patient_id, entity, attribute, value, kind, evidence, anchor, and trust and consensus where those are to be stated. Entities
+    are shared between patients, as their identifier is their name. Claims without entity or value state nothing but their patient. One
+    pass, one distinct.
     """
     e, v = F.trim(F.coalesce("entity", F.lit(""))), F.trim(F.coalesce("value", F.lit("")))
     df = claims.withColumns({"e": e, "v": v, "has": (e != "") & (v != "")})
@@ -35,17 +41,43 @@ def statements(claims: DataFrame) -> DataFrame:
         _s(ent, "owl:sameAs", code, "uri", has & code.isNotNull()), _s(ent, "kg:ontologyCode", code, "string", has & code.isNotNull()),
         _s(ent, F.when(a == "", "kg:hasValue").otherwise(F.concat(F.lit("kg:"), safe_uri(a))), F.col("v"), F.when(is_num, "float").otherwise("string"), has),
         _s(pat, "kg:hasEntity", ent, "uri", has), _s(ent, "kg:evidenceSpan", F.left("evidence", F.lit(200)), "string", has & (F.coalesce("evidence", F.lit("")) != "")),
-        _s(ent, "kg:trustScore", F.format_string("%.4f", F.coalesce("trust", F.lit(0.5))), "float", has),
+        *([_s(ent, "kg:trustScore", F.format_string("%.4f", F.coalesce("trust", F.lit(0.5))), "float", has)] if "trust" in claims.columns else []),
+        *([_s(ent, "kg:consensusLevel", F.col("consensus").cast("string"), "string", has & F.col("consensus").isNotNull())] if "consensus" in claims.columns else []),
         _s(ent, "kg:temporalAnchor", F.col("anchor"), "string", has & ~F.lower(F.coalesce("anchor", F.lit(""))).isin("", "null", "none")),
     ))
     return df.select(F.explode(rows).alias("t")).select("t.*").distinct()
 
 
-def ntriples(st: DataFrame) -> DataFrame:
-    """One N-Triples-like line per statement in column `value`; quotes, backslashes and line ends are escaped."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("o"), r"\\", r"\\\\"), '"', r'\\"'), r"\r?\n", r"\\n")
-    o = F.when(F.col("o_kind") == "uri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).when(F.col("o_kind") == "float", F.concat(F.lit('"'), text, F.lit('"^^<xsd:float>'))).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
-    return st.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" .")).alias("value"))
+#: What the prefixes of statements stand for in exported files; kg and patient may be set to a site's own.
+PREFIXES = {
+    "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#",
+    "xsd": "http://www.w3.org/2001/XMLSchema#", "fhir": "http://hl7.org/fhir/", "kg": "urn:kg:", "patient": "urn:patient:",
+    "SNOMED": "http://snomed.info/id/", "RxNorm": "urn:rxnorm:", "LOINC": "http://loinc.org/rdf/",
+}
+
+
+def iri(name: Column, prefixes: dict[str, str] = PREFIXES) -> Column:
+    """<IRI> of a prefixed name; characters an IRI may not hold are percent-encoded."""
+    head = F.substring_index(name, ":", 1)
+    full = F.concat(F.coalesce(lookup(prefixes, head), F.concat(F.lit("urn:"), head, F.lit(":"))), F.substring(name, F.length(head) + 2, F.length(name)))
+    for raw, code in ((" ", "%20"), ("<", "%3C"), (">", "%3E"), ('"', "%22"), ("{", "%7B"), ("}", "%7D"), ("|", "%7C"), ("^", "%5E"), ("`", "%60"), ("\\", "%5C")):
+        full = F.replace(full, F.lit(raw), F.lit(code))
+    return F.concat(F.lit("<"), full, F.lit(">"))
+
+
+def ntriples(st: DataFrame, prefixes: dict[str, str] = PREFIXES) -> DataFrame:
+    """One N-Triples line per statement in column `value`: absolute IRIs, escaped literals, typed numbers."""
+    text = F.col("o")
+    for raw, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(raw), F.lit(code))
+    quoted = F.concat(F.lit('"'), text, F.lit('"'))
+    o = F.when(F.col("o_kind") == "uri", iri(F.col("o"), prefixes)).when(F.col("o_kind") == "float", F.concat(quoted, F.lit(f"^^<{PREFIXES['xsd']}float>"))).otherwise(quoted)
+    return st.select(F.concat_ws(" ", iri(F.col("s"), prefixes), iri(F.col("p"), prefixes), o, F.lit(".")).alias("value"))
+
+
+def short_name(name: Column) -> Column:
+    """The last part of an identifier, after its last slash and hash, at most 40 characters."""
+    return F.left(F.substring_index(F.substring_index(name, "/", -1), "#", -1), F.lit(40))
 
 
 def entities(st: DataFrame) -> DataFrame:
@@ -75,6 +107,13 @@ def with_patterns(df: DataFrame, pattern: str) -> DataFrame:
     return df.filter(F.col("label").rlike(f"(?i){pattern}"))
 
 
+def named_or_like(df: DataFrame, names: DataFrame, pattern: str) -> DataFrame:
+    """Adds `meant`: whether the label is one of the names, up to case, or holds the pattern. names: name."""
+    listed = names.select(F.lower(F.trim("name")).alias("__name")).filter("__name <> ''").distinct().withColumn("__listed", F.lit(True))
+    out = df.join(broadcast_if_small(listed, MAX_NAMES), F.lower(F.trim("label")) == F.col("__name"), "left")
+    return out.withColumn("meant", F.coalesce("__listed", F.lit(False)) | F.col("label").rlike(f"(?i){pattern}")).drop("__name", "__listed")
+
+
 def schema_statements(spark) -> DataFrame:
     """Classes and their parents as statements."""
     rows = [(f"fhir:{c}", "rdf:type", "owl:Class") for c, _ in vocab.CLASSES] + [(f"fhir:{c}", "rdfs:subClassOf", f"fhir:{p}") for c, p in vocab.CLASSES if p]
@@ -105,6 +144,29 @@ def property_usage(relations: DataFrame) -> DataFrame:
     return best
 
 
+def schema_export(classes: DataFrame, usage: DataFrame) -> DataFrame:
+    """The schema as OWL statements (s, p, o, o_kind): classes with label and parent, properties with label, commonest domain and range.
+
+    classes: class, parent. usage: property_usage. Names become identifier parts; empty names state nothing.
+    """
+    def of(*triples: Column) -> Column:
+        return F.array_compact(F.array(*triples))
+
+    def name(c: str) -> Column:
+        return F.concat(F.lit("kg:"), safe_uri(F.col(c)))
+
+    c = classes.filter("coalesce(class, '') <> ''").select(F.explode(of(
+        _s(name("class"), "rdf:type", F.lit("owl:Class"), "uri"), _s(name("class"), "rdfs:label", F.col("class"), "string"),
+        _s(name("class"), "rdfs:subClassOf", name("parent"), "uri", F.coalesce("parent", F.lit("")) != ""),
+    )).alias("t"))
+    p = usage.filter("coalesce(predicate, '') <> ''").select(F.explode(of(
+        _s(name("predicate"), "rdf:type", F.lit("owl:ObjectProperty"), "uri"), _s(name("predicate"), "rdfs:label", F.col("predicate"), "string"),
+        _s(name("predicate"), "rdfs:domain", name("domain"), "uri", F.coalesce("domain", F.lit("")) != ""),
+        _s(name("predicate"), "rdfs:range", name("range"), "uri", F.coalesce("range", F.lit("")) != ""),
+    )).alias("t"))
+    return c.unionByName(p).select("t.*").distinct()
+
+
 def neighbourhood(edges: DataFrame, start: DataFrame, hops: int, least: int = 3) -> DataFrame:
     """Edges within `hops` of the start keys: src, dst, hop. Keys shorter than `least` are not expanded; an edge is reported at
     each hop that reaches it. The frontier is checkpointed each hop and holds every key once, however many edges a hub has."""
@@ -121,16 +183,40 @@ def neighbourhood(edges: DataFrame, start: DataFrame, hops: int, least: int = 3)
     return out
 
 
+#: Features of an edge: the five layers, the trust they give, and how recent the fact is.
+EDGE_FEATURES = ("grounding", "ontology", "schema", "temporal", "contradiction", "trust", "recency")
+
+
 def trust_graph(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). A node is an entity or value longer than one character: its trust (highest, at least 0.5) and most voted
-    type (ties: first seen). Edges go both ways with the claim's trust; no loops. claims: claim_id, entity, value, kind, trust."""
-    e, v = F.lower(F.trim("entity")), F.lower(F.trim("value"))
-    ends = claims.select("claim_id", "kind", F.coalesce("trust", F.lit(0.5)).alias("trust"), e.alias("e"), v.alias("v")).filter("length(e) > 1 and length(v) > 1 and e <> v")
-    long = ends.select("claim_id", "trust", F.explode(F.array(F.struct(F.col("e").alias("node"), "kind"), F.struct(F.col("v").alias("node"), F.lit("Value").alias("kind")))).alias("x")).select("claim_id", "trust", "x.*")
-    votes = long.groupBy("node", "kind").agg(F.count("*").alias("n"), F.min("claim_id").alias("seen"), F.max("trust").alias("trust"))
-    nodes = votes.groupBy("node").agg(F.greatest(F.lit(0.5), F.max("trust")).alias("trust"), F.min_by("kind", F.struct((-F.col("n")).alias("m"), "seen")).alias("kind"), F.min("seen").alias("first_claim"))
-    one = ends.select("claim_id", "trust", F.explode(F.array(F.struct(F.col("e").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("e").alias("dst")))).alias("x"))
-    return nodes, one.select("claim_id", "x.src", "x.dst", "trust")
+    """(nodes, edges) of claims: claim_id, entity, value, kind, anchor, trust and the five layers.
+
+    nodes: node_id (dense, from 0, in the order nodes first appear: by claim, its entity before its value), node, trust (the
+    highest of its claims as their entity, at least 0.5), kind (most voted as an entity, ties to the first seen; Unknown for a node that
+    is a value only), first_claim. A node is longer than one character. edges: both ways between the two nodes of a claim, no loops:
+    claim_id, src, dst, src_id, dst_id and EDGE_FEATURES (0.5 where a layer is missing).
+    """
+    e, v = F.lower(F.trim(F.coalesce("entity", F.lit("")))), F.lower(F.trim(F.coalesce("value", F.lit(""))))
+    half = F.lit(0.5)
+    ends = claims.withColumn("recency", recency(F.col("anchor"))).select("claim_id", "kind", e.alias("e"), v.alias("v"), *(F.coalesce(F.col(c), half).alias(c) for c in EDGE_FEATURES))
+    parts = F.array(F.struct(F.col("e").alias("node"), F.lit(0).alias("pos")), F.struct(F.col("v").alias("node"), F.lit(1).alias("pos")))
+    long = ends.select("claim_id", "trust", "kind", F.explode(parts).alias("x")).select("claim_id", "trust", "x.*", F.when(F.col("x.pos") == 0, F.coalesce("kind", F.lit("Unknown"))).alias("kind")).filter("length(node) > 1")
+    votes = long.groupBy("node", "kind").agg(F.count("*").alias("n"), F.min(F.struct("claim_id", "pos")).alias("seen"), F.max(F.when(F.col("pos") == 0, F.col("trust"))).alias("trust"))
+    order = F.when(F.col("kind").isNotNull(), F.struct((-F.col("n")).alias("m"), "seen"))
+    nodes = votes.groupBy("node").agg(F.greatest(half, F.max("trust")).alias("trust"), F.coalesce(F.min_by("kind", order), F.lit("Unknown")).alias("kind"), F.min("seen").alias("seen"))
+    nodes = nodes.select("node", "trust", "kind", F.col("seen.claim_id").alias("first_claim"), F.col("seen.pos").alias("pos"))
+    nodes = cut_lineage(global_rank(nodes, ["first_claim", "pos"]).select((F.col("rank") - 1).alias("node_id"), "node", "trust", "kind", "first_claim"))
+    one = ends.filter("length(e) > 1 and length(v) > 1 and e <> v")
+    both = one.select("claim_id", *EDGE_FEATURES, F.explode(F.array(F.struct(F.col("e").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("e").alias("dst")))).alias("x")).select("claim_id", "x.src", "x.dst", *EDGE_FEATURES)
+    ids = nodes.select("node", "node_id")
+    edges = both.join(ids.toDF("src", "src_id"), "src").join(ids.toDF("dst", "dst_id"), "dst")
+    return nodes, edges.select("claim_id", "src", "dst", "src_id", "dst_id", *EDGE_FEATURES)
+
+
+def mapped_back(claims: DataFrame, propagated: DataFrame) -> DataFrame:
+    """claim_id, trust, graph_trust: the propagated trust of the claim's entity, the claim's own where the graph has no such node."""
+    key = F.lower(F.trim(F.coalesce("entity", F.lit(""))))
+    nodes = propagated.select(F.col("node").alias("__node"), F.col("trust").alias("__trust"))
+    return claims.withColumn("__key", key).join(nodes, F.col("__key") == F.col("__node"), "left").select("claim_id", "trust", F.coalesce("__trust", "trust").alias("graph_trust"))
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, rounds: int = 2, keep: float = 0.5) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from factgate import vocab
 from factgate.functions import clinical, match
 from factgate.functions.text import normalize
-from factgate.operators import calibrate, claims, evaluate, validate
+from factgate.operators import calibrate, claims, ehr, evaluate, notes, validate
 from factgate.session import cut_lineage
-from factgate.tables import spread
+from factgate.tables import broadcast_if_small, small_rows, spread
 from factgate.tables import table as t
 
 AS_OF = "2021-06-01"
@@ -119,13 +119,25 @@ def f27_perturbed(s: SparkSession, d: str) -> DataFrame:
     return _claims(s, d).select("claim_id", clinical.negated(v).alias("negated"), F.when(num != "", F.round(F.regexp_replace(num, r"\.$", "").cast("double") * factor, 1)).alias("scaled"), clinical.lookup(vocab.TYPE_SWAPS, F.coalesce("kind", F.lit(""))).alias("swapped"))
 
 
+def _notes(s: SparkSession, d: str) -> DataFrame:
+    return validate.first_notes(spread(t(s, d, "notes_all")))
+
+
 def _gold(s: SparkSession, d: str) -> DataFrame:
-    """Stand-in for annotations: what the first model proposes of a note."""
-    return _claims(s, d).filter("model = 'model_a' and note_id is not null").select("note_id", F.trim(F.coalesce("entity", F.lit(""))).alias("gold")).filter("length(gold) > 1").distinct()
+    """Stand-in for annotations: the canonical names that stand in a note, with their kind and number of mentions: note_id, gold, label, n."""
+    names = t(s, d, "canon_items").filter("canon_name is not null").select("canon_name", "item_kind")
+    terms = [r.canon_name for r in small_rows(names.select("canon_name"), 1_000_000, "canon_items")]
+    found = notes.find_terms(_notes(s, d), terms).groupBy("note_id", F.lower("text").alias("gold")).agg(F.count("*").alias("n"))
+    kinds = names.groupBy(F.lower("canon_name").alias("gold")).agg(F.min("item_kind").alias("label"))
+    return cut_lineage(found.join(broadcast_if_small(kinds, 500_000), "gold").select("note_id", "gold", "label", "n"))
+
 
+def _of_notes(s: SparkSession, d: str) -> DataFrame:
+    return _claims(s, d).filter("note_id is not null")
 
-def _hits(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.match_pairs(evaluate.claim_texts(_claims(s, d).filter("note_id is not null")), _gold(s, d), ["model"])
+
+def _hits(s: SparkSession, d: str, gold: DataFrame | None = None) -> DataFrame:
+    return evaluate.match_pairs(evaluate.claim_texts(_of_notes(s, d)), _gold(s, d) if gold is None else gold, ["model"])
 
 
 def f03_match(s: SparkSession, d: str) -> DataFrame:
@@ -142,31 +154,84 @@ def j06_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def j07_blocked(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.blocked_pairs(evaluate.claim_texts(_claims(s, d).filter("note_id is not null")), _gold(s, d))
+    return evaluate.blocked_pairs(evaluate.claim_texts(_of_notes(s, d)), _gold(s, d))
 
 
 def e01_scores(s: SparkSession, d: str) -> DataFrame:
-    """Macro scores per model (E-01, E-02, A-04, A-05, A-06)."""
-    return evaluate.macro(evaluate.prf(_hits(s, d), evaluate.claim_texts(_claims(s, d).filter("note_id is not null")), _gold(s, d)), "model")
+    """Macro scores per model over distinct texts (E-02, A-05)."""
+    g = _gold(s, d)
+    return evaluate.macro(evaluate.prf(_hits(s, d, g), evaluate.claim_texts(_of_notes(s, d)), g), "model")
+
+
+def _note_scores(s: SparkSession, d: str) -> DataFrame:
+    c, g = _of_notes(s, d), _gold(s, d)
+    texts = evaluate.texts_of_claims(c)
+    return evaluate.note_scores(c, texts, _hits(s, d, g), g, evaluate.claims_in_note(texts, c, _notes(s, d)))
+
+
+def e01_notes(s: SparkSession, d: str) -> DataFrame:
+    """Entity and mention scores and hallucination by note and model (E-01, A-04)."""
+    x = _note_scores(s, d)
+    return x.select("note_id", "model", "n_claims", "n_gold", "n_mentions", "n_right", "n_covered", "n_covered_mentions", *(F.round(c, 4).alias(c) for c in ("p", "r", "f1", "mention_r", "mention_f1", "hallucination")))
+
+
+def e01_models(s: SparkSession, d: str) -> DataFrame:
+    """Means and sums by model (A-06)."""
+    return evaluate.model_totals(_note_scores(s, d))
 
 
 def u05_subsets(s: SparkSession, d: str) -> DataFrame:
-    """Recall of every subset of models, best first is a sort away (U-05, E-03, O-04)."""
-    return evaluate.subset_recall(_hits(s, d), _gold(s, d), MODELS)
+    """Every subset of models, ranked by mean F1 and recall (U-05, E-03, O-04)."""
+    c, g = _of_notes(s, d), _gold(s, d)
+    keyed = c.withColumn("key", F.struct(*(F.lower(F.trim(F.coalesce(F.col(x), F.lit("")))).alias(x) for x in ("entity", "attribute", "value"))))
+    return evaluate.subset_scores(keyed, evaluate.texts_of_claims(c), _hits(s, d, g), g, MODELS)
 
 
 def e04_misses(s: SparkSession, d: str) -> DataFrame:
-    """Gold texts the other models miss, by bucket (E-04, A-18, F-25)."""
-    return evaluate.misses(_hits(s, d).filter("model <> 'model_a'"), _gold(s, d)).groupBy("bucket").agg(F.count("*").alias("n"))
+    """Gold texts the models miss, by bucket (E-04, F-25)."""
+    g = _gold(s, d)
+    return evaluate.misses(_hits(s, d, g), g).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def a18_labels(s: SparkSession, d: str) -> DataFrame:
+    """Recall by gold label (A-18, E-04)."""
+    g = _gold(s, d)
+    return evaluate.by_label(_hits(s, d, g), g)
 
 
 def a18_recurring(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.recurring(evaluate.misses(_hits(s, d).filter("model <> 'model_a'"), _gold(s, d)))
+    g = _gold(s, d)
+    return evaluate.recurring(evaluate.misses(_hits(s, d, g), g))
+
+
+def e12_samples(s: SparkSession, d: str) -> DataFrame:
+    """The first matched, missed and ungrounded texts by note and model (E-12), a bounded inspection table."""
+    c, g = _of_notes(s, d), _gold(s, d)
+    texts = evaluate.texts_of_claims(c)
+    bare = evaluate.claims_in_note(texts, c, _notes(s, d)).filter("not grounded").join(c, "claim_id").select("note_id", "model", F.trim(F.coalesce("entity", F.lit(""))).alias("text"))
+    return evaluate.samples(_hits(s, d, g), g, bare)
+
+
+def _chart(s: SparkSession, d: str) -> DataFrame:
+    items = t(s, d, "d_labitems").filter("itemid is not null").groupBy("itemid").agg(F.min_by("label", F.struct("loaded_at", "label")).alias("label"))
+    return evaluate.chart_concepts(t(s, d, "diagnoses_icd"), t(s, d, "prescriptions"), t(s, d, "labevents"), ehr.titles(t(s, d, "d_icd_diagnoses")), items)
+
+
+def e05_concepts(s: SparkSession, d: str) -> DataFrame:
+    """What the charts say, by category (E-05, W-10)."""
+    return _chart(s, d)
+
+
+def e05_chart_scores(s: SparkSession, d: str) -> DataFrame:
+    """Claims against the charts of their admissions (E-05, F-04)."""
+    n = claims.first_of(t(s, d, "notes_all").filter("note_id is not null").select("row_id", "note_id", "hadm_id", "text"), [F.col("note_id")], [F.col("row_id")])
+    return evaluate.chart_scores(evaluate.said_in_notes(_of_notes(s, d), n), _chart(s, d))
 
 
 def e08_quality(s: SparkSession, d: str) -> DataFrame:
     """Per-model quality (E-08, A-16, F-26)."""
-    return evaluate.model_quality(evaluate.in_note(_claims(s, d), validate.first_notes(spread(t(s, d, "notes_all"))), 4))
+    n = _notes(s, d)
+    return evaluate.model_quality(evaluate.in_note(_claims(s, d), n, 4), n)
 
 
 def e07_failures(s: SparkSession, d: str) -> DataFrame:
@@ -246,6 +311,6 @@ def e13_pivot(s: SparkSession, d: str) -> DataFrame:
     return _claims(s, d).filter("note_id is not null").groupBy("note_id").pivot("model", MODELS).count().fillna(0)
 
 
-QUERIES = {f.__name__: f for f in (f01_normalize, f06_identifiers, f10_types, w13_union, e06_consensus, v11_cleaning, sel08_drops, v14_kept, v02_grounding, v03_ontology, v04_schema, v05_temporal, v06_contradiction, v07_trust, sel05_gate, a03_layers, v10_fused, f27_perturbed, f03_match, j06_pairs, j07_blocked, e01_scores, u05_subsets, e04_misses, a18_recurring, e08_quality, e07_failures, e10_curve, c04_ece, c04_bins, c05_scores, w05_curve, c06_aurc, w07_coverage, c07_bands, o05_held, c02_boosted, e13_pivot)}
+QUERIES = {f.__name__: f for f in (f01_normalize, f06_identifiers, f10_types, w13_union, e06_consensus, v11_cleaning, sel08_drops, v14_kept, v02_grounding, v03_ontology, v04_schema, v05_temporal, v06_contradiction, v07_trust, sel05_gate, a03_layers, v10_fused, f27_perturbed, f03_match, j06_pairs, j07_blocked, e01_scores, e01_notes, e01_models, u05_subsets, e04_misses, a18_labels, a18_recurring, e12_samples, e05_concepts, e05_chart_scores, e08_quality, e07_failures, e10_curve, c04_ece, c04_bins, c05_scores, w05_curve, c06_aurc, w07_coverage, c07_bands, o05_held, c02_boosted, e13_pivot)}
 
 from factgate.plans.oracles import CLAIMS as ORACLE  # noqa: E402

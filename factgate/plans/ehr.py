@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgate.operators import ehr
+from factgate.plans.prep import TIMES_SQL
+from factgate.tables import broadcast_if_small
 from factgate.tables import table as t
 
 LOW, HIGH = 140, 239
@@ -37,11 +39,11 @@ def j03_unprocessed_notes(s: SparkSession, d: str) -> DataFrame:
 
 def j04_titles_default(s: SparkSession, d: str) -> DataFrame:
     names = ehr.titles(t(s, d, "d_icd_diagnoses"))
-    return t(s, d, "diagnoses_icd").select("row_id", "icd9_code").join(F.broadcast(names), "icd9_code", "left").select("row_id", F.coalesce("long_title", "icd9_code").alias("title"))
+    return t(s, d, "diagnoses_icd").select("row_id", "icd9_code").join(broadcast_if_small(names, ehr.MAX_TITLES), "icd9_code", "left").select("row_id", F.coalesce("long_title", "icd9_code").alias("title"))
 
 
 def j05_titles_only(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "diagnoses_icd").select("row_id", "hadm_id", "icd9_code").join(F.broadcast(ehr.titles(t(s, d, "d_icd_diagnoses"))), "icd9_code")
+    return t(s, d, "diagnoses_icd").select("row_id", "hadm_id", "icd9_code").join(broadcast_if_small(ehr.titles(t(s, d, "d_icd_diagnoses")), ehr.MAX_TITLES), "icd9_code")
 
 
 def g11_chart_facts(s: SparkSession, d: str) -> DataFrame:
@@ -53,8 +55,12 @@ def g12_cohort_graph(s: SparkSession, d: str) -> DataFrame:
     return g11_chart_facts(s, d).join(sel02_range_cohort(s, d), "subject_id", "left_semi").groupBy("kind").agg(F.count("*").alias("n_facts"), F.countDistinct("subject_id").alias("n_subjects"), F.countDistinct("entity").alias("n_entities"))
 
 
+def _admissions(s: SparkSession, d: str) -> DataFrame:
+    return ehr.admissions_once(t(s, d, "admissions"), t(s, d, "sites"))
+
+
 def w01_code_growth(s: SparkSession, d: str) -> DataFrame:
-    return ehr.code_growth(t(s, d, "diagnoses_icd"), t(s, d, "admissions"))
+    return ehr.code_growth(t(s, d, "diagnoses_icd"), _admissions(s, d))
 
 
 def w02_growth(s: SparkSession, d: str) -> DataFrame:
@@ -62,7 +68,7 @@ def w02_growth(s: SparkSession, d: str) -> DataFrame:
 
 
 def w03_row_growth(s: SparkSession, d: str) -> DataFrame:
-    return ehr.row_growth(t(s, d, "diagnoses_icd"), t(s, d, "admissions")).select("subject_id", "n_admissions", "n_rows", "n_first", F.round("growth", 6).alias("growth"))
+    return ehr.row_growth(t(s, d, "diagnoses_icd"), _admissions(s, d)).select("subject_id", "n_admissions", "n_rows", "n_first", F.round("growth", 6).alias("growth"))
 
 
 def g13_longitudinal(s: SparkSession, d: str) -> DataFrame:
@@ -71,8 +77,17 @@ def g13_longitudinal(s: SparkSession, d: str) -> DataFrame:
 
 
 def g14_split_coverage(s: SparkSession, d: str) -> DataFrame:
-    """Codes of training and test subjects and their overlap (A-15, U-06, J-17, P-10)."""
-    return ehr.code_coverage(t(s, d, "diagnoses_icd"), F.expr(_TRAIN)).withColumn("coverage", F.round("coverage", 6))
+    """Codes of training and test subjects and their overlap, subjects of several admissions and how their rows grow (A-15, W-03, U-06, J-17, P-10)."""
+    c = ehr.code_coverage(t(s, d, "diagnoses_icd"), F.expr(_TRAIN)).withColumn("coverage", F.round("coverage", 6))
+    g = ehr.row_growth(t(s, d, "diagnoses_icd"), _admissions(s, d)).agg(F.count("*").alias("n_multi"), F.round(F.avg("growth"), 4).alias("mean_growth"), F.round(F.stddev_pop("growth"), 4).alias("sd_growth"))
+    return c.select("*", *(g.select(x).scalar().alias(x) for x in g.columns))
+
+
+def sel02_neoplasms(s: SparkSession, d: str) -> DataFrame:
+    """The cohort of neoplasm codes of both revisions; codes that begin with a letter are read as revision 10 (P-02, S-08)."""
+    code = F.col("icd9_code")
+    version = F.when(F.trim(code).rlike("^[A-Za-z]"), 10).otherwise(9)
+    return t(s, d, "diagnoses_icd").filter(ehr.neoplasm_codes(code, version)).select("subject_id").filter("subject_id is not null").distinct()
 
 
 def u06_shared_codes(s: SparkSession, d: str) -> DataFrame:
@@ -112,7 +127,7 @@ def o08_systematic(s: SparkSession, d: str) -> DataFrame:
     return global_rank(ids, ["note_id"]).filter("(rank - 1) % 10 = 0").select("note_id")
 
 
-QUERIES = {f.__name__: f for f in (sel02_range_cohort, sel03_pattern_cohort, j01_cohort_notes, j02_cohort_labs, j03_unprocessed_notes, j04_titles_default, j05_titles_only, g11_chart_facts, g12_cohort_graph, w01_code_growth, w02_growth, w03_row_growth, g13_longitudinal, g14_split_coverage, u06_shared_codes, a13_table_stats, a13_admission_types, w10_heads, w11_admission_order, o07_first_subjects, o08_systematic)}
+QUERIES = {f.__name__: f for f in (sel02_range_cohort, sel02_neoplasms, sel03_pattern_cohort, j01_cohort_notes, j02_cohort_labs, j03_unprocessed_notes, j04_titles_default, j05_titles_only, g11_chart_facts, g12_cohort_graph, w01_code_growth, w02_growth, w03_row_growth, g13_longitudinal, g14_split_coverage, u06_shared_codes, a13_table_stats, a13_admission_types, w10_heads, w11_admission_order, o07_first_subjects, o08_systematic)}
 
 _COHORT = f"SELECT DISTINCT subject_id FROM diagnoses_icd WHERE subject_id IS NOT NULL AND try_cast(substr(trim(icd9_code), 1, 3) AS INT) BETWEEN {LOW} AND {HIGH} AND regexp_matches(substr(trim(icd9_code), 1, 3), '^[0-9]+$')"
 _TITLES = "SELECT icd9_code, arg_min(long_title, (loaded_at, long_title)) AS long_title FROM d_icd_diagnoses WHERE icd9_code IS NOT NULL GROUP BY 1"
@@ -122,9 +137,10 @@ SELECT subject_id, entity, attribute, value, kind, min(hadm_id) AS hadm_id FROM
   UNION ALL SELECT subject_id, trim(drug), 'has_medication', coalesce(route, ''), 'MedicationStatement', hadm_id FROM prescriptions
   UNION ALL SELECT subject_id, 'Admission_' || hadm_id, 'admission_type', coalesce(admission_type, ''), 'Encounter', hadm_id FROM admissions)
 WHERE subject_id IS NOT NULL AND coalesce(entity, '') <> '' GROUP BY ALL"""
-_ADM = "SELECT hadm_id, arg_min(subject_id, row_id) AS subject_id, arg_min(coalesce(dischtime, TIMESTAMPTZ '9999-12-31 00:00:00+00'), row_id) AS at_ FROM admissions WHERE hadm_id IS NOT NULL GROUP BY 1"
+_ADM = f"""one AS (SELECT hadm_id, arg_min(coalesce(subject_id, -1), row_id) AS sid, min(row_id) AS row_id FROM admissions WHERE hadm_id IS NOT NULL GROUP BY 1), {TIMES_SQL},
+adm AS (SELECT hadm_id, nullif(sid, -1) AS subject_id, coalesce(norm, '9999') AS at_ FROM one LEFT JOIN (SELECT row_id, norm FROM times WHERE item_table = 'admissions') USING (row_id))"""
 _GROWTH = f"""
-adm AS ({_ADM}),
+{_ADM},
 first_ AS (SELECT a.subject_id, icd9_code, min((at_, a.hadm_id)) AS f FROM diagnoses_icd d JOIN adm a ON a.hadm_id = d.hadm_id WHERE icd9_code IS NOT NULL GROUP BY ALL),
 new_ AS (SELECT f[2] AS hadm_id, count(*) AS n FROM first_ GROUP BY 1),
 g AS (SELECT subject_id, adm.hadm_id, coalesce(n, 0) AS n_new, sum(coalesce(n, 0)) OVER w AS n_codes, row_number() OVER w AS nth
@@ -133,6 +149,7 @@ h AS (SELECT subject_id, count(*) AS n_admissions, arg_min(n_codes, nth) AS firs
 _TR = "(subject_id % 10) < 7"
 ORACLE = {
     "sel02_range_cohort": _COHORT,
+    "sel02_neoplasms": "SELECT DISTINCT subject_id FROM diagnoses_icd WHERE subject_id IS NOT NULL AND CASE WHEN regexp_matches(trim(icd9_code), '^[A-Za-z]') THEN starts_with(upper(trim(icd9_code)), 'C') ELSE try_cast(substr(trim(icd9_code), 1, 3) AS INT) BETWEEN 140 AND 208 AND regexp_matches(substr(trim(icd9_code), 1, 3), '^[0-9]+$') END",
     "sel03_pattern_cohort": r"SELECT DISTINCT subject_id FROM diagnoses_icd WHERE subject_id IS NOT NULL AND regexp_matches(icd9_code, '^\s*(1[4-9]\d|2[0-3]\d)')",
     "j01_cohort_notes": f"SELECT row_id, note_id, subject_id, category FROM notes_all WHERE subject_id IN ({_COHORT})",
     "j02_cohort_labs": f"SELECT row_id, subject_id, itemid FROM labevents WHERE subject_id IN ({_COHORT})",
@@ -143,11 +160,11 @@ ORACLE = {
     "g12_cohort_graph": f"SELECT kind, count(*) AS n_facts, count(DISTINCT subject_id) AS n_subjects, count(DISTINCT entity) AS n_entities FROM ({_FACTS}) WHERE subject_id IN ({_COHORT}) GROUP BY 1",
     "w01_code_growth": f"WITH {_GROWTH} SELECT * FROM g",
     "w02_growth": f"WITH {_GROWTH} SELECT *, round((last_codes - first_codes) / greatest(first_codes, 1), 6) AS growth FROM h WHERE n_admissions >= 2",
-    "w03_row_growth": f"""WITH adm AS ({_ADM}), f AS (SELECT subject_id, count(*) AS n_admissions, arg_min(hadm_id, (at_, hadm_id)) AS fh FROM adm WHERE subject_id IS NOT NULL GROUP BY 1)
+    "w03_row_growth": f"""WITH {_ADM}, f AS (SELECT subject_id, count(*) AS n_admissions, arg_min(hadm_id, (at_, hadm_id)) AS fh FROM adm WHERE subject_id IS NOT NULL GROUP BY 1)
 SELECT subject_id, n_admissions, count(*) AS n_rows, count(*) FILTER (WHERE d.hadm_id = fh) AS n_first, round(count(*) / greatest(count(*) FILTER (WHERE d.hadm_id = fh), 1), 6) AS growth
 FROM diagnoses_icd d JOIN adm USING (hadm_id) JOIN f ON f.subject_id = adm.subject_id WHERE n_admissions >= 2 GROUP BY ALL""".replace("SELECT subject_id, n_admissions, count(*) AS n_rows", "SELECT f.subject_id, n_admissions, count(*) AS n_rows"),
     "g13_longitudinal": f"WITH {_GROWTH} SELECT count(*) AS n_subjects, round(avg(last_codes), 4) AS mean_codes, round(median(last_codes), 4) AS median_codes, round(avg((last_codes - first_codes) / greatest(first_codes, 1)), 4) AS mean_growth, round(stddev_pop((last_codes - first_codes) / greatest(first_codes, 1)), 4) AS sd_growth FROM h WHERE n_admissions >= 3",
-    "g14_split_coverage": f"WITH s AS (SELECT icd9_code, bool_or({_TR}) AS a, bool_or(NOT {_TR}) AS b FROM diagnoses_icd WHERE icd9_code IS NOT NULL AND subject_id IS NOT NULL GROUP BY 1) SELECT count(*) FILTER (WHERE a) AS n_train, count(*) FILTER (WHERE b) AS n_test, count(*) FILTER (WHERE a AND b) AS n_shared, round(count(*) FILTER (WHERE a AND b) / greatest(count(*) FILTER (WHERE b), 1), 6) AS coverage FROM s",
+    "g14_split_coverage": f"WITH {_ADM}, fa AS (SELECT subject_id, count(*) AS k, arg_min(hadm_id, (at_, hadm_id)) AS fh FROM adm WHERE subject_id IS NOT NULL GROUP BY 1), rg AS (SELECT fa.subject_id, count(*) / greatest(count(*) FILTER (WHERE d.hadm_id = fh), 1) AS g FROM diagnoses_icd d JOIN adm USING (hadm_id) JOIN fa ON fa.subject_id = adm.subject_id WHERE k >= 2 GROUP BY 1), s AS (SELECT icd9_code, bool_or({_TR}) AS a, bool_or(NOT {_TR}) AS b FROM diagnoses_icd WHERE icd9_code IS NOT NULL AND subject_id IS NOT NULL GROUP BY 1) SELECT count(*) FILTER (WHERE a) AS n_train, count(*) FILTER (WHERE b) AS n_test, count(*) FILTER (WHERE a AND b) AS n_shared, round(count(*) FILTER (WHERE a AND b) / greatest(count(*) FILTER (WHERE b), 1), 6) AS coverage, (SELECT count(*) FROM rg) AS n_multi, (SELECT round(avg(g), 4) FROM rg) AS mean_growth, (SELECT round(stddev_pop(g), 4) FROM rg) AS sd_growth FROM s",
     "u06_shared_codes": f"SELECT icd9_code FROM diagnoses_icd WHERE icd9_code IS NOT NULL AND subject_id IS NOT NULL AND {_TR} INTERSECT SELECT icd9_code FROM diagnoses_icd WHERE icd9_code IS NOT NULL AND subject_id IS NOT NULL AND NOT {_TR}",
     "a13_table_stats": "SELECT count(*) AS n_rows, count(DISTINCT icd9_code) AS n_codes, count(DISTINCT subject_id) AS n_subjects, count(DISTINCT hadm_id) AS n_admissions FROM diagnoses_icd",
     "a13_admission_types": "SELECT coalesce(admission_type, '') AS admission_type, count(*) AS n FROM admissions GROUP BY 1",

@@ -7,40 +7,52 @@ from pyspark.sql import functions as F
 
 from factgate import vocab
 from factgate.operators import claims, notes, rdf, timeline, validate
+from factgate.session import cut_lineage
 from factgate.tables import spread
 from factgate.tables import table as t
 
-#: The invented names of the test tables: what counts as a neoplasm and as its treatment there.
-NEOPLASM = f"{vocab.CANCER}|polyposis"
-TREATMENT = f"{vocab.CHEMO}|(cetrol|zolac|pramil|vast|fendor|quast|pride)$"
+AS_OF = "2021-06-01"
 
 
 def _claims(s: SparkSession, d: str) -> DataFrame:
-    """Cleaned claims with their patient and a trust read off the structure alone."""
-    from factgate.functions.clinical import known_concept
-
-    cleaned = claims.canonical_dedup(claims.clean(claims.claims_of(spread(t(s, d, "triples"))).filter("note_id is not null")))
+    """Cleaned claims of notes with their patient and the number of models that agree on them."""
+    cleaned = claims.canonical_dedup(claims.clean(claims.claims_of(spread(t(s, d, "triples"))).filter("note_id is not null")), consensus=F.countDistinct("model"))
     owner = validate.first_notes(spread(t(s, d, "notes_all"))).select(F.col("note_id").alias("n"), "subject_id")
     df = cleaned.join(owner, F.col("note_id") == F.col("n"), "left")
-    trust = F.round(0.2 * known_concept(F.col("entity"), F.col("kind")) + 0.15 * validate.temporal_score(F.col("anchor"), "2021-06-01") + 0.55, 4)
-    return df.withColumns({"patient_id": F.coalesce(F.concat(F.lit("s"), F.col("subject_id").cast("string")), F.concat(F.lit("n"), F.col("note_id").cast("string"))), "trust": trust}).drop("n")
+    return df.withColumn("patient_id", F.coalesce(F.concat(F.lit("s"), F.col("subject_id").cast("string")), F.concat(F.lit("n"), F.col("note_id").cast("string")))).drop("n")
+
+
+def _trusted(s: SparkSession, d: str) -> DataFrame:
+    """The same with the five layers and the trust of the validator, validated once."""
+    return cut_lineage(validate.validate(_claims(s, d), spread(t(s, d, "notes_all")), AS_OF))
 
 
 def _graph(s: SparkSession, d: str) -> DataFrame:
-    return rdf.statements(_claims(s, d))
+    """Statements without trust and consensus, for queries that ask for neither."""
+    return rdf.statements(_claims(s, d).drop("consensus"))
+
+
+def _full_graph(s: SparkSession, d: str) -> DataFrame:
+    return rdf.statements(_trusted(s, d))
+
+
+def _treatments(s: SparkSession, d: str) -> DataFrame:
+    """Names of the canonical list that are drugs."""
+    c = t(s, d, "canon_items").filter("item_kind = 'drug'")
+    return c.select(F.col("canon_name").alias("name")).unionAll(c.select("alt_name")).filter("name is not null")
 
 
 def g01_statements(s: SparkSession, d: str) -> DataFrame:
-    return _graph(s, d)
+    return _full_graph(s, d)
 
 
 def s13_ntriples(s: SparkSession, d: str) -> DataFrame:
-    return rdf.ntriples(_graph(s, d))
+    return rdf.ntriples(_full_graph(s, d))
 
 
 def g03_merged(s: SparkSession, d: str) -> DataFrame:
     """Cohort graph and schema as one set of statements, counted by predicate (G-03, G-04, U-03)."""
-    return _graph(s, d).unionByName(rdf.schema_statements(s)).distinct().groupBy("p").agg(F.count("*").alias("n"))
+    return _full_graph(s, d).unionByName(rdf.schema_statements(s)).distinct().groupBy("p").agg(F.count("*").alias("n"))
 
 
 def g06_depths(s: SparkSession, d: str) -> DataFrame:
@@ -68,7 +80,7 @@ def g07_linked(s: SparkSession, d: str) -> DataFrame:
 
 
 def g07_high_trust(s: SparkSession, d: str) -> DataFrame:
-    return rdf.valued(_graph(s, d), "kg:trustScore", "trust").withColumn("trust", F.col("trust").cast("double")).filter("trust >= 0.8")
+    return rdf.valued(_full_graph(s, d), "kg:trustScore", "trust").withColumn("trust", F.col("trust").cast("double")).filter("trust >= 0.8")
 
 
 def g07_temporal(s: SparkSession, d: str) -> DataFrame:
@@ -82,17 +94,18 @@ def g07_entity_count(s: SparkSession, d: str) -> DataFrame:
 def g08_cohorts(s: SparkSession, d: str) -> DataFrame:
     """Patients with a neoplasm, with a treatment, and with any dated entity (A-10)."""
     st = _graph(s, d)
-    links = rdf.patient_entities(st)
+    links = rdf.named_or_like(rdf.patient_entities(st), _treatments(s, d), vocab.CHEMO)
     dated = st.filter("p = 'kg:temporalAnchor'").select(F.col("s").alias("entity")).distinct().withColumn("dated", F.lit(True))
-    return links.join(dated, "entity", "left").agg(*(F.countDistinct(F.when(F.col("label").rlike(f"(?i){p}"), F.col("patient"))).alias(n) for n, p in (("n_neoplasm", NEOPLASM), ("n_treated", TREATMENT))), F.countDistinct(F.when(F.col("dated"), F.col("patient"))).alias("n_dated"))
+    flags = (("n_neoplasm", F.col("label").rlike(f"(?i){vocab.CANCER}")), ("n_treated", F.col("meant")), ("n_dated", F.col("dated")))
+    return links.join(dated, "entity", "left").agg(*(F.countDistinct(F.when(c, F.col("patient"))).alias(n) for n, c in flags))
 
 
 def g09_summary(s: SparkSession, d: str) -> DataFrame:
     """Q1: a diagnosis and all treatments of each patient who has both (J-14, A-12)."""
     st = _graph(s, d)
-    a = rdf.with_patterns(rdf.patient_entities(st, "Condition"), NEOPLASM).groupBy("patient").agg(F.min("label").alias("diagnosis"))
-    b = rdf.with_patterns(rdf.patient_entities(st, "MedicationStatement"), TREATMENT).groupBy("patient").agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("treatments"))
-    return a.join(b, "patient")
+    a = rdf.with_patterns(rdf.patient_entities(st, "Condition"), vocab.CANCER).groupBy("patient").agg(F.min("label").alias("diagnosis"))
+    b = rdf.named_or_like(rdf.patient_entities(st, "MedicationStatement"), _treatments(s, d), vocab.CHEMO).filter("meant")
+    return a.join(b.groupBy("patient").agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("treatments")), "patient")
 
 
 def g09_treated(s: SparkSession, d: str) -> DataFrame:
@@ -108,7 +121,7 @@ def g09_most_used(s: SparkSession, d: str) -> DataFrame:
 def g09_comorbid(s: SparkSession, d: str) -> DataFrame:
     """Q4: other conditions of patients with a neoplasm (P-11)."""
     c = _of_kind(s, d, "Condition")
-    return rdf.co_occurring(rdf.with_patterns(c, NEOPLASM), c.filter(~F.col("label").rlike(f"(?i){NEOPLASM}")))
+    return rdf.co_occurring(rdf.with_patterns(c, vocab.CANCER), c.filter(~F.col("label").rlike(f"(?i){vocab.CANCER}")))
 
 
 def g09_dated(s: SparkSession, d: str) -> DataFrame:
@@ -119,7 +132,7 @@ def g09_dated(s: SparkSession, d: str) -> DataFrame:
 
 
 def g10_report(s: SparkSession, d: str) -> DataFrame:
-    return _graph(s, d).agg(F.count("*").alias("n_statements"), F.countDistinct("s").alias("n_subjects"), F.countDistinct("p").alias("n_predicates"), F.countDistinct(F.when(F.col("s").like("patient:%"), F.col("s"))).alias("n_patients"))
+    return _full_graph(s, d).agg(F.count("*").alias("n_statements"), F.countDistinct("s").alias("n_subjects"), F.countDistinct("p").alias("n_predicates"), F.countDistinct(F.when(F.col("s").like("patient:%"), F.col("s"))).alias("n_patients"))
 
 
 def g05_usage(s: SparkSession, d: str) -> DataFrame:
@@ -141,17 +154,42 @@ def j13_two_hops(s: SparkSession, d: str) -> DataFrame:
 
 
 def g15_nodes(s: SparkSession, d: str) -> DataFrame:
-    return rdf.trust_graph(_claims(s, d))[0].select("node", "kind", F.round("trust", 4).alias("trust"), "first_claim")
+    return rdf.trust_graph(_trusted(s, d))[0].select("node_id", "node", "kind", F.round("trust", 4).alias("trust"), "first_claim")
+
+
+def g15_edges(s: SparkSession, d: str) -> DataFrame:
+    """Edges both ways with dense ids and seven features (G-15)."""
+    return rdf.trust_graph(_trusted(s, d))[1].select("claim_id", "src_id", "dst_id", *(F.round(c, 4).alias(c) for c in rdf.EDGE_FEATURES))
 
 
 def g16_propagated(s: SparkSession, d: str) -> DataFrame:
-    n, e = rdf.trust_graph(_claims(s, d))
+    n, e = rdf.trust_graph(_trusted(s, d))
     return rdf.propagate(n, e).select("node", F.round("trust", 6).alias("trust"))
 
 
 def g17_labels(s: SparkSession, d: str) -> DataFrame:
-    """Label of each entity by its last claim (G-17)."""
-    return _claims(s, d).groupBy(F.lower(F.trim("entity")).alias("node")).agg(F.max_by((F.col("trust") >= 0.8).cast("int"), "claim_id").alias("label"))
+    """Label of each entity by its last claim: trust from 0.6 (G-17)."""
+    return _trusted(s, d).groupBy(F.lower(F.trim("entity")).alias("node")).agg(F.max_by((F.col("trust") >= 0.6).cast("int"), "claim_id").alias("label"))
+
+
+def g18_mapped(s: SparkSession, d: str) -> DataFrame:
+    """Propagated trust brought back to the claims (G-18, without the trained network)."""
+    c = _trusted(s, d)
+    return rdf.mapped_back(c, rdf.propagate(*rdf.trust_graph(c))).select("claim_id", "trust", F.round("graph_trust", 6).alias("graph_trust"))
+
+
+def g05_schema(s: SparkSession, d: str) -> DataFrame:
+    """The schema that grew with the relations as OWL statements (G-05): the fixed classes, types that occur, and properties by use."""
+    r = timeline.relations_of(t(s, d, "triples"))
+    r = r.withColumn("subject_type", rdf.inferred_class(F.col("subject"), F.col("subject_type")))
+    known = s.createDataFrame([(c, p) for c, p in vocab.CLASSES], "class string, parent string")
+    new = r.select(F.col("subject_type").alias("class")).unionAll(r.select("object_type")).filter("coalesce(class, '') <> ''").distinct().join(known.select("class"), "class", "left_anti")
+    return rdf.schema_export(known.unionByName(new.withColumn("parent", F.lit("Resource"))), rdf.property_usage(r))
+
+
+def f28_short(s: SparkSession, d: str) -> DataFrame:
+    """Short names of the identifiers of entities, written out (F-28)."""
+    return rdf.entities(_graph(s, d)).select("entity", rdf.short_name(F.concat(F.lit("http://kg/x#"), F.substring("entity", 4, 10_000))).alias("short")).distinct()
 
 
 def f20_recency(s: SparkSession, d: str) -> DataFrame:
@@ -209,6 +247,6 @@ def t10_reified(s: SparkSession, d: str) -> DataFrame:
     return r.select(F.explode(parts).alias("x")).select("x.*")
 
 
-QUERIES = {f.__name__: f for f in (g01_statements, s13_ntriples, g03_merged, g06_depths, g07_conditions, g07_medications, g07_procedures, g07_linked, g07_high_trust, g07_temporal, g07_entity_count, g08_cohorts, g09_summary, g09_treated, g09_most_used, g09_comorbid, g09_dated, g10_report, g05_usage, o06_top_properties, j13_two_hops, g15_nodes, g16_propagated, g17_labels, f20_recency, f18_forms, t01_anchored, t03_timeline, t04_metrics, t05_snapshot, t06_about, t07_changes, t08_relations, t09_stats, t10_reified)}
+QUERIES = {f.__name__: f for f in (g01_statements, s13_ntriples, g03_merged, g06_depths, g07_conditions, g07_medications, g07_procedures, g07_linked, g07_high_trust, g07_temporal, g07_entity_count, g08_cohorts, g09_summary, g09_treated, g09_most_used, g09_comorbid, g09_dated, g10_report, g05_usage, o06_top_properties, j13_two_hops, g15_nodes, g15_edges, g16_propagated, g17_labels, g18_mapped, g05_schema, f28_short, f20_recency, f18_forms, t01_anchored, t03_timeline, t04_metrics, t05_snapshot, t06_about, t07_changes, t08_relations, t09_stats, t10_reified)}
 
 from factgate.plans.oracles import GRAPH as ORACLE  # noqa: E402

@@ -100,7 +100,8 @@ k3 AS (SELECT *, {tidy('e')} = {tidy('v0')} AND e <> '' AS collapsed, {type_a("c
 k AS (SELECT claim_id, note_id, model, e AS entity, attribute, CASE WHEN collapsed THEN {status('attribute')} ELSE v0 END AS value,
   CASE WHEN recast THEN 'Patient' ELSE canonical END AS kind, CASE WHEN evidence <> '' THEN {scrub('evidence')} END AS evidence, CASE WHEN anchor <> '' THEN {scrub('anchor')} END AS anchor,
   drop_reason, recast, collapsed, canonical <> coalesce(kind, '') AS retyped FROM k3),
-kept AS (SELECT * FROM k WHERE drop_reason IS NULL QUALIFY row_number() OVER (PARTITION BY note_id, {tidy('entity')}, {tidy('attribute')}, {tidy('value')}, kind ORDER BY claim_id) = 1)"""
+kept AS (SELECT *, len(list_distinct(list(model) OVER (PARTITION BY note_id, {tidy('entity')}, {tidy('attribute')}, {tidy('value')}, kind))) AS consensus FROM k WHERE drop_reason IS NULL
+  QUALIFY row_number() OVER (PARTITION BY note_id, {tidy('entity')}, {tidy('attribute')}, {tidy('value')}, kind ORDER BY claim_id) = 1)"""
 
 _MON = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
 _DAY = rf"""CASE
@@ -150,18 +151,51 @@ _VALID = f"""{_C}, {_U}, {_src(_GROUND, 'u')}, {_SCHEMA}, {_src(_CONTRA, 'u')},
 v0 AS (SELECT gr.*, {GROUNDING} AS grounding, {ONTOLOGY} AS ontology, ss.schema_ AS schema_, {TEMPORAL} AS temporal, coalesce(cp.s, 1.0) AS contradiction
   FROM gr JOIN ss ON skind IS NOT DISTINCT FROM kind AND sattr IS NOT DISTINCT FROM attribute LEFT JOIN (SELECT claim_id AS cclaim, s FROM cp) cp ON cclaim = gr.claim_id),
 v AS (SELECT *, round(CAST(0 AS DOUBLE) + grounding * 0.3::DOUBLE + ontology * 0.2::DOUBLE + schema_ * 0.15::DOUBLE + temporal * 0.15::DOUBLE + contradiction * 0.2::DOUBLE, 4) AS trust FROM v0)"""
-_TEXTS = """tx AS (SELECT DISTINCT note_id, model, x.t AS text FROM (SELECT note_id, model, unnest(list_filter([trim(coalesce(entity, ''), ' '), trim(coalesce(value, ''), ' '), trim(coalesce(evidence, ''), ' '), trim(trim(coalesce(entity, ''), ' ') || ' ' || trim(coalesce(value, ''), ' '), ' ')], lambda z: length(z) > 1)) AS t FROM c WHERE note_id IS NOT NULL) x),
-gold AS (SELECT DISTINCT note_id, trim(coalesce(entity, ''), ' ') AS gold FROM c WHERE model = 'model_a' AND note_id IS NOT NULL AND length(trim(coalesce(entity, ''), ' ')) > 1)"""
+# whole-word occurrences: the text is cut at the name, and the characters on both sides of each cut are looked at
+_EDGE = "(CASE WHEN {0} = '' THEN {1} ELSE NOT regexp_matches({2}, '[\\pL\\pN]') END)"
+_FOUND = f"""fo AS (SELECT note_id, text, name, label, ps, unnest(range(1, len(ps))) AS i FROM (SELECT note_id, text, lower(canon_name) AS name, min(item_kind) AS label, string_split(lower(text), lower(canon_name)) AS ps
+  FROM notes JOIN canon_items ON contains(lower(text), lower(canon_name)) GROUP BY note_id, text, lower(canon_name))),
+mt AS (SELECT note_id, name, label, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + (i - 1) * length(name) AS INT) AS start, text FROM fo WHERE {_EDGE.format('ps[i]', 'i = 1', 'right(ps[i], 1)')} AND {_EDGE.format('ps[i + 1]', 'i + 1 = len(ps)', 'left(ps[i + 1], 1)')})"""
+_GOLD = f"{_FOUND}, gold AS (SELECT note_id, name AS gold, min(label) AS label, count(*) AS n FROM mt GROUP BY 1, 2)"
+_TEXTS = f"""{_NOTES}, tx AS (SELECT DISTINCT note_id, model, x.t AS text FROM (SELECT note_id, model, unnest(list_filter([trim(coalesce(entity, ''), ' '), trim(coalesce(value, ''), ' '), trim(coalesce(evidence, ''), ' '), trim(trim(coalesce(entity, ''), ' ') || ' ' || trim(coalesce(value, ''), ' '), ' ')], lambda z: length(z) > 1)) AS t FROM c WHERE note_id IS NOT NULL) x),
+{_GOLD}"""
 _HITS = f"""{_C}, {_TEXTS},
 ta AS (SELECT note_id, model, text, {norm('text')} AS a FROM tx), tb AS (SELECT note_id, gold, {norm('gold')} AS b FROM gold),
 fa AS (SELECT DISTINCT note_id, a, {forms('a')} AS f1, {toks('a')} AS t1 FROM ta WHERE a <> ''), fb AS (SELECT DISTINCT note_id, b, {forms('b')} AS f2, {toks('b')} AS t2 FROM tb WHERE b <> ''),
 fp AS (SELECT fa.note_id, a, b, {score('a', 'b', 'f1', 'f2', 't1', 't2')} AS score FROM fa JOIN fb ON fa.note_id = fb.note_id),
 hits AS (SELECT ta.note_id, model, text, gold, score FROM ta JOIN fp ON fp.note_id = ta.note_id AND fp.a = ta.a JOIN tb ON tb.note_id = fp.note_id AND tb.b = fp.b WHERE score >= 0.4)"""
-_MISSED = "ms AS (SELECT * FROM gold ANTI JOIN (SELECT * FROM hits WHERE model <> 'model_a') h ON h.note_id = gold.note_id AND h.gold = gold.gold)"
+_CTEXTS = "ct AS (SELECT claim_id, unnest(list_distinct(list_filter([trim(coalesce(entity, ''), ' '), trim(coalesce(value, ''), ' '), trim(coalesce(evidence, ''), ' '), trim(trim(coalesce(entity, ''), ' ') || ' ' || trim(coalesce(value, ''), ' '), ' ')], lambda z: length(z) > 1))) AS text FROM c WHERE note_id IS NOT NULL)"
+_BARE = f"""gn AS (SELECT note_id AS nid, {norm('replace(text, chr(0), chr(32))')} AS note FROM notes), gt AS (SELECT nid, note, {toks('note')} AS tk FROM gn),
+bg AS (SELECT claim_id, coalesce(bool_or(g), false) AS grounded FROM (SELECT c.claim_id, n <> '' AND note IS NOT NULL AND (contains(note, n) OR len(list_intersect({toks('n')}, tk)) / greatest(len({toks('n')}), 1) >= 0.6) AS g
+  FROM c LEFT JOIN (SELECT claim_id, {norm('text')} AS n FROM ct) ct ON ct.claim_id = c.claim_id LEFT JOIN gt ON nid = c.note_id WHERE c.note_id IS NOT NULL) GROUP BY 1)"""
+_BY_NOTE = f"""{_HITS}, {_CTEXTS}, {_BARE}, mc AS (SELECT DISTINCT c.note_id, c.model, c.claim_id, h.gold FROM ct JOIN c USING (claim_id) JOIN hits h ON h.note_id = c.note_id AND h.text = ct.text),
+cg AS (SELECT DISTINCT note_id, model, gold FROM mc), ng AS (SELECT note_id, count(*) AS n_gold, CAST(sum(n) AS BIGINT) AS n_mentions FROM gold GROUP BY 1),
+nb AS (SELECT note_id, model, count(*) AS n_claims, count(*) FILTER (WHERE NOT grounded) AS n_ungrounded FROM c JOIN bg USING (claim_id) GROUP BY 1, 2), nr AS (SELECT note_id, model, count(DISTINCT claim_id) AS n_right FROM mc GROUP BY 1, 2),
+nc AS (SELECT cg.note_id, model, count(*) AS n_covered, CAST(sum(n) AS BIGINT) AS n_covered_mentions FROM cg JOIN gold ON gold.note_id = cg.note_id AND gold.gold = cg.gold GROUP BY 1, 2),
+nx AS (SELECT nb.*, n_gold, n_mentions, coalesce(n_right, 0) AS n_right, coalesce(n_covered, 0) AS n_covered, coalesce(n_covered_mentions, 0) AS n_covered_mentions FROM nb JOIN ng ON ng.note_id = nb.note_id LEFT JOIN nr ON nr.note_id = nb.note_id AND nr.model = nb.model LEFT JOIN nc ON nc.note_id = nb.note_id AND nc.model = nb.model),
+np AS (SELECT *, n_right / n_claims AS p, n_covered / n_gold AS r, n_covered_mentions / n_mentions AS mention_r, n_ungrounded / n_claims AS hallucination FROM nx),
+ns AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1, CASE WHEN p + mention_r > 0 THEN 2 * p * mention_r / (p + mention_r) ELSE 0 END AS mention_f1 FROM np)"""
+_CHART = """tl AS (SELECT icd9_code, arg_min(long_title, (loaded_at, long_title)) AS long_title FROM d_icd_diagnoses WHERE icd9_code IS NOT NULL GROUP BY 1), li AS (SELECT itemid, arg_min(label, (loaded_at, label)) AS label FROM d_labitems WHERE itemid IS NOT NULL GROUP BY 1),
+cc AS (SELECT DISTINCT hadm_id, 'diagnosis' AS category, lower(long_title) AS concept FROM diagnoses_icd JOIN tl USING (icd9_code) WHERE hadm_id IS NOT NULL AND coalesce(long_title, '') <> ''
+  UNION SELECT hadm_id, 'medication', lower(trim(drug, ' ')) FROM (SELECT *, row_number() OVER (PARTITION BY hadm_id ORDER BY row_id) AS nth FROM prescriptions WHERE hadm_id IS NOT NULL) WHERE nth <= 20 AND length(trim(drug, ' ')) > 2
+  UNION SELECT hadm_id, 'lab', lower(label) FROM (SELECT *, row_number() OVER (PARTITION BY hadm_id ORDER BY row_id) AS nth FROM (SELECT hadm_id, label, min(row_id) AS row_id FROM (SELECT *, row_number() OVER (PARTITION BY hadm_id ORDER BY row_id) AS k FROM labevents WHERE hadm_id IS NOT NULL) JOIN li USING (itemid) WHERE k <= 50 AND coalesce(label, '') <> '' GROUP BY 1, 2)) WHERE nth <= 20)"""
+
+
+def _form(x: str) -> str:
+    return f"array_to_string(list_filter(string_split({norm(f"coalesce({x}, '')")}, ' '), lambda w: length(w) > 1 AND w NOT IN ({items(vocab.CONCEPT_STOP_WORDS)})), ' ')"
+
+
+def same_concept(x: str, y: str) -> str:
+    tx, ty = f"list_distinct(string_split({x}, ' '))", f"list_distinct(string_split({y}, ' '))"
+    inside = f"(least(length({x}), length({y})) >= 4 AND CASE WHEN length({x}) <= length({y}) THEN contains({y}, {x}) ELSE contains({x}, {y}) END)"
+    return f"({x} <> '' AND {y} <> '' AND ({x} = {y} OR {inside} OR len(list_intersect({tx}, {ty})) / greatest(len(list_distinct(list_concat({tx}, {ty}))), 1) > 0.3))"
+
+
+_MISSED = "ms AS (SELECT * FROM gold ANTI JOIN hits h ON h.note_id = gold.note_id AND h.gold = gold.gold)"
 _CHECK = f"""{_C}, {_NOTES}, ev AS (SELECT c.*, {tidy("CASE WHEN coalesce(evidence, '') <> '' THEN evidence ELSE value END")} AS ev FROM c),
 ck AS (SELECT ev.*, CASE WHEN length(ev) >= LEAST_ THEN contains(coalesce({tidy('replace(text, chr(0), chr(32))')}, ''), ev) END AS verbatim FROM ev LEFT JOIN notes ON notes.note_id = ev.note_id)"""
 _SCORED = f"""{_VALID},
-ag AS (SELECT min(claim_id) AS cid, CAST(count(DISTINCT model) > 1 AS INT) AS y FROM c GROUP BY {_KEYS}),
+ag AS (SELECT arg_min(claim_id, (model, claim_id)) AS cid, CAST(count(DISTINCT model) > 1 AS INT) AS y FROM c GROUP BY {_KEYS}),
 sc AS (SELECT v.claim_id, least(greatest(trust, 0), 1) AS score, y FROM v JOIN ag ON cid = v.claim_id)"""
 _CURVE = f"{_SCORED}, cv AS (SELECT *, row_number() OVER w AS rank, sum(1 - y) OVER w AS errors FROM sc WINDOW w AS (ORDER BY score DESC, claim_id))"
 
@@ -189,12 +223,11 @@ CLAIMS = {
     "v07_trust": f"WITH {_VALID} SELECT claim_id, note_id, kind, round(grounding, 3) AS grounding, round(ontology, 3) AS ontology, round(schema_, 3) AS schema, round(temporal, 3) AS temporal, round(contradiction, 3) AS contradiction, trust FROM v",
     "sel05_gate": f"WITH {_VALID} SELECT coalesce(kind, '') AS kind, count(*) AS n, count(*) FILTER (WHERE trust >= 0.7 AND grounding > 0) AS n_admitted, count(*) FILTER (WHERE grounding >= 0.5) AS n_grounded, round(avg(trust), 4) AS mean_trust FROM v GROUP BY 1",
     "a03_layers": f"WITH {_VALID}, lg AS (SELECT model AS grp, unnest(['grounding', 'ontology', 'schema', 'temporal', 'contradiction', 'trust']) AS layer, unnest([grounding, ontology, schema_, temporal, contradiction, trust]) AS s FROM v) SELECT layer, grp, count(*) AS n, round(avg(s), 3) AS mean_score, round(min(s), 3) AS least, count(*) FILTER (WHERE s < 0.5) AS n_below, round(avg(CAST(s >= 0.5 AS INT)), 4) AS pass_half, round(avg(CAST(s >= 0.999 AS INT)), 4) AS pass_full, CAST(grouping(grp) AS INT) AS is_all FROM lg GROUP BY ROLLUP (layer, grp) HAVING layer IS NOT NULL",
-    "f03_match": f"WITH p AS (SELECT DISTINCT entity AS a, value AS b FROM triples UNION ALL VALUES ('HTN', 'hypertension'), ('chest pain', 'pain'), ('red big house', 'big red house'), ('a1 b2 c3 d4 e5 f6', 'b2 a1 zz'), ('x', '')), n AS (SELECT a, b, {norm("coalesce(a, '')")} AS x, {norm("coalesce(b, '')")} AS y FROM p), f AS (SELECT *, {forms('x')} AS fx, {forms('y')} AS fy, {toks('x')} AS tx, {toks('y')} AS ty FROM n) SELECT a, b, round({score('x', 'y', 'fx', 'fy', 'tx', 'ty')}, 6) AS score, x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x) OR len(list_intersect(tx, ty)) / greatest(len(list_distinct(list_concat(tx, ty))), 1) > 0.3) AS concept FROM f",
+    "f03_match": f"WITH p AS (SELECT DISTINCT entity AS a, value AS b FROM triples UNION ALL VALUES ('HTN', 'hypertension'), ('chest pain', 'pain'), ('red big house', 'big red house'), ('a1 b2 c3 d4 e5 f6', 'b2 a1 zz'), ('x', '')), n AS (SELECT a, b, {norm("coalesce(a, '')")} AS x, {norm("coalesce(b, '')")} AS y FROM p), f AS (SELECT *, {forms('x')} AS fx, {forms('y')} AS fy, {toks('x')} AS tx, {toks('y')} AS ty, {_form('a')} AS cx, {_form('b')} AS cy FROM n) SELECT a, b, round({score('x', 'y', 'fx', 'fy', 'tx', 'ty')}, 6) AS score, {same_concept('cx', 'cy')} AS concept FROM f",
     "j06_pairs": f"WITH {_HITS} SELECT note_id, model, text, gold, round(score, 6) AS score FROM hits",
-    "u05_subsets": f"WITH {_HITS}, mk AS (SELECT note_id, gold, bit_or(CASE model WHEN 'model_a' THEN 1 WHEN 'model_b' THEN 2 ELSE 4 END) AS m FROM hits GROUP BY 1, 2), t AS (SELECT count(*) AS n_gold FROM gold), s AS (SELECT CAST(unnest(range(1, 8)) AS INT) AS mask) SELECT mask, count(m) AS n_covered, any_value(n_gold) AS n_gold, round(count(m) / greatest(any_value(n_gold), 1), 6) AS recall FROM s CROSS JOIN t LEFT JOIN mk ON (m & mask) > 0 GROUP BY mask",
     "e04_misses": f"WITH {_HITS}, {_MISSED} SELECT {bucket('gold')} AS bucket, count(*) AS n FROM ms GROUP BY 1",
-    "e08_quality": f"WITH {_CHECK.replace('LEAST_', '4')} SELECT model, count(DISTINCT note_id) AS n_notes, count(*) AS n_claims, round(count(*) / greatest(count(DISTINCT note_id), 1), 4) AS per_note, round(avg(CAST(verbatim AS INT)), 4) AS grounded, count(DISTINCT left({tidy('entity')}, 30)) AS n_heads FROM ck GROUP BY 1",
-    "e07_failures": f"WITH {_CHECK.replace('LEAST_', '5')} " + " UNION ALL ".join(f"SELECT {q(n)} AS failure, count(*) AS n, min(claim_id) AS example, round(count(*) / greatest((SELECT count(*) FROM ck), 1), 4) AS share FROM ck WHERE {w} HAVING count(*) > 0" for n, w in _FAIL.items()),
+    "e08_quality": f"WITH {_CHECK.replace('LEAST_', '4')} SELECT model, count(DISTINCT note_id) AS n_notes, (SELECT count(*) FROM notes) - count(DISTINCT note_id) AS n_empty, count(*) AS n_claims, round(count(*) / greatest(count(DISTINCT note_id), 1), 4) AS per_note, round(avg(CAST(verbatim AS INT)), 4) AS grounded, count(DISTINCT left({tidy('entity')}, 30)) AS n_heads FROM ck GROUP BY 1",
+    "e07_failures": f"WITH {_CHECK.replace('LEAST_', '5')} " + " UNION ALL ".join(f"SELECT {q(n)} AS failure, count(*) AS n, list_sort(list(claim_id))[1:3] AS examples, round(count(*) / greatest((SELECT count(*) FROM ck), 1), 4) AS share FROM ck WHERE {w} HAVING count(*) > 0" for n, w in _FAIL.items()),
     "e13_pivot": f"WITH {_C} SELECT note_id, count(*) FILTER (WHERE model = 'model_a') AS model_a, count(*) FILTER (WHERE model = 'model_b') AS model_b, count(*) FILTER (WHERE model = 'model_c') AS model_c FROM c WHERE note_id IS NOT NULL GROUP BY 1",
     "e10_curve": f"WITH {_C}, p AS (SELECT note_id, count(*) AS n FROM c WHERE note_id IS NOT NULL GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY note_id) AS k, sum(n) OVER (ORDER BY note_id) AS n_claims FROM p), s AS (SELECT unnest([25, 50, 75, 100]) AS percent) SELECT percent, k AS n_notes, n_claims FROM s JOIN r ON k = ceil((SELECT count(*) FROM p) * percent / 100)",
     "c04_ece": f"WITH {_SCORED}, b AS (SELECT least(floor(score * 10), 9) AS bin, count(*) AS n, avg(score) AS m, avg(y) AS s FROM sc GROUP BY 1) SELECT round(sum(n * abs(m - s)) / sum(n), 6) AS ece FROM b",
@@ -206,9 +239,16 @@ CLAIMS = {
     "o05_held": f"WITH {_SCORED} SELECT claim_id, score FROM sc WHERE y = 0 ORDER BY score, claim_id LIMIT 14",
 }
 
-_G = f"""{_C.replace("source <> 'ehr'", "source <> 'ehr' AND note_id IS NOT NULL")}, {_CLEAN}, {_NOTES},
-cl AS (SELECT kept.*, CASE WHEN subject_id >= 0 THEN 's' || subject_id ELSE 'n' || kept.note_id END AS patient, round(CAST(0.2 AS DOUBLE) * {ONTOLOGY} + CAST(0.15 AS DOUBLE) * {TEMPORAL} + CAST(0.55 AS DOUBLE), 4) AS trust FROM kept LEFT JOIN notes ON notes.note_id = kept.note_id),
-ok AS (SELECT *, trim(coalesce(entity, ''), ' ') AS e, trim(coalesce(value, ''), ' ') AS v FROM cl WHERE trim(coalesce(entity, ''), ' ') <> '' AND trim(coalesce(value, ''), ' ') <> '')"""
+_ONLY_NOTES = _C.replace("source <> 'ehr'", "source <> 'ehr' AND note_id IS NOT NULL")
+_OWNED = "CASE WHEN subject_id >= 0 THEN 's' || subject_id ELSE 'n' || {0}.note_id END AS patient"
+_OK = "ok AS (SELECT *, trim(coalesce(entity, ''), ' ') AS e, trim(coalesce(value, ''), ' ') AS v FROM cl WHERE trim(coalesce(entity, ''), ' ') <> '' AND trim(coalesce(value, ''), ' ') <> '')"
+_G = f"""{_ONLY_NOTES}, {_CLEAN}, {_NOTES},
+cl AS (SELECT kept.*, {_OWNED.format('kept')} FROM kept LEFT JOIN notes ON notes.note_id = kept.note_id), {_OK}"""
+_GT = f"""{_ONLY_NOTES}, {_CLEAN}, {_src(_GROUND, 'kept')}, {_SCHEMA.replace('FROM c)', 'FROM kept)')}, {_src(_CONTRA, 'kept')},
+v0 AS (SELECT gr.*, {GROUNDING} AS grounding, {ONTOLOGY} AS ontology, ss.schema_ AS schema_, {TEMPORAL} AS temporal, coalesce(cp.s, 1.0) AS contradiction
+  FROM gr JOIN ss ON skind IS NOT DISTINCT FROM kind AND sattr IS NOT DISTINCT FROM attribute LEFT JOIN (SELECT claim_id AS cclaim, s FROM cp) cp ON cclaim = gr.claim_id),
+cl AS (SELECT v0.*, {_OWNED.format('v0')}, round(CAST(0 AS DOUBLE) + grounding * 0.3::DOUBLE + ontology * 0.2::DOUBLE + schema_ * 0.15::DOUBLE + temporal * 0.15::DOUBLE + contradiction * 0.2::DOUBLE, 4) AS trust FROM v0 LEFT JOIN notes ON notes.note_id = v0.note_id), {_OK}"""
+_RECENCY = "CASE WHEN {0} IS NULL THEN 0.5 ELSE greatest(0, least(1, 1 - CAST(0.05 AS DOUBLE) * (2026 - {0}))) END"
 
 
 def _kind(k: str) -> str:
@@ -224,7 +264,7 @@ _MISSING = "IN ('', 'null', 'none')"
 GRAPH = {
     "g06_depths": "WITH RECURSIVE h(c, p) AS (VALUES " + ", ".join(f"({q(c)}, {'NULL' if p is None else q(p)})" for c, p in vocab.CLASSES) + "), d(class, depth) AS (SELECT c, 0 FROM h WHERE p IS NULL UNION ALL SELECT h.c, depth + 1 FROM d JOIN h ON h.p = d.class) SELECT class, depth FROM d",
     "g07_entity_count": f"WITH {_G} SELECT count(DISTINCT {_uri('e')}) AS n_entities FROM ok",
-    "g17_labels": f"WITH {_G} SELECT lower(trim(entity, ' ')) AS node, arg_max(CAST(trust >= 0.8 AS INT), claim_id) AS label FROM cl GROUP BY 1",
+    "g17_labels": f"WITH {_GT} SELECT lower(trim(entity, ' ')) AS node, arg_max(CAST(trust >= 0.6 AS INT), claim_id) AS label FROM cl GROUP BY 1",
     "f20_recency": "SELECT triple_id, CASE WHEN y IS NULL THEN 0.5 ELSE round(greatest(0, least(1, 1 - CAST(0.05 AS DOUBLE) * (2026 - y))), 4) END AS recency FROM (SELECT triple_id, try_cast(regexp_extract(temporal_start, '(19|20)\\d{2}', 0) AS INT) AS y FROM triples)",
     "t05_snapshot": f"WITH {_R} SELECT relation_id, subject, predicate, object FROM r WHERE (lower(coalesce(temporal_start, '')) {_MISSING} OR temporal_start <= '2018') AND (lower(coalesce(temporal_end, '')) {_MISSING} OR temporal_end > '2018')",
     "t06_about": f"WITH {_R} SELECT relation_id, subject, predicate, object, temporal_start FROM r WHERE subject = 'suloraspramil' OR object = 'suloraspramil'",
@@ -232,9 +272,22 @@ GRAPH = {
     "t08_relations": f"WITH {_R} SELECT relation_id, subject, predicate, object, subject_type FROM r",
     "t09_stats": f"WITH {_R} SELECT count(*) AS n, count(DISTINCT subject) AS n_subjects, count(DISTINCT predicate) AS n_predicates, count(temporal_start) AS n_dated FROM r",
     "t10_reified": f"WITH {_R} SELECT 'kg:r' || relation_id AS s, p, o FROM (SELECT relation_id, unnest(['rdf:subject', 'rdf:predicate', 'rdf:object', 'kg:validFrom', 'kg:validUntil']) AS p, unnest([subject, predicate, object, temporal_start, temporal_end]) AS o FROM r) WHERE o IS NOT NULL",
-    "g15_nodes": f"""WITH {_G}, en AS (SELECT claim_id, kind, trust, lower(trim(entity, ' ')) AS e, lower(trim(value, ' ')) AS v FROM cl WHERE length(lower(trim(entity, ' '))) > 1 AND length(lower(trim(value, ' '))) > 1 AND lower(trim(entity, ' ')) <> lower(trim(value, ' '))),
-lo AS (SELECT claim_id, trust, e AS node, kind FROM en UNION ALL SELECT claim_id, trust, v, 'Value' FROM en), vo AS (SELECT node, kind, count(*) AS n, min(claim_id) AS seen, max(trust) AS trust FROM lo GROUP BY 1, 2)
-SELECT node, arg_min(kind, (-n, seen)) AS kind, round(greatest(0.5, max(trust)), 4) AS trust, min(seen) AS first_claim FROM vo GROUP BY 1""",
+}
+_NODES = f"""{_GT}, en AS (SELECT *, lower(trim(coalesce(entity, ''), ' ')) AS e, lower(trim(coalesce(value, ''), ' ')) AS v, {_RECENCY.format("try_cast(regexp_extract(anchor, '(19|20)[0-9][0-9]', 0) AS INT)")} AS recency FROM (SELECT * EXCLUDE (g) FROM cl)),
+lo AS (SELECT claim_id, trust, coalesce(kind, 'Unknown') AS kind, e AS node, 0 AS pos FROM en WHERE length(e) > 1 UNION ALL SELECT claim_id, NULL, NULL, v, 1 FROM en WHERE length(v) > 1),
+vo AS (SELECT node, kind, count(*) AS n, min((claim_id, pos)) AS seen, max(trust) AS trust FROM lo GROUP BY 1, 2),
+nd AS (SELECT node, coalesce(arg_min(kind, (-n, seen)) FILTER (WHERE kind IS NOT NULL), 'Unknown') AS kind, greatest(0.5, max(trust)) AS t, min(seen) AS seen FROM vo GROUP BY 1),
+ni AS (SELECT row_number() OVER (ORDER BY seen) - 1 AS node_id, * FROM nd),
+ee AS (SELECT claim_id, e AS src, v AS dst, trust AS w, grounding, ontology, schema_, temporal, contradiction, recency FROM en WHERE length(e) > 1 AND length(v) > 1 AND e <> v
+  UNION ALL SELECT claim_id, v, e, trust, grounding, ontology, schema_, temporal, contradiction, recency FROM en WHERE length(e) > 1 AND length(v) > 1 AND e <> v)"""
+_SPREAD = f"""{_NODES},
+m1 AS (SELECT dst, sum(t * w) / sum(w) AS m FROM ee JOIN ni ON node = src GROUP BY 1), n1 AS (SELECT node, 0.5::DOUBLE * t + 0.5::DOUBLE * coalesce(m, t) AS t FROM ni LEFT JOIN m1 ON dst = node),
+m2 AS (SELECT dst, sum(t * w) / sum(w) AS m FROM ee JOIN n1 ON node = src GROUP BY 1), n2 AS (SELECT node, 0.5::DOUBLE * t + 0.5::DOUBLE * coalesce(m, t) AS t FROM n1 LEFT JOIN m2 ON dst = node)"""
+GRAPH |= {
+    "g15_nodes": f"WITH {_NODES} SELECT node_id, node, kind, round(t, 4) AS trust, seen[1] AS first_claim FROM ni",
+    "g15_edges": f"WITH {_NODES} SELECT claim_id, a.node_id AS src_id, b.node_id AS dst_id, round(grounding, 4) AS grounding, round(ontology, 4) AS ontology, round(schema_, 4) AS schema, round(temporal, 4) AS temporal, round(contradiction, 4) AS contradiction, round(w, 4) AS trust, round(recency, 4) AS recency FROM ee JOIN ni a ON a.node = src JOIN ni b ON b.node = dst",
+    "g16_propagated": f"WITH {_SPREAD} SELECT node, round(t, 6) AS trust FROM n2",
+    "g18_mapped": f"WITH {_SPREAD} SELECT claim_id, trust, round(coalesce(t, trust), 6) AS graph_trust FROM en LEFT JOIN n2 ON node = e",
 }
 
 _concepts = "[" + items(vocab.CONCEPTS) + "]"
@@ -280,19 +333,44 @@ CLAIMS |= {
     "f27_perturbed": f"WITH {_C} SELECT claim_id, {_NEG} AS negated, CASE WHEN {_NUM1} <> '' THEN round(CAST(rtrim({_NUM1}, '.') AS DOUBLE) * (2 + claim_id % 9), 1) END AS scaled, {case("coalesce(kind, '')", vocab.TYPE_SWAPS)} AS swapped FROM c",
     "v10_fused": f"""WITH {_VALID}, j AS (SELECT claim_id, note_id, trust, grounding, (claim_id % 10) / 10.0::DOUBLE AS j FROM v),
 g AS (SELECT claim_id, trust, round(greatest(0, least(1, 0.25::DOUBLE * j + 0.25::DOUBLE * (1 - j) + 0.30::DOUBLE * grounding - 0.20::DOUBLE * (j / 2))), 4) AS agent, row_number() OVER (PARTITION BY note_id ORDER BY abs(trust - 0.5::DOUBLE), claim_id) AS place FROM j)
-SELECT claim_id, agent, place, round(CASE WHEN place <= 5 THEN 0.4::DOUBLE * trust + 0.6::DOUBLE * agent ELSE trust END, 4) AS fused FROM g""",
+SELECT claim_id, agent, place, round(CASE WHEN place <= 50 THEN 0.4::DOUBLE * trust + 0.6::DOUBLE * agent ELSE trust END, 4) AS fused FROM g""",
     "j07_blocked": f"WITH {_HITS}, ba AS (SELECT DISTINCT note_id, a, f1, t1, unnest(t1) AS t FROM fa), bb AS (SELECT DISTINCT note_id, b, f2, t2, unnest(t2) AS t FROM fb), bp AS (SELECT DISTINCT ba.note_id, a, b, f1, f2, t1, t2 FROM ba JOIN bb ON ba.note_id = bb.note_id AND ba.t = bb.t), bs AS (SELECT note_id, a, b, round({score('a', 'b', 'f1', 'f2', 't1', 't2')}, 6) AS score FROM bp) SELECT * FROM bs WHERE score >= 0.4",
     "e01_scores": f"""WITH {_HITS}, nf AS (SELECT note_id, model, count(DISTINCT text) AS n_found FROM tx GROUP BY 1, 2), ng AS (SELECT note_id, count(DISTINCT gold) AS n_gold FROM gold GROUP BY 1),
 gt AS (SELECT note_id, model, count(DISTINCT text) AS r, count(DISTINCT gold) AS c FROM hits GROUP BY 1, 2),
 s AS (SELECT nf.model, coalesce(r, 0) / n_found AS p, coalesce(c, 0) / n_gold AS r FROM nf JOIN ng ON ng.note_id = nf.note_id LEFT JOIN gt ON gt.note_id = nf.note_id AND gt.model = nf.model),
 f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM s)
 SELECT model, count(*) AS k, round(avg(p), 4) AS mean_p, round(avg(r), 4) AS mean_r, round(avg(f1), 4) AS mean_f1, round(stddev_pop(f1), 4) AS sd_f1, round(avg(f1) - 1.96 * stddev_pop(f1) / sqrt(count(*)), 4) AS ci_low, round(avg(f1) + 1.96 * stddev_pop(f1) / sqrt(count(*)), 4) AS ci_high FROM f GROUP BY 1""",
-    "a18_recurring": f"WITH {_HITS}, {_MISSED} SELECT {norm('gold')} AS gold, count(DISTINCT note_id) AS n_notes FROM ms GROUP BY 1 HAVING count(DISTINCT note_id) >= 2 ORDER BY n_notes DESC, 1 LIMIT 50",
+    "a18_recurring": f"WITH {_HITS}, {_MISSED} SELECT {tidy('gold')} AS gold, count(DISTINCT note_id) AS n_notes FROM ms WHERE {bucket('gold')} = 'substantive' GROUP BY 1 HAVING count(DISTINCT note_id) >= 2 ORDER BY n_notes DESC, 1 LIMIT 50",
+    "a18_labels": f"WITH {_HITS}, hg AS (SELECT DISTINCT note_id, gold FROM hits) SELECT label, count(*) AS n_gold, count(hg.gold) AS n_matched, round(count(hg.gold) / greatest(count(*), 1), 3) AS recall FROM gold LEFT JOIN hg ON hg.note_id = gold.note_id AND hg.gold = gold.gold GROUP BY 1",
+    "e01_notes": f"WITH {_BY_NOTE} SELECT note_id, model, n_claims, n_gold, n_mentions, n_right, n_covered, n_covered_mentions, round(p, 4) AS p, round(r, 4) AS r, round(f1, 4) AS f1, round(mention_r, 4) AS mention_r, round(mention_f1, 4) AS mention_f1, round(hallucination, 4) AS hallucination FROM ns",
+    "e01_models": f"WITH {_BY_NOTE} SELECT model, count(*) AS n_notes, {', '.join(f'round(avg({c}), 4) AS mean_{c}' for c in ('p', 'r', 'f1', 'mention_r', 'mention_f1', 'hallucination'))}, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('n_claims', 'n_gold', 'n_mentions', 'n_right', 'n_ungrounded'))} FROM ns GROUP BY 1",
+    "u05_subsets": f"""WITH {_HITS}, {_CTEXTS}, kc AS (SELECT claim_id, note_id, model, (lower(trim(coalesce(entity, ''), ' ')), lower(trim(coalesce(attribute, ''), ' ')), lower(trim(coalesce(value, ''), ' '))) AS key FROM c WHERE note_id IS NOT NULL),
+mk AS (SELECT DISTINCT kc.note_id, key, h.gold FROM ct JOIN kc USING (claim_id) JOIN hits h ON h.note_id = kc.note_id AND h.text = ct.text), su AS (SELECT CAST(unnest(range(1, 8)) AS INT) AS mask),
+mm AS (SELECT mask, unnest(list_filter([1, 2, 4], lambda b: b & mask > 0)) AS b FROM su), bm AS (SELECT note_id, key, CASE model WHEN 'model_a' THEN 1 WHEN 'model_b' THEN 2 ELSE 4 END AS b FROM kc),
+hk AS (SELECT DISTINCT mask, note_id, key FROM mm JOIN bm USING (b)), na AS (SELECT mask, note_id, count(*) AS n, count(*) FILTER (WHERE (note_id, key) IN (SELECT (note_id, key) FROM mk)) AS tp FROM hk GROUP BY 1, 2),
+cv AS (SELECT mask, hk.note_id, count(DISTINCT gold) AS c FROM hk JOIN mk ON mk.note_id = hk.note_id AND mk.key = hk.key GROUP BY 1, 2), gg AS (SELECT note_id, count(*) AS g FROM gold GROUP BY 1),
+x AS (SELECT su.mask, coalesce(n, 0) AS n, coalesce(tp, 0) / greatest(coalesce(n, 0), 1) AS p, coalesce(c, 0) / greatest(g, 1) AS r FROM su CROSS JOIN gg LEFT JOIN na ON na.mask = su.mask AND na.note_id = gg.note_id LEFT JOIN cv ON cv.mask = su.mask AND cv.note_id = gg.note_id),
+y AS (SELECT mask, round(avg(p), 4) AS mean_p, round(avg(r), 4) AS mean_r, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 4) AS mean_f1, round(avg(n), 1) AS mean_claims, CAST(bit_count(mask) AS INT) AS n_models FROM x GROUP BY mask)
+SELECT *, row_number() OVER (ORDER BY mean_f1 DESC, mean_r DESC, mask) AS place FROM y""",
+    "e12_samples": f"""WITH {_HITS}, {_CTEXTS}, {_BARE}, pr AS (SELECT DISTINCT note_id, model FROM hits), hm AS (SELECT DISTINCT note_id, model, gold FROM hits),
+sm AS (SELECT note_id, model, 'matched' AS kind, gold AS text, 6 AS most FROM hm UNION ALL SELECT pr.note_id, model, 'missed', gold, 6 FROM pr JOIN gold ON gold.note_id = pr.note_id WHERE NOT EXISTS (SELECT 1 FROM hm WHERE hm.note_id = pr.note_id AND hm.model = pr.model AND hm.gold = gold.gold)
+  UNION ALL (SELECT DISTINCT note_id, model, 'ungrounded', left(trim(coalesce(entity, ''), ' '), 60), 4 FROM c JOIN bg USING (claim_id) WHERE NOT grounded))
+SELECT note_id, model, kind, text, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY note_id, model, kind ORDER BY text) AS INT) AS place FROM sm) WHERE place <= most""",
+    "e05_concepts": f"WITH {_CHART} SELECT * FROM cc",
+    "e05_chart_scores": rf"""WITH {_C}, {_CHART}, hn AS (SELECT note_id, arg_min(coalesce(hadm_id, -1), row_id) AS hadm_id, lower(arg_min(coalesce(text, ''), row_id)) AS note FROM notes_all WHERE note_id IS NOT NULL GROUP BY 1),
+sx AS (SELECT DISTINCT note_id, unnest([lower(trim(coalesce(entity, ''), ' ')), lower(trim(coalesce(value, ''), ' '))]) AS text FROM c WHERE note_id IS NOT NULL),
+sn AS (SELECT hadm_id, text, bool_or(contains(note, text) OR len(list_filter(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ')[1:2], lambda w: length(w) > 3), lambda w: contains(note, w))) > 0) AS seen FROM sx JOIN hn USING (note_id) WHERE length(text) > 2 AND hadm_id >= 0 GROUP BY 1, 2),
+fx AS (SELECT hadm_id, text, {_form('text')} AS x FROM sn), fy AS (SELECT DISTINCT hadm_id, concept, {_form('concept')} AS y FROM cc),
+pm AS (SELECT fx.hadm_id, text, concept FROM fx JOIN fy ON fx.hadm_id = fy.hadm_id WHERE {same_concept('x', 'y')}),
+rt AS (SELECT hadm_id, count(DISTINCT text) AS n_right FROM pm GROUP BY 1), cd AS (SELECT cc.hadm_id, count(*) AS n_matched FROM cc WHERE EXISTS (SELECT 1 FROM pm WHERE pm.hadm_id = cc.hadm_id AND pm.concept = cc.concept) GROUP BY 1),
+sa AS (SELECT hadm_id, count(*) AS n_found, count(*) FILTER (WHERE NOT seen) AS bad FROM sn GROUP BY 1), fa AS (SELECT hadm_id, count(*) AS n_facts FROM cc GROUP BY 1),
+z AS (SELECT sa.hadm_id, n_found, n_facts, coalesce(n_matched, 0) AS n_matched, coalesce(n_right, 0) / n_found AS p, coalesce(n_matched, 0) / n_facts AS r, bad / n_found AS h FROM sa JOIN fa ON fa.hadm_id = sa.hadm_id LEFT JOIN rt ON rt.hadm_id = sa.hadm_id LEFT JOIN cd ON cd.hadm_id = sa.hadm_id)
+SELECT hadm_id, n_found, n_facts, n_matched, round(p, 3) AS precision, round(r, 3) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 3) AS f1, round(h, 3) AS hallucination FROM z""",
     "c07_bands": f"""WITH {_BANDS} SELECT target, tau_high, tau_low, count(*) AS n, count(*) FILTER (WHERE score >= tau_high) AS n_insert, count(*) FILTER (WHERE score < tau_high AND score < tau_low) AS n_reject, count(*) FILTER (WHERE score < tau_high AND score >= tau_low) AS n_review,
 round(sum(y) FILTER (WHERE score >= tau_high) / greatest(count(*) FILTER (WHERE score >= tau_high), 1), 6) AS insert_precision, count(*) FILTER (WHERE score < tau_high AND y = 0) AS n_held_wrong FROM te CROSS JOIN th CROSS JOIN lo GROUP BY ALL""",
 }
 
-_ST = f"""{_G},
+_PLAIN = f""",
 ba AS (SELECT *, trim(coalesce(entity, ''), ' ') AS e, trim(coalesce(value, ''), ' ') AS v, 'patient:' || url_encode({_uri('patient')}) AS pat, 'kg:' || url_encode({_uri("coalesce(entity, '')")}) AS ent, {type_c('kind')} AS tc, {code("coalesce(entity, '')")} AS cd FROM cl),
 bo AS (SELECT * FROM ba WHERE e <> '' AND v <> ''),
 st AS (SELECT pat AS s, 'rdf:type' AS p, 'fhir:Patient' AS o, 'uri' AS o_kind FROM ba UNION SELECT pat, 'rdfs:label', patient, 'string' FROM ba
@@ -300,46 +378,65 @@ st AS (SELECT pat AS s, 'rdf:type' AS p, 'fhir:Patient' AS o, 'uri' AS o_kind FR
   UNION SELECT ent, 'owl:sameAs', cd, 'uri' FROM bo WHERE cd IS NOT NULL UNION SELECT ent, 'kg:ontologyCode', cd, 'string' FROM bo WHERE cd IS NOT NULL
   UNION SELECT ent, CASE WHEN trim(coalesce(attribute, ''), ' ') = '' THEN 'kg:hasValue' ELSE 'kg:' || url_encode({_uri("coalesce(attribute, '')")}) END, v, CASE WHEN regexp_matches(v, '^[+-]?[0-9]+(\\.[0-9]+)?$') THEN 'float' ELSE 'string' END FROM bo
   UNION SELECT pat, 'kg:hasEntity', ent, 'uri' FROM bo UNION SELECT ent, 'kg:evidenceSpan', left(evidence, 200), 'string' FROM bo WHERE coalesce(evidence, '') <> ''
-  UNION SELECT ent, 'kg:trustScore', printf('%.4f', trust), 'float' FROM bo UNION SELECT ent, 'kg:temporalAnchor', anchor, 'string' FROM bo WHERE lower(coalesce(anchor, '')) NOT IN ('', 'null', 'none')),
+  EXTRA UNION SELECT ent, 'kg:temporalAnchor', anchor, 'string' FROM bo WHERE lower(coalesce(anchor, '')) NOT IN ('', 'null', 'none')),
 en AS (SELECT s AS entity, o AS label FROM st WHERE p = 'rdfs:label' AND starts_with(s, 'kg:')), pe AS (SELECT s AS patient, o AS entity FROM st WHERE p = 'kg:hasEntity'),
 pl AS (SELECT patient, pe.entity, label FROM pe JOIN en ON en.entity = pe.entity)"""
+_ST = _G + _PLAIN.replace("EXTRA", "")
+_STT = _GT + _PLAIN.replace("EXTRA", "UNION SELECT ent, 'kg:trustScore', printf('%.4f', trust), 'float' FROM bo UNION SELECT ent, 'kg:consensusLevel', CAST(consensus AS VARCHAR), 'string' FROM bo")
+
+
+def _iri(x: str) -> str:
+    from factgate.operators.rdf import PREFIXES
+
+    out = f"{case(f"split_part({x}, ':', 1)", PREFIXES)} || substr({x}, strpos({x}, ':') + 1)"
+    for raw, code_ in ((" ", "%20"), ("<", "%3C"), (">", "%3E"), ('"', "%22"), ("{", "%7B"), ("}", "%7D"), ("|", "%7C"), ("^", "%5E"), ("`", "%60"), ("\\", "%5C")):
+        out = f"replace({out}, {q(raw)}, {q(code_)})"
+    return f"'<' || {out} || '>'"
+
+
+_LITERAL = """'"' || replace(replace(replace(replace(replace(o, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"'"""
 
 
 def _class(k: str) -> str:
     return f"SELECT patient, entity, label FROM pl WHERE entity IN (SELECT s FROM st WHERE p = 'rdf:type' AND o = 'fhir:{k}')"
 
 
-_NEO, _TREAT = f"(?i)({vocab.CANCER}|polyposis)", f"(?i)({vocab.CHEMO}|(cetrol|zolac|pramil|vast|fendor|quast|pride)$)"
+_NEO = f"(?i)({vocab.CANCER})"
+_DRUGS = "SELECT lower(trim(canon_name, ' ')) FROM canon_items WHERE item_kind = 'drug' AND canon_name IS NOT NULL UNION SELECT lower(trim(alt_name, ' ')) FROM canon_items WHERE item_kind = 'drug' AND alt_name IS NOT NULL"
+_TREATED = f"(regexp_matches(label, {q(f'(?i)({vocab.CHEMO})')}) OR lower(trim(label, ' ')) IN ({_DRUGS}))"
 _BOTH = f"""{_ST}, di AS (SELECT patient, min(label) AS diagnosis FROM ({_class('Condition')}) WHERE regexp_matches(label, {q(_NEO)}) GROUP BY 1),
-tr AS (SELECT patient, array_to_string(list_sort(list(DISTINCT label)), ', ') AS treatments FROM ({_class('MedicationStatement')}) WHERE regexp_matches(label, {q(_TREAT)}) GROUP BY 1)"""
+tr AS (SELECT patient, array_to_string(list_sort(list(DISTINCT label)), ', ') AS treatments FROM ({_class('MedicationStatement')}) WHERE {_TREATED} GROUP BY 1)"""
 _USE = """r2 AS (SELECT predicate, subject, CASE """ + " ".join(f"WHEN contains(subject, {q(w)}) THEN {q(c)}" for w, c in vocab.CLASS_WORDS) + """ ELSE coalesce(subject_type, 'Resource') END AS st FROM r),
 uc AS (SELECT predicate, st, count(*) AS n FROM r2 GROUP BY 1, 2), us AS (SELECT predicate, CAST(sum(n) AS BIGINT) AS n, arg_min(st, (-n, st)) AS domain, 'Value' AS range FROM uc GROUP BY 1)"""
 _HOPS = """ed AS (SELECT subject AS src, object AS dst FROM r WHERE note_id IS NOT NULL), bt AS (SELECT src AS k, src, dst, dst AS nx FROM ed UNION ALL SELECT dst, src, dst, src FROM ed),
 s0 AS (SELECT DISTINCT lower(canon_name) AS k FROM canon_items WHERE item_kind = 'condition' AND ref_id % 100 = 0), h1 AS (SELECT * FROM bt WHERE k IN (SELECT k FROM s0)),
 s1 AS (SELECT DISTINCT nx AS k FROM h1 WHERE length(nx) >= 3 AND nx NOT IN (SELECT k FROM s0))"""
-_NODES = GRAPH["g15_nodes"].rsplit("SELECT node", 1)[0]
 GRAPH |= {
-    "g01_statements": f"WITH {_ST} SELECT * FROM st",
-    "g03_merged": f"WITH {_ST}, ms AS (SELECT * FROM st UNION (VALUES " + ", ".join([f"({q('fhir:' + c)}, 'rdf:type', 'owl:Class', 'uri')" for c, _ in vocab.CLASSES] + [f"({q('fhir:' + c)}, 'rdfs:subClassOf', {q('fhir:' + p)}, 'uri')" for c, p in vocab.CLASSES if p]) + ")) SELECT p, count(*) AS n FROM ms GROUP BY 1",
+    "g01_statements": f"WITH {_STT} SELECT * FROM st",
+    "g03_merged": f"WITH {_STT}, ms AS (SELECT * FROM st UNION (VALUES " + ", ".join([f"({q('fhir:' + c)}, 'rdf:type', 'owl:Class', 'uri')" for c, _ in vocab.CLASSES] + [f"({q('fhir:' + c)}, 'rdfs:subClassOf', {q('fhir:' + p)}, 'uri')" for c, p in vocab.CLASSES if p]) + ")) SELECT p, count(*) AS n FROM ms GROUP BY 1",
     "g07_conditions": f"WITH {_ST} {_class('Condition')}",
     "g07_medications": f"WITH {_ST} {_class('MedicationStatement')}",
     "g07_procedures": f"WITH {_ST} {_class('Procedure')}",
     "g07_linked": f"WITH {_ST} SELECT s AS entity, o AS code, label FROM st JOIN en ON en.entity = s WHERE p = 'kg:ontologyCode'",
-    "g07_high_trust": f"WITH {_ST} SELECT s AS entity, CAST(o AS DOUBLE) AS trust, label FROM st JOIN en ON en.entity = s WHERE p = 'kg:trustScore' AND CAST(o AS DOUBLE) >= 0.8",
+    "g07_high_trust": f"WITH {_STT} SELECT s AS entity, CAST(o AS DOUBLE) AS trust, label FROM st JOIN en ON en.entity = s WHERE p = 'kg:trustScore' AND CAST(o AS DOUBLE) >= 0.8",
     "g07_temporal": f"WITH {_ST} SELECT DISTINCT s AS entity, o AS time FROM st WHERE p = 'kg:temporalAnchor'",
-    "g08_cohorts": f"WITH {_ST} SELECT count(DISTINCT patient) FILTER (WHERE regexp_matches(label, {q(_NEO)})) AS n_neoplasm, count(DISTINCT patient) FILTER (WHERE regexp_matches(label, {q(_TREAT)})) AS n_treated, count(DISTINCT patient) FILTER (WHERE entity IN (SELECT s FROM st WHERE p = 'kg:temporalAnchor')) AS n_dated FROM pl",
+    "g08_cohorts": f"WITH {_ST} SELECT count(DISTINCT patient) FILTER (WHERE regexp_matches(label, {q(_NEO)})) AS n_neoplasm, count(DISTINCT patient) FILTER (WHERE {_TREATED}) AS n_treated, count(DISTINCT patient) FILTER (WHERE entity IN (SELECT s FROM st WHERE p = 'kg:temporalAnchor')) AS n_dated FROM pl",
     "g09_summary": f"WITH {_BOTH} SELECT di.patient, diagnosis, treatments FROM di JOIN tr ON tr.patient = di.patient",
     "g09_treated": f"WITH {_BOTH} SELECT count(*) AS n_treated FROM di JOIN tr ON tr.patient = di.patient",
     "g09_most_used": f"WITH {_ST} SELECT label, count(DISTINCT patient) AS n_patients FROM ({_class('MedicationStatement')}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "g09_comorbid": f"WITH {_ST}, co AS ({_class('Condition')}) SELECT label, count(DISTINCT patient) AS n_patients FROM co WHERE NOT regexp_matches(label, {q(_NEO)}) AND patient IN (SELECT patient FROM co WHERE regexp_matches(label, {q(_NEO)})) GROUP BY 1",
     "g09_dated": f"WITH {_ST} SELECT DISTINCT patient, label, o AS time FROM pl JOIN st ON s = entity WHERE p = 'kg:temporalAnchor' AND length(o) > 3 AND NOT contains(o, 'REDACTED')",
-    "g10_report": f"WITH {_ST} SELECT count(*) AS n_statements, count(DISTINCT s) AS n_subjects, count(DISTINCT p) AS n_predicates, count(DISTINCT s) FILTER (WHERE starts_with(s, 'patient:')) AS n_patients FROM st",
+    "g10_report": f"WITH {_STT} SELECT count(*) AS n_statements, count(DISTINCT s) AS n_subjects, count(DISTINCT p) AS n_predicates, count(DISTINCT s) FILTER (WHERE starts_with(s, 'patient:')) AS n_patients FROM st",
     "g05_usage": f"WITH {_R}, {_USE} SELECT * FROM us",
+    "g05_schema": f"""WITH {_R}, {_USE}, kc(c, p) AS (VALUES {", ".join(f"({q(c)}, {'NULL' if p is None else q(p)})" for c, p in vocab.CLASSES)}),
+ac AS (SELECT c, p FROM kc UNION SELECT st, 'Resource' FROM r2 WHERE st <> '' AND st NOT IN (SELECT c FROM kc) UNION SELECT 'Value', 'Resource'),
+cu AS (SELECT 'kg:' || url_encode({_uri('c')}) AS s, c, 'kg:' || url_encode({_uri('p')}) AS p FROM ac), pu AS (SELECT 'kg:' || url_encode({_uri('predicate')}) AS s, * FROM us WHERE predicate <> '')
+SELECT s, 'rdf:type' AS p, 'owl:Class' AS o, 'uri' AS o_kind FROM cu UNION SELECT s, 'rdfs:label', c, 'string' FROM cu UNION SELECT s, 'rdfs:subClassOf', p, 'uri' FROM cu WHERE p IS NOT NULL
+UNION SELECT s, 'rdf:type', 'owl:ObjectProperty', 'uri' FROM pu UNION SELECT s, 'rdfs:label', predicate, 'string' FROM pu UNION SELECT s, 'rdfs:domain', 'kg:' || url_encode({_uri('domain')}), 'uri' FROM pu WHERE domain <> '' UNION SELECT s, 'rdfs:range', 'kg:' || url_encode({_uri('range')}), 'uri' FROM pu""",
+    "f28_short": f"WITH {_ST} SELECT DISTINCT entity, left(list_last(string_split(list_last(string_split('http://kg/x#' || substr(entity, 4), '/')), '#')), 40) AS short FROM en",
+    "s13_ntriples": f"WITH {_STT} SELECT concat_ws(' ', {_iri('s')}, {_iri('p')}, CASE o_kind WHEN 'uri' THEN {_iri('o')} WHEN 'float' THEN {_LITERAL} || '^^<http://www.w3.org/2001/XMLSchema#float>' ELSE {_LITERAL} END, '.') AS value FROM st",
     "o06_top_properties": f"WITH {_R}, {_USE} SELECT * FROM us ORDER BY n DESC, predicate LIMIT 15",
     "j13_two_hops": f"WITH {_R}, {_HOPS} SELECT DISTINCT src, dst, 1 AS hop FROM h1 UNION ALL SELECT DISTINCT src, dst, 2 FROM bt WHERE k IN (SELECT k FROM s1)",
-    "g16_propagated": f"""{_NODES}, n0 AS (SELECT node, greatest(0.5, max(trust)) AS t FROM vo GROUP BY 1), ee AS (SELECT e AS src, v AS dst, trust AS w FROM en UNION ALL SELECT v, e, trust FROM en),
-m1 AS (SELECT dst, sum(t * w) / sum(w) AS m FROM ee JOIN n0 ON node = src GROUP BY 1), n1 AS (SELECT node, 0.5::DOUBLE * t + 0.5::DOUBLE * coalesce(m, t) AS t FROM n0 LEFT JOIN m1 ON dst = node),
-m2 AS (SELECT dst, sum(t * w) / sum(w) AS m FROM ee JOIN n1 ON node = src GROUP BY 1) SELECT node, round(0.5::DOUBLE * t + 0.5::DOUBLE * coalesce(m, t), 6) AS trust FROM n1 LEFT JOIN m2 ON dst = node""",
 }
 _COS = "SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / greatest(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 1e-12), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0"
 TEXT |= {

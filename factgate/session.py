@@ -23,12 +23,14 @@ def make_session(app: str = "factgate", master: str = "local[*]", **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: what the cluster names in spark.checkpoint.dir, else (tests) a temporary one."""
+    """The shared folder for checkpoints that spark.checkpoint.dir names; on a local master without one, a temporary folder."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
         return known
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="factgate-ckpt-"))
     return sc.getCheckpointDir()
 

@@ -107,11 +107,30 @@ def test_global_rank_is_a_rank(spark):
 
 def test_growth(spark):
     d = spark.createDataFrame([(1, 10, "a"), (1, 10, "b"), (1, 11, "b"), (1, 11, "c"), (1, 11, "d")], "subject_id bigint, hadm_id bigint, icd9_code string")
-    a = spark.createDataFrame([(1, 1, 10, "2020-01-01"), (2, 1, 11, "2020-02-01"), (3, 1, 11, "2020-03-01")], "row_id bigint, subject_id bigint, hadm_id bigint, t string").withColumn("dischtime", F.to_timestamp("t"))
-    g = ehr.code_growth(d, a)
+    a = spark.createDataFrame([(1, 1, 10, "01/02/2020 10:00"), (2, 1, 11, "2020-01-09 08:00"), (3, 1, 11, "2019-03-01 08:00")], "row_id bigint, subject_id bigint, hadm_id bigint, admittime string")
+    a = a.withColumn("site_id", F.lit(1)).withColumn("loaded_at", F.lit("2020-02-01").cast("timestamp"))
+    adm = ehr.admissions_once(a, spark.createDataFrame([(1, "UTC", "mdy")], "site_id int, tz string, date_order string"))
+    assert sorted((r.hadm_id, r["at"]) for r in adm.collect()) == [(10, "2020-01-02T10:00:00.000000Z"), (11, "2020-01-09T08:00:00.000000Z")]
+    g = ehr.code_growth(d, adm)
     assert sorted((r.nth, r.n_codes) for r in g.collect()) == [(1, 2), (2, 4)] and ehr.growth(g, 2).first().growth == 1.0
 
 
+def test_neoplasm_codes(spark):
+    rows = spark.createDataFrame([("C50.9", 10), ("c18", 10), ("1629", 9), ("V10", 9), ("2090", 9), ("174", 10), (None, 9)], "code string, version int")
+    got = rows.select(ehr.neoplasm_codes(F.col("code"), F.col("version")).alias("all"), ehr.neoplasm_codes(F.col("code"), F.col("version"), (162,), ("C50",)).alias("some")).collect()
+    assert [r.all for r in got] == [True, True, True, False, False, False, False] and [r.some for r in got] == [True, False, True, False, False, False, False]
+
+
+def test_lines_of_statements_parse(spark):
+    st = spark.createDataFrame([("kg:a b", "kg:said", 'x "y"\n\\z', "string"), ("kg:a", "rdf:type", "fhir:Condition", "uri"), ("kg:a", "kg:n", "1.5", "float")], "s string, p string, o string, o_kind string")
+    got = sorted(r.value for r in rdf.ntriples(st).collect())
+    assert got == sorted([
+        '<urn:kg:a%20b> <urn:kg:said> "x \\"y\\"\\n\\\\z" .',
+        "<urn:kg:a> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://hl7.org/fhir/Condition> .",
+        '<urn:kg:a> <urn:kg:n> "1.5"^^<http://www.w3.org/2001/XMLSchema#float> .',
+    ])
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("aaa", "bbb"), ("bbb", "ccc")], "src string, dst string")
     s = spark.createDataFrame([("AAA",)], "key string")
