@@ -8,16 +8,18 @@ bytes; its counter and least id come from the histogram pass itself and its rows
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one bucket; a bucket is one trie in one task's memory.
+from factgate.session import cut_lineage
+from factgate.tables import broadcast_if_small
+
+#: Rows of one bucket; a bucket is one trie in one task's memory, whatever the size of the input.
 BUCKET_ROWS = 200_000
-#: At most so many oversized prefixes are kept a level, whatever the size of the input (BUCKET_ROWS grows to keep it).
-MAX_PREFIXES = 20_000
+#: A level's oversized prefixes are broadcast up to so many, beyond it rows meet them by a shuffle.
+MAX_SMALL = 500_000
 #: Prefix lengths in bytes by level; the last is the whole key.
 DEPTHS = (2, 4, 8, 16, 32, 64, 1 << 30)
 #: Keys of one trie container before it bursts into containers by the next byte.
@@ -77,38 +79,26 @@ class BurstTrie:
                 yield from node.values()
 
 
-def radix_plan(rows: DataFrame, total: int) -> tuple[list[tuple[int, list[bytes]]], dict[bytes, tuple[int, int]]]:
-    """Oversized prefixes of each level, and whole keys that alone are oversized with (count, least id).
+def place(rows: DataFrame) -> DataFrame:
+    """rows (rid, key) with bucket, least, n: the shortest prefix of the key that is not oversized, or, where the whole key alone is
+    oversized, no bucket but its count and least id.
 
-    rows: rid, key. A level counts only rows under the oversized prefixes of the level before; of its histogram only the
-    oversized entries, at most total / bucket of them, reach the driver.
+    A level counts only rows under the oversized prefixes of the level before; these stay a table, so the driver holds none of them.
     """
-    bucket = max(BUCKET_ROWS, total // MAX_PREFIXES)
-    levels: list[tuple[int, list[bytes]]] = []
-    hot: dict[bytes, tuple[int, int]] = {}
-    left = rows
-    for depth in DEPTHS:
+    out = rows.withColumns({"bucket": F.lit(None).cast("binary"), "least": F.lit(None).cast("bigint"), "n": F.lit(None).cast("bigint"), "__open": F.lit(True)})
+    for level, depth in enumerate(DEPTHS):
         head = F.substring("key", 1, depth) if depth < 1 << 30 else F.col("key")
-        counts = left.groupBy(head.alias("head")).agg(F.count("*").alias("n"), F.min("rid").alias("least"), F.max(F.length("key")).alias("longest"))
-        over = counts.filter(F.col("n") > bucket).collect()
-        whole = {bytes(r.head): (r.n, r.least) for r in over if r.longest <= depth}
-        hot |= whole
-        split = sorted(bytes(r.head) for r in over if bytes(r.head) not in whole)
-        if not split:
-            break
-        levels.append((depth, split))
-        left = left.filter(F.substring("key", 1, depth).isin([F.lit(x) for x in split]))
-    return levels, hot
-
-
-def _bucket(levels: list[tuple[int, list[bytes]]]) -> Column:
-    """The shortest prefix of a row's key that no level found oversized."""
-    out = F.substring("key", 1, DEPTHS[len(levels)]) if DEPTHS[len(levels)] < 1 << 30 else F.col("key")
-    for i in reversed(range(len(levels))):
-        depth, split = levels[i]
-        head = F.substring("key", 1, depth)
-        out = F.when(~head.isin([F.lit(x) for x in split]), head).otherwise(out)
-    return out
+        counts = out.filter("__open").groupBy(head.alias("__head")).agg(F.count("*").alias("__n"), F.min("rid").alias("__least"), (F.max(F.length("key")) <= depth).alias("__whole"))
+        over = cut_lineage(counts.filter(F.col("__n") > BUCKET_ROWS))
+        if over.isEmpty():
+            return out.withColumn("bucket", F.when(F.col("__open"), head).otherwise(F.col("bucket"))).drop("__open")
+        out = out.withColumn("__at", F.when(F.col("__open"), head)).join(broadcast_if_small(over, MAX_SMALL), F.col("__at") == F.col("__head"), "left")
+        fits, whole = F.col("__open") & F.col("__head").isNull(), F.col("__open") & F.coalesce("__whole", F.lit(False))
+        out = out.select(
+            "rid", "key", F.when(fits, F.col("__at")).otherwise(F.col("bucket")).alias("bucket"), F.when(whole, F.col("__least")).otherwise(F.col("least")).alias("least"),
+            F.when(whole, F.col("__n")).otherwise(F.col("n")).alias("n"), (F.col("__open") & F.col("__head").isNotNull() & ~F.coalesce("__whole", F.lit(False))).alias("__open"),
+        )
+    return out.drop("__open")  # the last level is the whole key: nothing is open below it
 
 
 def _count_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,16 +131,8 @@ def label_copies(records: DataFrame, rid: str, fields: list[str], scope: str) ->
     Two records of one scope are copies if their fields hold the same bare texts in whatever order; a null scope is one
     scope, a null field is empty. Records whose fields are all empty are copies of one another. Ids are unique bigints.
     """
-    rows = records.select(F.col(rid).cast("bigint").alias("rid"), canonical_bytes(fields, scope).alias("key"))
-    levels, hot = radix_plan(rows, records.count())
-    cold = rows
-    out = []
-    if hot:
-        least = F.create_map(*[x for k, (_, a) in hot.items() for x in (F.lit(k), F.lit(a).cast("bigint"))])
-        count = F.create_map(*[x for k, (n, _) in hot.items() for x in (F.lit(k), F.lit(n).cast("bigint"))])
-        is_hot = F.col("key").isin([F.lit(k) for k in hot])
-        cold = rows.filter(~is_hot)
-        out.append(rows.filter(is_hot).select("rid", F.element_at(least, F.col("key")).alias("least"), F.element_at(count, F.col("key")).alias("n")))
-    placed = cold.withColumn("bucket", _bucket(levels)).repartition("bucket").sortWithinPartitions("bucket")
-    out.append(placed.mapInArrow(_count_bucket, "rid bigint, least bigint, n bigint"))
-    return reduce(DataFrame.unionAll, out)
+    rows = cut_lineage(records.select(F.col(rid).cast("bigint").alias("rid"), canonical_bytes(fields, scope).alias("key")))
+    placed = place(rows)
+    hot = placed.filter("n is not null").select("rid", "least", "n")
+    cold = placed.filter("n is null").select("rid", "key", "bucket").repartition("bucket").sortWithinPartitions("bucket")
+    return cold.mapInArrow(_count_bucket, "rid bigint, least bigint, n bigint").unionAll(hot)

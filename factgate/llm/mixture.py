@@ -9,8 +9,9 @@ from factgate.session import cut_lineage
 from factgate.tables import small_rows
 
 MAX_SOURCES = 100_000
-#: Hash bins by which a source's fractional pass finds its cut; only the cut's bin is ordered row by row.
+#: Hash bins by which a source's fractional pass finds its cut, and documents a bin; only the cut's bin is ordered row by row.
 BINS = 4096
+BIN_DOCS = 20_000
 
 
 def water_fill(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float) -> dict[str, float]:
@@ -37,8 +38,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     docs: doc_id, source, n_tokens. targets: source, target_share, max_repeats (repeated sources add up, with their smallest
     cap). total_tokens: size of the mixture; default: all tokens of the sources named, once. Shares are normalised over the
     sources named. mixture: doc_id, source, epoch (from 0), n_tokens; a document appears once an epoch and at most
-    max_repeats times. A fractional epoch takes documents in the order of a seeded hash until its tokens are reached, so a
-    source misses its amount by less than one document. Documents of unnamed or null sources and with no tokens are not in
+    max_repeats times. A fractional epoch takes documents in the order of a seeded hash up to the side nearer to its tokens, so a
+    source misses its amount by half a document at most. Documents of unnamed or null sources and with no tokens are not in
     it. report, one row per source named: target_share (normalised), docs, size, tokens given, epochs, actual_share.
     """
     named = {}
@@ -56,7 +57,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     epochs = {s: give[s] / sizes[s] if sizes.get(s) else 0.0 for s in named}
     quota = spark.createDataFrame([(s, int(e + 1e-9), round((e - int(e + 1e-9)) * sizes.get(s, 0)) if e - int(e + 1e-9) > 1e-9 else 0) for s, e in epochs.items()], "source string, full int, part bigint")
     # the bin in which a source's fractional pass ends, from token sums by (source, bin)
-    binned = rows.withColumn("bin", F.pmod("h", F.lit(BINS)))
+    bins = max(BINS, max((r["docs"] for r in stats.values()), default=0) // BIN_DOCS)
+    binned = rows.withColumn("bin", F.pmod("h", F.lit(bins)))
     sums = binned.groupBy("source", "bin").agg(F.sum("n_tokens").alias("t"))
     run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(run), F.lit(0))).join(F.broadcast(quota), "source")
@@ -64,9 +66,10 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     plan = quota.join(cuts.select("source", "cut", "before"), "source", "left")  # one row per source
     placed = binned.join(F.broadcast(plan), "source")
     in_cut = placed.filter("bin = cut")
-    # a seeded order within the cut's bin; a document is taken while the tokens before it are short of the amount
+    # a seeded order within the cut's bin; a document is taken while that brings the source nearer to its amount
     order = Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    in_cut = in_cut.withColumn("extra", (F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)) < F.col("part")).cast("int"))
+    ahead = F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))
+    in_cut = in_cut.withColumn("extra", (2 * ahead + F.col("n_tokens") <= 2 * F.col("part")).cast("int"))
     outside = placed.filter("cut is null or bin <> cut").withColumn("extra", F.coalesce((F.col("bin") < F.col("cut")).cast("int"), F.lit(0)))
     every = outside.unionByName(in_cut).withColumn("copies", F.col("full") + F.col("extra")).filter("copies > 0")
     mixture = every.select("doc_id", "source", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"), "n_tokens")

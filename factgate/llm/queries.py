@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgate.functions.text import trim_blanks
@@ -32,6 +32,20 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf)
 
 
+def p2_tiling(spark: SparkSession, sf: str) -> DataFrame:
+    """What every set of pieces must show: the texts cut, their characters (overlaps counted once), and how many pieces break a rule."""
+    limits = table(spark, sf, "chunk_limits")
+    p = _pieces(spark, sf).select("item_table", "item_key", "piece_no", "start_char", "end_char", F.length("piece").alias("size"))
+    before = Window.partitionBy("item_table", "item_key").orderBy("piece_no")  # one text's pieces
+    p = p.withColumn("last", F.lag("end_char").over(before)).join(F.broadcast(limits), "item_table")  # a row a table
+    first = F.col("last").isNull()
+    gap = F.when(first, F.col("start_char") != 0).otherwise(F.col("last") - F.col("start_char") != F.least("overlap_chars", "last"))
+    return p.groupBy("item_table").agg(
+        F.countDistinct("item_key").alias("n_texts"), F.sum(F.col("end_char") - F.coalesce("last", F.lit(0))).alias("n_chars"), F.count_if(F.col("size") > F.col("max_chars")).alias("n_too_long"),
+        F.count_if(F.col("size") != F.col("end_char") - F.col("start_char")).alias("n_altered"), F.count_if(gap).alias("n_bad_overlap"),
+    )
+
+
 def _mapped(spark: SparkSession, sf: str) -> DataFrame:
     canon = table(spark, sf, "canon_items")
     p = table(spark, sf, "prescriptions").select(F.lit("prescriptions").alias("item_table"), "row_id", F.col("drug").alias("value"))
@@ -75,6 +89,18 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return split_report(_assigned(spark, sf), table(spark, sf, "split_targets"))
 
 
+def p4_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What every split must show: all notes once, no group in two splits, every share within a hundredth of its target or a note of it."""
+    a = _assigned(spark, sf).select("note_id", "group", "split")
+    torn = a.groupBy("group").agg(F.countDistinct("split").alias("k")).agg(F.count_if(F.col("k") > 1)).scalar()
+    n = a.agg(F.count("*")).scalar()
+    largest = a.groupBy("group").agg(F.count("*").alias("k")).agg(F.max("k")).scalar()
+    t = table(spark, sf, "split_targets").select("split_name", "target_share")
+    got = t.join(a.groupBy("split").agg(F.count("*").alias("k")), F.col("split_name") == F.col("split"), "left")
+    off = F.abs(F.coalesce("k", F.lit(0)) / n - F.col("target_share"))
+    return got.select("split_name", n.alias("n_notes"), torn.alias("n_torn_groups"), (off <= F.greatest(F.lit(0.01), largest / n)).alias("near_target"))
+
+
 def _copies(spark: SparkSession, sf: str) -> DataFrame:
     return label_copies(table(spark, sf, "triples").select("triple_id", "note_id", "entity", "attribute", "value"), "triple_id", ["entity", "attribute", "value"], "note_id")
 
@@ -95,6 +121,18 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return pack_report(p8_packed(spark, sf))
 
 
+def p8_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """What every packing must show: all documents, none cut that fits, all tokens in order once, no container over its capacity."""
+    sizes = count_tokens(table(spark, sf, "documents").select("doc_id", "text"))
+    packed = pack(sizes, table(spark, sf, "pack_limits"))
+    over = packed.filter("container_id is not null").groupBy("pack_name", "capacity", "container_id").agg(F.sum("n_tokens").alias("used")).groupBy("pack_name").agg(F.count_if(F.col("used") > F.col("capacity")).alias("n_over"))
+    last = Window.partitionBy("pack_name", "doc_id").orderBy("piece_no")  # one document's pieces
+    p = packed.withColumn("gap", F.col("start_token") != F.coalesce(F.lag(F.col("start_token") + F.col("n_tokens")).over(last), F.lit(0)))
+    docs = p.groupBy("pack_name", "capacity", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("k"), F.bool_or("gap").alias("gap")).join(sizes.select("doc_id", F.col("n_tokens").alias("want")), "doc_id")
+    broken = (F.col("got") != F.col("want")) | F.col("gap") | ((F.col("want") <= F.col("capacity")) & (F.col("k") > 1))
+    return docs.groupBy("pack_name", "capacity").agg(F.count("*").alias("n_docs"), F.count_if(broken).alias("n_broken")).join(over, "pack_name")
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return mix(count_tokens(table(spark, sf, "documents").select("doc_id", "source", "text")), table(spark, sf, "mix_targets"))
 
@@ -107,6 +145,14 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def p9_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """What every mixture must show of each source named: its documents, no repetition beyond the cap, epochs without holes."""
+    mixed, report = _mix(spark, sf)
+    docs = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("k"), F.max("epoch").alias("last"), F.countDistinct("epoch").alias("epochs"))
+    got = docs.groupBy("source").agg(F.max("k").alias("most"), F.count_if((F.col("last") + 1 != F.col("k")) | (F.col("epochs") != F.col("k"))).alias("holes"))
+    return report.select("source", "docs", "max_repeats").join(got, "source", "left").select("source", F.col("docs").alias("n_docs"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), F.coalesce("holes", F.lit(0)).alias("n_holes"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return repetition_share(table(spark, sf, "documents")).filter(F.col("share") >= LEAST_SHARE).select("doc_id")
 
@@ -119,7 +165,7 @@ def p10_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return perplexity_bands(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_report, p3_unmatched, p4_found, p4_splits, p4_report, p7_found, p7_records, p8_packed, p8_report, p9_mixture, p9_report, p10_found, p10_shares, p10_perplexity)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_tiling, p3_found, p3_report, p3_unmatched, p4_found, p4_splits, p4_report, p4_kept, p7_found, p7_records, p8_packed, p8_report, p8_filled, p9_mixture, p9_report, p9_capped, p10_found, p10_shares, p10_perplexity)}
 
 _BARE = r"coalesce(lower(regexp_replace(regexp_replace(regexp_replace({0}, '(\pN)\.(\pN)', '\1' || chr(1) || '\2', 'g'), '(\pN)\.(\pN)', '\1' || chr(1) || '\2', 'g'), '[^\pL\p{{Nd}}' || chr(1) || ']', '', 'g')), '')"
 _P7 = f"""
@@ -189,6 +235,10 @@ ORACLE = {
     + f"{_longest(r'\n' + r'[\t\r\f\x0B\x1C-\x1F\x{85}\pZ]*' + r'\n')} AS a, {_longest(r'\n')} AS b, "
     + f"list_max(list_transform(string_split_regex(regexp_replace(text, '([.!?]){_SPACE}+', '\\1' || chr(10), 'g'), '\\n'), lambda x: length(regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')))) AS c, {_longest(_SPACE + '+')} AS d FROM long_) "
     + "SELECT item_table, item_key, CASE WHEN a <= max_chars THEN 'blank_line' WHEN b <= max_chars THEN 'line' WHEN c <= max_chars THEN 'sentence' WHEN d <= max_chars THEN 'space' ELSE 'none' END AS boundary FROM longest",
+    "p2_tiling": _STRETCH.split("longest AS (")[0].rstrip().rstrip(",") + " SELECT item_table, count(DISTINCT item_key) AS n_texts, CAST(sum(length(text)) AS BIGINT) AS n_chars, 0 AS n_too_long, 0 AS n_altered, 0 AS n_bad_overlap FROM long_ GROUP BY 1",
+    "p4_kept": "SELECT split_name, (SELECT count(DISTINCT note_id) FROM notes_all) AS n_notes, 0 AS n_torn_groups, true AS near_target FROM split_targets",
+    "p8_filled": "SELECT pack_name, capacity_tokens AS capacity, (SELECT count(*) FROM documents) AS n_docs, 0 AS n_broken, 0 AS n_over FROM pack_limits",
+    "p9_capped": "SELECT source, (SELECT count(*) FROM documents d WHERE d.source = t.source AND length(text) > 0) AS n_docs, true AS within_cap, 0 AS n_holes FROM mix_targets t",
     "p3_found": _P3 + "SELECT item_table, row_id, ref_id FROM mapped WHERE v NOT IN (SELECT canon_name FROM canon_items WHERE canon_name IS NOT NULL)",
     "p3_report": _P3 + "SELECT item_table, count(*) AS n_rows, count(*) FILTER (WHERE ref_id = 0) AS n_unmatched, count(DISTINCT v) FILTER (WHERE ref_id = 0) AS n_unmatched_values FROM mapped GROUP BY 1",
     "p3_unmatched": _P3 + "SELECT item_table, v AS value, count(*) AS n_rows FROM mapped WHERE ref_id = 0 GROUP BY ALL",

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 #: Folder of the vocabulary files, overridable by FACTGATE_TOKENIZERS.
 FOLDER = os.environ.get("FACTGATE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
+# Fixed value: how the byte-level vocabularies split a text before their merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=2)
@@ -26,13 +28,7 @@ def encoder(folder: str, vocabulary: str):
     if not at.exists() and (spec := importlib.util.find_spec("public_tokenizers")):  # an executor without the folder
         at = Path(spec.origin).parent
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(at / vocabulary, "rb") if line.strip())}
-    from importlib import import_module
-
-    try:
-        pattern = import_module("public_tokenizers").PATTERN
-    except ImportError:
-        pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(docs: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -53,6 +53,20 @@ def test_heading_stays_with_its_paragraph():
     assert any(text[a:b].lstrip().startswith("FINDINGS:\nshort") for a, b, _ in got)
 
 
+def test_only_siblings_are_merged():
+    text = "# A\n\n" + " ".join(f"Sentence {i} of the first part." for i in range(9)) + "\n\n# B\n\nShort end."
+    got = [text[a:b] for a, b, _ in chunking.pieces(text, 200, 0)]
+    assert got[-1].startswith("# B") and "".join(got) == text and len(got) == 3
+
+
+def test_heading_depth_and_nested_lists_are_kept_together():
+    text = "# One\n\nbody one\n\n## Sub\n\nbody two\n\n# Two\n\n" + "- item a\n  - a1\n  - a2\n- item b\n  - b1\n  - b2\n" * 2
+    got = [text[a:b] for a, b, _ in chunking.pieces(text, 60, 0)]
+    assert got[0].startswith("# One") and "## Sub" in got[0] and got[1].startswith("# Two")
+    assert all(p.startswith(("# ", "- item")) for p in got) and "".join(got) == text
+    assert [chunking.heading_depth(x) for x in ("## Plan", "1.2 Findings", "FINDINGS", "Plan:", "a sentence.", "")] == [2, 7, 30, 30, 0, 0]
+
+
 def test_split_texts_edge_cases(spark):
     rows = [("t", "1", None), ("t", "2", ""), ("t", "3", "x" * 100), ("t", "4", "ok"), ("u", "5", "y" * 99), ("t", "3", "x" * 100)]
     items = spark.createDataFrame([(*r, 7) for r in rows], "item_table string, item_key string, text string, piece int")
@@ -218,7 +232,7 @@ def test_splitting_and_a_hot_key_change_nothing(spark, monkeypatch):
         brute.setdefault(r[2], []).append(r[0])
     assert want == {i: (min(g), len(g)) for g in brute.values() for i in g}
     monkeypatch.setattr(duplicates, "BUCKET_ROWS", 40)
-    monkeypatch.setattr(duplicates, "MAX_PREFIXES", 10**9)
+    monkeypatch.setattr(duplicates, "MAX_SMALL", 3)
     monkeypatch.setattr(duplicates, "BURST", 4)
     assert label(spark, rows) == want
 
@@ -302,7 +316,7 @@ def test_mixture_shares_and_caps(spark):
     got = {s: sum(r.n_tokens for r in rows if r.source == s) for s in size}
     want = mixture.water_fill(size, {"big": (0.3, 1), "mid": (0.3, 2), "tiny": (0.2, 3), "none": (0.2, 4)}, sum(size.values()))
     for s in size:
-        assert abs(got[s] - want[s]) <= 61 and rep[s].tokens == got[s]
+        assert abs(got[s] - want[s]) <= 31 and rep[s].tokens == got[s]
     copies = {}
     for r in rows:
         copies.setdefault((r.doc_id, r.source), []).append(r.epoch)
