@@ -11,7 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factgate.tables import broadcast_if_small
+from factgate.session import cut_lineage
+from factgate.tables import is_small
 
 #: The filter never exceeds 2^28 bits (32 MB): beyond 16 bits a key it grows less selective, never wrong.
 MAX_BITS = 1 << 28
@@ -74,22 +75,28 @@ def orphan_references(child: DataFrame, parent: DataFrame) -> DataFrame:
     a null loaded_at sees no parent. status: 'missing' (the key has no row at all), 'deleted' (some row was loaded by then),
     'late' (rows came only later). Result: row_id, status, loaded_at; each child row at most once.
     """
-    child = child.filter("key is not null")
+    child = child.filter("key is not null").select("row_id", "key", "loaded_at")
     parent = parent.filter("key is not null")
-    keys = parent.groupBy("key").agg(F.min("loaded_at").alias("first"))
+    keys = cut_lineage(parent.groupBy("key").agg(F.min("loaded_at").alias("first")))
     n = keys.count()
     words, n_words = bloom_words(keys.select("key"), n)
-    child = child.withColumn("maybe", maybe_in(_scalar(words), F.col("key"), n_words))
-    proven = child.filter(~F.col("maybe")).select("row_id", F.lit("missing").alias("status"), "loaded_at")
-    rest = child.filter("maybe").select("row_id", "key", "loaded_at")
-    islands = broadcast_if_small(validity(parent).withColumnRenamed("key", "k"), MAX_BROADCAST_ROWS)
+    # one row of at most 32 MB, written once: every mention of the filter reads that row
+    child = child.withColumn("maybe", maybe_in(_scalar(cut_lineage(words)), F.col("key"), n_words))
+    islands = validity(parent).withColumnRenamed("key", "k").withColumn("held", F.lit(True))
+    small = n <= MAX_BROADCAST_ROWS and is_small(islands, MAX_BROADCAST_ROWS)
     held = (F.col("key") == F.col("k")) & (F.col("loaded_at") >= F.col("start")) & (F.col("loaded_at") < F.col("stop"))
-    unheld = rest.join(islands, held, "left_anti")
-    firsts = keys.withColumnRenamed("key", "k").withColumn("known", F.lit(True))
-    firsts = F.broadcast(firsts) if n <= MAX_BROADCAST_ROWS else firsts
-    judged = unheld.join(firsts, F.col("key") == F.col("k"), "left")
+    firsts = keys.select(F.col("key").alias("k"), "first", F.lit(True).alias("known"))
+    firsts = F.broadcast(firsts) if small else firsts
     status = F.when(F.col("known").isNull(), "missing").when(F.col("first") <= F.col("loaded_at"), "deleted").otherwise("late")
-    return proven.unionByName(judged.select("row_id", status.alias("status"), "loaded_at"))
+
+    def judged(rows: DataFrame) -> DataFrame:
+        return rows.join(firsts, F.col("key") == F.col("k"), "left").select("row_id", status.alias("status"), "loaded_at")
+
+    if small:
+        # one pass: a proven orphan never probes the intervals and has no first arrival
+        return judged(child.join(F.broadcast(islands), F.col("maybe") & held, "left").filter("held is null").select("row_id", "key", "loaded_at"))
+    proven = child.filter(~F.col("maybe")).select("row_id", F.lit("missing").alias("status"), "loaded_at")
+    return proven.unionByName(judged(child.filter("maybe").drop("maybe").join(islands, held, "left_anti")))
 
 
 def _scalar(one_row: DataFrame) -> Column:

@@ -24,6 +24,15 @@ def test_statuses(spark):
     assert orphan_report(run(spark, child, PARENT).withColumn("child_table", F.lit("c")).withColumn("ref_field", F.lit("key"))).agg(F.sum("n_rows")).first()[0] == 8
 
 
+def test_shuffled_joins_say_the_same(spark, monkeypatch):
+    from factgate.operators import orphans
+
+    child = [(i, i % 11, 1 + i % 28) for i in range(200)]
+    want = sorted((r.row_id, r.status) for r in run(spark, child, PARENT).collect())
+    monkeypatch.setattr(orphans, "MAX_BROADCAST_ROWS", 0)
+    assert sorted((r.row_id, r.status) for r in run(spark, child, PARENT).collect()) == want
+
+
 def test_empty_sides(spark):
     assert run(spark, [], PARENT).count() == 0
     assert [(r.row_id, r.status) for r in run(spark, [(1, 1, 1)], []).collect()] == [(1, "missing")]
