@@ -16,10 +16,6 @@ def lookup(table: dict[str, object], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]), key)
 
 
-def by_word(groups: dict[str, str]) -> dict[str, str]:
-    return {w: t for t, words in groups.items() for w in words.split()}
-
-
 def tidy(c: Column) -> Column:
     """Lower case, blanks squeezed, null as empty."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
@@ -35,13 +31,13 @@ def scrub_phi(c: Column) -> Column:
 
 def is_vacuous(c: Column) -> Column:
     t = tidy(c)
-    return t.isin(vocab.VACUOUS) | (F.length(t) <= 2) | t.rlike("^[0-9]+$")
+    return t.isin(*vocab.VACUOUS) | (F.length(t) <= 2) | t.rlike("^[0-9]+$")
 
 
 def type_a(raw: Column, attribute: Column) -> Column:
     """Resource type for cleaning: exact, by word, by a part of the attribute, else Observation."""
     a = tidy(attribute)
-    out = F.when(raw.isin(*vocab.ALL_TYPES), raw).when(lookup(by_word(vocab.TYPE_WORDS_A), tidy(raw)).isNotNull(), lookup(by_word(vocab.TYPE_WORDS_A), tidy(raw)))
+    out = F.when(raw.isin(*vocab.ALL_TYPES), raw).when(lookup(vocab.TYPE_WORDS_A, tidy(raw)).isNotNull(), lookup(vocab.TYPE_WORDS_A, tidy(raw)))
     for t, parts in vocab.TYPE_BY_ATTRIBUTE:
         out = out.when(a.rlike(parts), t)
     return out.otherwise("Observation")
@@ -49,7 +45,7 @@ def type_a(raw: Column, attribute: Column) -> Column:
 
 def type_b(raw: Column) -> Column:
     """Resource type for extraction: exact, by word, then the first line of the table that contains the word or is contained in it."""
-    lines = [(w, t) for t, ws in vocab.TYPE_LINES_B for w in ws.split()]
+    lines = vocab.TYPE_LINES_B
     key = F.regexp_replace(F.lower(F.trim(raw)), r"[\s_-]", "")
     pairs = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t")) for w, t in lines])
     partial = F.try_element_at(F.filter(pairs, lambda p: F.contains(key, p["w"]) | F.contains(p["w"], key)), F.lit(1))["t"]
@@ -63,7 +59,7 @@ def type_c(raw: Column) -> Column:
     """Resource type for materialisation: by word, a core type in any case, else as it stands."""
     key = F.lower(F.trim(raw))
     core = {t.lower(): t for t in vocab.CORE_TYPES}
-    return F.coalesce(lookup(by_word(vocab.TYPE_WORDS_C), key), lookup(core, key), raw, F.lit(""))
+    return F.coalesce(lookup(vocab.TYPE_WORDS_C, key), lookup(core, key), raw, F.lit(""))
 
 
 def safe_uri(c: Column) -> Column:
@@ -96,11 +92,11 @@ def category(text: Column, section: Column) -> Column:
     """TREATMENT, TEST, PROBLEM or OTHER by words, endings and section, in that order."""
     t = F.trim(F.lower(text))
 
-    def any_of(words: str) -> Column:
-        return t.rlike("|".join(re.escape(w) for w in words.split("|")))
+    def any_of(words: tuple[str, ...]) -> Column:
+        return t.rlike("|".join(re.escape(w) for w in words))
 
     return (
-        F.when(any_of(vocab.TREATMENT_WORDS) | (section == "MEDICATIONS") | (t.rlike(f"(?:{vocab.DRUG_ENDINGS})$") & (F.length(t) > 4)), "TREATMENT")
+        F.when(any_of(vocab.TREATMENT_WORDS) | (section == "MEDICATIONS") | (t.rlike(f"(?:{'|'.join(vocab.DRUG_ENDINGS)})$") & (F.length(t) > 4)), "TREATMENT")
         .when(any_of(vocab.TEST_WORDS) | section.isin("LABS", "IMAGING", "PATHOLOGY"), "TEST")
         .when(any_of(vocab.PROBLEM_WORDS) | section.isin("HPI", "ASSESSMENT", "PMH"), "PROBLEM").otherwise("OTHER")
     )
@@ -112,6 +108,11 @@ def negated(value: Column) -> Column:
     return F.coalesce(*cases)
 
 
+def first_given(*columns: str) -> Column:
+    """The first of several fields that is neither null nor blank, null if none is."""
+    return F.coalesce(*[F.when(F.trim(F.col(c)) != "", F.col(c)) for c in columns])
+
+
 def positive_mentions(text: Column, concept: str) -> tuple[Column, Column]:
     """(all, positive) occurrences of a concept: positive ones have no cue in the 55 characters before them."""
     low = F.lower(text)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgate import vocab
-from factgate.functions.clinical import miss_bucket, tidy
+from factgate.functions.clinical import lookup, miss_bucket, negated, tidy
 from factgate.functions.match import concept_form, form_tokens, grounded, same_concept, scored, shaped
 from factgate.functions.text import normalize, tokens
 from factgate.tables import broadcast_if_small
@@ -233,6 +233,27 @@ def said_in_notes(claims: DataFrame, notes: DataFrame) -> DataFrame:
     return x.select("hadm_id", "text", (F.contains("note", "text") | F.exists(words, lambda w: F.contains(F.col("note"), w))).alias("seen"))
 
 
+def perturbed(claims: DataFrame, n: int = 3) -> DataFrame:
+    """Up to n false variants of each claim, numbered nth: its value negated, its first number scaled, its type swapped, in this order.
+
+    The factor, 2 to 10, is derived from claim_id, so runs agree. Adds nth and how; value and kind are those of the variant.
+    """
+    v = F.coalesce("value", F.lit(""))
+    num = F.regexp_extract(v, r"\d+\.?\d*", 0)
+    scaled = F.round(F.regexp_replace(num, r"\.$", "").cast("double") * (2 + F.pmod(F.col("claim_id"), F.lit(9))), 1)
+    at = F.position(num, v)
+    rest = F.concat(F.substring(v, F.lit(1), at - 1), scaled.cast("string"), F.substring(v, at + F.length(num), F.length(v)))
+    swap = lookup(vocab.TYPE_SWAPS, F.coalesce("kind", F.lit("")))
+
+    def one(how: str, value: Column, kind: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(how).alias("how"), value.alias("value"), kind.alias("kind")))
+
+    turned = negated(v)
+    variants = F.array_compact(F.array(one("negated", turned, F.col("kind"), turned.isNotNull()), one("scaled", rest, F.col("kind"), num != ""), one("swapped", v, swap, swap.isNotNull())))
+    keep = [c for c in claims.columns if c not in ("value", "kind")]
+    return claims.select(*keep, F.posexplode(F.slice(variants, 1, n)).alias("nth", "x")).select(*keep, (F.col("nth") + 1).alias("nth"), "x.*")
+
+
 def in_note(claims: DataFrame, notes: DataFrame, least: int) -> DataFrame:
     """Adds verbatim: whether evidence (else value), blanks squeezed and in lower case, of at least `least` characters lies in the note; null if shorter."""
     n = notes.select(F.col("note_id").alias("n_note"), tidy(F.col("text")).alias("note"))

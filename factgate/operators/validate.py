@@ -44,7 +44,7 @@ def schema_scores(claims: DataFrame) -> DataFrame:
     Pairs are scored once, against the fixed list as rows, however many claims hold them.
     """
     spark = claims.sparkSession
-    listed = spark.createDataFrame([(t, n) for t, names in vocab.VALID_ATTRIBUTES.items() for n in names.split("|")], "listed_kind string, name string")
+    listed = spark.createDataFrame([(t, n) for t, names in vocab.VALID_ATTRIBUTES.items() for n in names], "listed_kind string, name string")
     pairs = claims.select("kind", "attribute").distinct().withColumn("a", normalize(F.coalesce("attribute", F.lit(""))))
     listed = shaped(listed.withColumn("b", normalize(F.col("name"))), "b")
     x = scored(shaped(pairs, "a").join(F.broadcast(listed), F.col("kind") == F.col("listed_kind"), "left"), "a", "b", "score")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgate import vocab
 from factgate.functions import clinical, match
 from factgate.functions.text import normalize
 from factgate.operators import calibrate, claims, ehr, evaluate, notes, validate
@@ -30,10 +29,10 @@ def f01_normalize(s: SparkSession, d: str) -> DataFrame:
 
 
 def f06_identifiers(s: SparkSession, d: str) -> DataFrame:
-    """Identifier parts of ASCII names (F-06), scrubbed texts and flags (F-08, F-09), statuses (V-12), codes (J-12, G-02)."""
+    """Identifier parts of names (F-06), scrubbed texts and flags (F-08, F-09), statuses (V-12), codes (J-12, G-02)."""
     e = F.coalesce("entity", F.lit(""))
     return _claims(s, d).select(
-        "claim_id", F.when(e.rlike(r"^[ -~]*$"), clinical.safe_uri(e)).alias("uri"), clinical.scrub_phi(F.col("value")).alias("scrubbed"), clinical.is_phi(F.col("entity")).alias("phi"),
+        "claim_id", clinical.safe_uri(e).alias("uri"), clinical.scrub_phi(F.col("value")).alias("scrubbed"), clinical.is_phi(F.col("entity")).alias("phi"),
         clinical.is_vacuous(F.col("entity")).alias("vacuous"), clinical.status_of(F.col("attribute")).alias("status"), clinical.code_of(F.col("entity")).alias("code"), clinical.miss_bucket(e).alias("bucket"),
     )
 
@@ -112,11 +111,13 @@ def v10_fused(s: SparkSession, d: str) -> DataFrame:
 
 
 def f27_perturbed(s: SparkSession, d: str) -> DataFrame:
-    """Negated values, first number scaled by a hash-derived factor, swapped types."""
-    v = F.coalesce("value", F.lit(""))
-    num = F.regexp_extract(v, r"\d+\.?\d*", 0)
-    factor = 2 + F.pmod(F.col("claim_id"), F.lit(9))
-    return _claims(s, d).select("claim_id", clinical.negated(v).alias("negated"), F.when(num != "", F.round(F.regexp_replace(num, r"\.$", "").cast("double") * factor, 1)).alias("scaled"), clinical.lookup(vocab.TYPE_SWAPS, F.coalesce("kind", F.lit(""))).alias("swapped"))
+    """The first three perturbations of each claim (F-27)."""
+    return evaluate.perturbed(_claims(s, d)).select("claim_id", "nth", "how", "value", "kind")
+
+
+def f37_fallback(s: SparkSession, d: str) -> DataFrame:
+    """Heads and tails by alternate fields (F-37): the entity, else the attribute; the value, else the evidence."""
+    return _claims(s, d).select("claim_id", clinical.first_given("entity", "attribute").alias("head"), clinical.first_given("value", "evidence").alias("tail"))
 
 
 def _notes(s: SparkSession, d: str) -> DataFrame:
@@ -311,6 +312,6 @@ def e13_pivot(s: SparkSession, d: str) -> DataFrame:
     return _claims(s, d).filter("note_id is not null").groupBy("note_id").pivot("model", MODELS).count().fillna(0)
 
 
-QUERIES = {f.__name__: f for f in (f01_normalize, f06_identifiers, f10_types, w13_union, e06_consensus, v11_cleaning, sel08_drops, v14_kept, v02_grounding, v03_ontology, v04_schema, v05_temporal, v06_contradiction, v07_trust, sel05_gate, a03_layers, v10_fused, f27_perturbed, f03_match, j06_pairs, j07_blocked, e01_scores, e01_notes, e01_models, u05_subsets, e04_misses, a18_labels, a18_recurring, e12_samples, e05_concepts, e05_chart_scores, e08_quality, e07_failures, e10_curve, c04_ece, c04_bins, c05_scores, w05_curve, c06_aurc, w07_coverage, c07_bands, o05_held, c02_boosted, e13_pivot)}
+QUERIES = {f.__name__: f for f in (f01_normalize, f06_identifiers, f10_types, w13_union, e06_consensus, v11_cleaning, sel08_drops, v14_kept, v02_grounding, v03_ontology, v04_schema, v05_temporal, v06_contradiction, v07_trust, sel05_gate, a03_layers, v10_fused, f27_perturbed, f37_fallback, f03_match, j06_pairs, j07_blocked, e01_scores, e01_notes, e01_models, u05_subsets, e04_misses, a18_labels, a18_recurring, e12_samples, e05_concepts, e05_chart_scores, e08_quality, e07_failures, e10_curve, c04_ece, c04_bins, c05_scores, w05_curve, c06_aurc, w07_coverage, c07_bands, o05_held, c02_boosted, e13_pivot)}
 
 from factgate.plans.oracles import CLAIMS as ORACLE  # noqa: E402

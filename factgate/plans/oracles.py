@@ -35,10 +35,6 @@ def case(key: str, table: dict[str, str]) -> str:
     return f"CASE {key} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items()) + " END"
 
 
-def words(groups: dict[str, str]) -> dict[str, str]:
-    return {w: t for t, ws in groups.items() for w in ws.split()}
-
-
 def phi(x: str) -> str:
     return f"regexp_matches(coalesce({x}, ''), {q(vocab.PHI)})"
 
@@ -53,13 +49,13 @@ def vacuous(x: str) -> str:
 
 def type_a(raw: str, attribute: str) -> str:
     by_part = " ".join(f"WHEN regexp_matches({tidy(attribute)}, {q(p)}) THEN {q(t)}" for t, p in vocab.TYPE_BY_ATTRIBUTE)
-    by_word = case(tidy(raw), words(vocab.TYPE_WORDS_A))
+    by_word = case(tidy(raw), vocab.TYPE_WORDS_A)
     return f"CASE WHEN {raw} IN ({items(vocab.ALL_TYPES)}) THEN {raw} WHEN {by_word} IS NOT NULL THEN {by_word} {by_part} ELSE 'Observation' END"
 
 
 def type_c(raw: str) -> str:
     key = f"lower(trim({raw}))"
-    return f"coalesce({case(key, words(vocab.TYPE_WORDS_C))}, {case(key, {t.lower(): t for t in vocab.CORE_TYPES})}, {raw}, '')"
+    return f"coalesce({case(key, vocab.TYPE_WORDS_C)}, {case(key, {t.lower(): t for t in vocab.CORE_TYPES})}, {raw}, '')"
 
 
 def status(a: str) -> str:
@@ -78,6 +74,10 @@ def bucket(x: str) -> str:
     )
 
 
+def _uri(x: str) -> str:
+    return rf"left(regexp_replace(regexp_replace(regexp_replace(trim({x}), '[^\pL\pN_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 100)"
+
+
 def forms(x: str) -> str:
     short = {v: k for k, v in vocab.ABBREVIATIONS.items()}
     return f"list_filter([{x}, {case(x, vocab.ABBREVIATIONS)}, {case(x, short)}], lambda f: f IS NOT NULL)"
@@ -127,7 +127,7 @@ nt AS (SELECT nid, note, {toks('note')} AS tk FROM nn),
 gr AS (SELECT u.*, list_filter([{', '.join(f"CASE WHEN length(coalesce({c}, '')) > {n} THEN {_ground(c)} END" for c, n in (('entity', 2), ('value', 2), ('evidence', 5)))}], lambda x: x IS NOT NULL) AS g FROM SRC u LEFT JOIN nt ON nt.nid = u.note_id)"""
 GROUNDING = "CASE WHEN len(g) = 0 THEN 0.5 ELSE list_sum(g) / len(g) END"
 
-_SCHEMA_LISTS = "sl(kind, va) AS (VALUES " + ", ".join(f"({q(t)}, {q(a)})" for t, names in vocab.VALID_ATTRIBUTES.items() for a in names.split("|")) + ")"
+_SCHEMA_LISTS = "sl(kind, va) AS (VALUES " + ", ".join(f"({q(t)}, {q(a)})" for t, names in vocab.VALID_ATTRIBUTES.items() for a in names) + ")"
 _SCHEMA = f"""
 {_SCHEMA_LISTS},
 sa AS (SELECT DISTINCT kind, attribute, {norm("coalesce(attribute, '')")} AS a FROM c),
@@ -209,7 +209,8 @@ _FAIL = {
 
 CLAIMS = {
     "f01_normalize": f"WITH {_C} SELECT claim_id, {norm("coalesce(entity, '')")} AS entity, {tidy('attribute')} AS attribute FROM c",
-    "f06_identifiers": f"WITH {_C} SELECT claim_id, CASE WHEN regexp_matches(coalesce(entity, ''), '^[ -~]*$') THEN left(regexp_replace(regexp_replace(regexp_replace(trim(coalesce(entity, '')), '[^A-Za-z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 100) END AS uri, {scrub('value')} AS scrubbed, {phi('entity')} AS phi, {vacuous('entity')} AS vacuous, {status('attribute')} AS status, {code('entity')} AS code, {bucket("coalesce(entity, '')")} AS bucket FROM c",
+    "f06_identifiers": f"WITH {_C} SELECT claim_id, url_encode({_uri("coalesce(entity, '')")}) AS uri, {scrub('value')} AS scrubbed, {phi('entity')} AS phi, {vacuous('entity')} AS vacuous, {status('attribute')} AS status, {code('entity')} AS code, {bucket("coalesce(entity, '')")} AS bucket FROM c",
+    "f37_fallback": f"WITH {_C} SELECT claim_id, CASE WHEN trim(entity, ' ') <> '' THEN entity WHEN trim(attribute, ' ') <> '' THEN attribute END AS head, CASE WHEN trim(value, ' ') <> '' THEN value WHEN trim(evidence, ' ') <> '' THEN evidence END AS tail FROM c",
     "w13_union": f"WITH {_C}, {_U} SELECT claim_id, note_id, model, entity, attribute, value FROM u",
     "e06_consensus": f"WITH {_C} SELECT note_id, lower(trim(coalesce(entity, ''), ' ')) AS entity, lower(trim(coalesce(attribute, ''), ' ')) AS attribute, lower(trim(coalesce(value, ''), ' ')) AS value, count(DISTINCT model) AS n_models, count(*) AS n_claims, min(claim_id) AS first_claim FROM c GROUP BY {_KEYS}",
     "v11_cleaning": f"WITH {_C}, {_CLEAN} SELECT count(*) AS n_input, count(*) FILTER (WHERE drop_reason = 'phi') AS n_phi, count(*) FILTER (WHERE drop_reason = 'vacuous') AS n_vacuous, count(*) FILTER (WHERE drop_reason = 'admin') AS n_admin, count(*) FILTER (WHERE drop_reason IS NULL AND recast) AS n_recast, count(*) FILTER (WHERE drop_reason IS NULL AND collapsed) AS n_collapsed, count(*) FILTER (WHERE drop_reason IS NULL AND retyped) AS n_retyped, (SELECT count(*) FROM kept) AS n_kept, count(*) FILTER (WHERE drop_reason IS NULL) - (SELECT count(*) FROM kept) AS n_deduped FROM k",
@@ -255,10 +256,6 @@ def _kind(k: str) -> str:
     return f"EXISTS (SELECT 1 FROM ok z WHERE {_uri('z.e')} = {_uri('ok.e')} AND {type_c('z.kind')} = '{k}')"
 
 
-def _uri(x: str) -> str:
-    return rf"left(regexp_replace(regexp_replace(regexp_replace(trim({x}), '[^\pL\pN_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 100)"
-
-
 _R = "r AS (SELECT triple_id AS relation_id, lower(trim(entity, ' ')) AS subject, lower(trim(attribute, ' ')) AS predicate, lower(trim(value, ' ')) AS object, fhir_type AS subject_type, temporal_start, temporal_end, note_id FROM triples WHERE coalesce(trim(entity, ' '), '') <> '' AND coalesce(trim(value, ' '), '') <> '')"
 _MISSING = "IN ('', 'null', 'none')"
 GRAPH = {
@@ -312,7 +309,7 @@ SELECT query_id, doc_id, score, place FROM (SELECT *, row_number() OVER (PARTITI
 
 def type_b(raw: str) -> str:
     key = rf"regexp_replace(lower(trim({raw})), '[\s_-]', '', 'g')"
-    lines = [(w, ty) for ty, ws in vocab.TYPE_LINES_B for w in ws.split()]
+    lines = vocab.TYPE_LINES_B
     first: dict[str, str] = {}
     for w, ty in lines:
         first.setdefault(w, ty)
@@ -330,7 +327,10 @@ lo AS (SELECT coalesce(arg_max(score, rank) FILTER (WHERE prec <= 0.15), -0.01)
 th AS (SELECT target, coalesce(arg_max(score, rank) FILTER (WHERE prec >= target), 1.01) AS tau_high FROM dn CROSS JOIN (SELECT unnest([0.2, 0.3, 0.5]) AS target) GROUP BY target)"""
 CLAIMS |= {
     "f10_types": f"WITH {_TYPED} SELECT raw, attribute, {type_a('raw', 'attribute')} AS a, {type_b('raw')} AS b, {type_c('raw')} AS c FROM ty",
-    "f27_perturbed": f"WITH {_C} SELECT claim_id, {_NEG} AS negated, CASE WHEN {_NUM1} <> '' THEN round(CAST(rtrim({_NUM1}, '.') AS DOUBLE) * (2 + claim_id % 9), 1) END AS scaled, {case("coalesce(kind, '')", vocab.TYPE_SWAPS)} AS swapped FROM c",
+    "f27_perturbed": f"""WITH {_C}, pb AS (SELECT claim_id, kind, coalesce(value, '') AS v, {_NEG} AS neg, {_NUM1} AS num, {case("coalesce(kind, '')", vocab.TYPE_SWAPS)} AS swap FROM c),
+pv AS (SELECT claim_id, 1 AS o, 'negated' AS how, neg AS value, kind FROM pb WHERE neg IS NOT NULL
+  UNION ALL SELECT claim_id, 2, 'scaled', v[1:strpos(v, num) - 1] || CAST(round(CAST(rtrim(num, '.') AS DOUBLE) * (2 + claim_id % 9), 1) AS VARCHAR) || v[strpos(v, num) + length(num):], kind FROM pb WHERE num <> '' UNION ALL SELECT claim_id, 3, 'swapped', v, swap FROM pb WHERE swap IS NOT NULL)
+SELECT claim_id, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY o) AS INT) AS nth, how, value, kind FROM pv""",
     "v10_fused": f"""WITH {_VALID}, j AS (SELECT claim_id, note_id, trust, grounding, (claim_id % 10) / 10.0::DOUBLE AS j FROM v),
 g AS (SELECT claim_id, trust, round(greatest(0, least(1, 0.25::DOUBLE * j + 0.25::DOUBLE * (1 - j) + 0.30::DOUBLE * grounding - 0.20::DOUBLE * (j / 2))), 4) AS agent, row_number() OVER (PARTITION BY note_id ORDER BY abs(trust - 0.5::DOUBLE), claim_id) AS place FROM j)
 SELECT claim_id, agent, place, round(CASE WHEN place <= 50 THEN 0.4::DOUBLE * trust + 0.6::DOUBLE * agent ELSE trust END, 4) AS fused FROM g""",
