@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgate.functions.text import normalize
+from factgate.session import cut_lineage
 from factgate.tables import broadcast_if_small
 
 K1, B = 1.5, 0.75
 WEIGHTS = (0.3, 0.5, 0.2)
 #: A scored side of at most so many rows is broadcast against the other.
 MAX_SMALL = 200_000
+#: Bytes of the query vectors that are on the driver and broadcast at one time.
+BLOCK_BYTES = 32 << 20
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -58,13 +61,14 @@ def cosine(a: Column, b: Column) -> Column:
 def dense(queries: DataFrame, vectors: DataFrame, k: int, normalised: bool = True) -> DataFrame:
     """The k nearest other vectors of each query: query_id, vec_id, score, place (ties by vec_id). Exact.
 
-    queries: query_id, q. vectors: vec_id, v. A stated query set against all rows, in blocks of MAX_SMALL queries: a block is
-    sent to every task, which multiplies it with its rows in small slices and keeps k rows a query. Null vectors are no rows.
-    normalised: cosine, else the raw product.
+    queries: query_id, q. vectors: vec_id, v. A stated query set against all rows, in blocks of BLOCK_BYTES: one block at a time
+    is sent to every task, which multiplies it with its rows in small slices and keeps k rows a query; with several blocks each one's
+    result is written down before the next begins. Null vectors are no rows. normalised: cosine, else the raw product.
     """
     spark = queries.sparkSession
     rows = queries.filter("q is not null").select("query_id", "q")
-    blocks = max(1, -(-rows.count() // MAX_SMALL))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("q")), F.lit(1)).alias("d")).first()
+    blocks = max(1, -(-size["n"] * size["d"] * 8 // BLOCK_BYTES))
     out = None
     for i in range(blocks):
         pdf = rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()
@@ -94,6 +98,9 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, normalised: bool = Tru
             yield pd.DataFrame({"query_id": np.repeat(ids, ok.sum(1)), "vec_id": best_v[ok], "score": best_s[ok]})
 
         got = vectors.filter("v is not null").select("vec_id", "v").mapInPandas(run, "query_id bigint, vec_id bigint, score double")
+        if blocks > 1:
+            got = cut_lineage(best(got, "query_id", "vec_id", k).drop("place"))
+            shared.destroy()
         out = got if out is None else out.unionAll(got)
     return best(out, "query_id", "vec_id", k)
 
@@ -106,6 +113,64 @@ def fuse(bm25_score: Column, dense_score: Column, n_neighbours: Column) -> Colum
     return F.round(a * s / F.greatest(s + 1, F.lit(1.0)) + b * d + c * F.least(F.coalesce(n_neighbours, F.lit(0)) / 5, F.lit(1.0)), 4)
 
 
+def pair_vector(text: Column, dims: int = 64) -> Column:
+    """A stand-in encoder in Arrow batches: counts of hashed pairs of neighbouring characters of the normal form. A trained encoder
+    would take its place."""
+
+    @F.pandas_udf("array<double>")
+    def encode(s: pd.Series) -> pd.Series:
+        def one(t: str) -> np.ndarray:
+            codes = np.append(np.frombuffer(t.encode("utf-32-le"), np.uint32), 0).astype(np.int64)
+            pairs = codes[:-1] * 7 + codes[1:]
+            return np.bincount((pairs[:-1] if len(pairs) > 1 else pairs) % dims, minlength=dims).astype(float)
+
+        return s.map(one)
+
+    return encode(normalize(F.coalesce(text, F.lit(""))))
+
+
+def enriched(claims: DataFrame, corpus: DataFrame, edges: DataFrame) -> DataFrame:
+    """claim_id, lexical, dense, neighbours, score of each claim against a corpus and a graph; an empty claim scores 0.
+
+    claims: claim_id, entity, value. corpus: doc_id (bigint), text. edges: src, dst. The best lexical and the best vector score of the
+    claim's entity and value, the edges that touch its entity. Each distinct text and entity is looked up once.
+    """
+    text = F.trim(F.concat_ws(" ", F.coalesce("entity", F.lit("")), F.coalesce("value", F.lit(""))))
+    c = claims.select("claim_id", F.lower(F.trim(F.coalesce("entity", F.lit("")))).alias("key"), text.alias("text"))
+    texts = cut_lineage(c.filter("text <> ''").select("text").distinct().withColumn("query_id", F.monotonically_increasing_id()))
+    lex = bm25(corpus, texts, 1).select("query_id", F.col("score").alias("lexical"))
+    vec = dense(texts.select((-F.col("query_id") - 1).alias("query_id"), pair_vector(F.col("text")).alias("q")), corpus.select(F.col("doc_id").alias("vec_id"), pair_vector(F.col("text")).alias("v")), 1)
+    found = texts.join(lex, "query_id", "left").join(vec.select((-F.col("query_id") - 1).alias("query_id"), F.col("score").alias("dense")), "query_id", "left").drop("query_id")
+    ends = edges.select(F.explode(F.array_distinct(F.array(F.lower("src"), F.lower("dst")))).alias("key")).filter("key <> ''").groupBy("key").agg(F.count("*").alias("neighbours"))
+    x = c.join(found, "text", "left").join(ends, "key", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
+    score = F.when(F.col("text") == "", 0.0).otherwise(fuse(F.col("lexical"), F.col("dense"), F.col("neighbours")))
+    return x.select("claim_id", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), "dense", "neighbours", score.alias("score"))
+
+
+def fact_text(cut: int = 512) -> Column:
+    """Text of a fact (entity, attribute, value) as it is indexed, cut to so many characters."""
+    return F.left(F.trim(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in ("entity", "attribute", "value")))), F.lit(cut))
+
+
+def knowledge(top: DataFrame, facts: DataFrame) -> DataFrame:
+    """query_id, lines, knowledge: the facts retrieved for each query in order, as lines with their polarity and as running text.
+
+    top: query_id, doc_id, place (at most a few a query). facts: doc_id, entity, attribute, value, polarity ('+' where it is missing).
+    """
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("entity", "attribute", "value")]
+    line = F.concat(F.lit("["), F.coalesce("polarity", F.lit("+")), F.lit("] ("), F.concat_ws(", ", *parts), F.lit(")"))
+    x = top.join(facts, "doc_id").select("query_id", F.struct("place", line.alias("line"), F.concat_ws(" ", *parts).alias("text")).alias("f"))
+    g = x.groupBy("query_id").agg(F.array_sort(F.collect_list("f")).alias("f"))  # as many as were retrieved
+    lines = F.concat_ws("\n", F.lit("Medical knowledge graph:"), F.array_join(F.transform("f", lambda y: y["line"]), "\n"))
+    return g.select("query_id", lines.alias("lines"), F.array_join(F.transform("f", lambda y: y["text"]), " ").alias("knowledge"))
+
+
+def augmented(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id, prompt: context, what was found, and the question; without a finding only context and question. questions: query_id, context, question."""
+    x = questions.join(found.select("query_id", "knowledge"), "query_id", "left")
+    return x.select("query_id", F.concat(F.col("context"), F.coalesce(F.concat(F.lit(" Medical knowledge: "), "knowledge"), F.lit("")), F.lit(" Question: "), F.col("question")).alias("prompt"))
+
+
 def option_scores(scored: DataFrame, k: int = 10) -> DataFrame:
     """query_id, pos, neg, margin: means of the k best scores of positive and of negative facts. scored: query_id, vec_id, polarity, score."""
     w = Window.partitionBy("query_id", "polarity").orderBy(F.desc("score"), "vec_id")

@@ -443,16 +443,43 @@ TEXT |= {
     "r08_options": f"""WITH s AS ({_COS}), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, label % 2 ORDER BY score DESC, vec_id) AS place FROM s),
 m AS (SELECT query_id, coalesce(avg(score) FILTER (WHERE label % 2 = 0), 0) AS pos, coalesce(avg(score) FILTER (WHERE label % 2 <> 0), 0) AS neg FROM k WHERE place <= 10 GROUP BY 1)
 SELECT query_id, round(pos, 5) AS pos, round(neg, 5) AS neg, round(pos - neg, 5) AS margin, CASE WHEN pos - neg > 0.02 THEN 'yes' WHEN pos - neg < -0.02 THEN 'no' ELSE 'maybe' END AS decision FROM m""",
-    "r05_fused": f"""WITH lx AS (SELECT query_id AS ref, score AS s FROM ({TEXT['r02_bm25']}) WHERE place = 1), vx AS (SELECT query_id // 100 + 501 AS ref, score AS c FROM ({TEXT['r03_dense']}) WHERE place = 1),
-dg AS (SELECT lower(trim(entity, ' ')) AS e, count(DISTINCT lower(value)) AS d FROM triples WHERE note_id IS NOT NULL GROUP BY 1)
-SELECT ref_id, round(0.3::DOUBLE * coalesce(s, 0) / greatest(coalesce(s, 0) + 1, 1) + 0.5::DOUBLE * CASE WHEN c IS NULL THEN 0 ELSE (c + 1) / 2 END + 0.2::DOUBLE * least(coalesce(d, 0) / 5, 1), 4) AS fused
-FROM canon_items LEFT JOIN lx ON lx.ref = ref_id LEFT JOIN vx ON vx.ref = ref_id LEFT JOIN dg ON e = lower(canon_name) WHERE item_kind = 'condition'""",
     "e09_keyword": f"""WITH f AS ({TEXT['f24_negation']}), fa AS (SELECT note_id, concept FROM f WHERE n_positive = 0), sd AS (SELECT note_id, lower(concat_ws(' ', entity, value)) AS said FROM triples WHERE source <> 'ehr' AND note_id IS NOT NULL),
 av AS (SELECT * FROM fa WHERE NOT EXISTS (SELECT 1 FROM sd WHERE sd.note_id = fa.note_id AND contains(said, concept)))
 SELECT concept, count(*) AS n_keyword, (SELECT count(*) FROM fa WHERE fa.concept = f.concept) AS n_false, (SELECT count(*) FROM av WHERE av.concept = f.concept) AS n_avoided FROM f GROUP BY concept""",
 }
+def _bm25(corpus: str, queries: str, k: int) -> str:
+    """CTEs ending in bm(query_id, doc_id, score, place). corpus(doc_id, text), queries(query_id, text) are CTEs."""
+    return f"""bc AS (SELECT doc_id, list_filter(string_split({norm("coalesce(text, '')")}, ' '), lambda w: w <> '') AS ts FROM {corpus}), bs AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM bc),
+bq AS (SELECT DISTINCT query_id, unnest(list_filter(string_split({norm("coalesce(text, '')")}, ' '), lambda w: w <> '')) AS w FROM {queries}), bp AS (SELECT doc_id, l, w, count(*) AS tf FROM (SELECT doc_id, len(ts) AS l, unnest(ts) AS w FROM bc) GROUP BY ALL),
+bd AS (SELECT w, count(*) AS df FROM bp GROUP BY 1), br AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))), 6) AS score FROM bq JOIN bp USING (w) JOIN bd USING (w) CROSS JOIN bs GROUP BY 1, 2),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM br WHERE score > 0) WHERE place <= {k})"""
+
+
+_VECTOR = "list_transform(range(0, 64), lambda d: CAST(len(list_filter(hp, lambda z: z = d)) AS DOUBLE))"
+_PAIRS = "list_transform(range(1, greatest(length(t) - 1, 1) + 1), lambda i: CASE WHEN t = '' THEN -1 ELSE (unicode(substr(t, i, 1)) * 7 + CASE WHEN i < length(t) THEN unicode(substr(t, i + 1, 1)) ELSE 0 END) % 64 END)"
+
+
+_ENRICHED = f"""cm AS (SELECT triple_id AS claim_id, note_id, lower(trim(coalesce(entity, ''), ' ')) AS key, trim(coalesce(entity, '') || ' ' || coalesce(value, ''), ' ') AS text, trim(coalesce(entity, ''), ' ') AS src, trim(coalesce(value, ''), ' ') AS dst FROM triples WHERE source <> 'ehr'),
+ti AS (SELECT row_number() OVER (ORDER BY icd9_code) AS doc_id, min(long_title) AS text FROM d_icd_diagnoses WHERE icd9_code IS NOT NULL AND long_title IS NOT NULL GROUP BY icd9_code),
+qt AS (SELECT DISTINCT text AS query_id, text FROM cm WHERE text <> ''), {_bm25('ti', 'qt', 1)},
+qp AS (SELECT query_id, {_PAIRS} AS hp FROM (SELECT query_id, {norm('text')} AS t FROM qt)), tp AS (SELECT doc_id, {_PAIRS} AS hp FROM (SELECT doc_id, {norm('text')} AS t FROM ti)),
+qv AS MATERIALIZED (SELECT query_id, {_VECTOR} AS q FROM qp), tv AS MATERIALIZED (SELECT doc_id, {_VECTOR} AS v FROM tp),
+dn AS (SELECT query_id, round(max(list_dot_product(q, v) / greatest(sqrt(list_dot_product(q, q) * list_dot_product(v, v)), 1e-12)), 6) AS c FROM qv CROSS JOIN tv GROUP BY 1),
+en0 AS (SELECT key, count(*) AS k FROM (SELECT unnest(list_distinct([lower(src), lower(dst)])) AS key FROM cm) WHERE key <> '' GROUP BY 1),
+er AS (SELECT claim_id, note_id, coalesce(bm.score, 0) AS lexical, floor(c * 1000 + 1e-6) / 1000 AS dense, coalesce(k, 0) AS neighbours,
+  floor(round(CASE WHEN cm.text = '' THEN 0 ELSE 0.3::DOUBLE * coalesce(bm.score, 0) / greatest(coalesce(bm.score, 0) + 1, 1) + 0.5::DOUBLE * CASE WHEN c IS NULL THEN 0 ELSE (c + 1) / 2 END + 0.2::DOUBLE * least(coalesce(k, 0) / 5, 1) END, 4) * 1000 + 1e-6) / 1000 AS score
+  FROM cm LEFT JOIN bm ON bm.query_id = cm.text LEFT JOIN dn ON dn.query_id = cm.text LEFT JOIN en0 ON en0.key = cm.key)"""
+_KNOW = rf"""fc AS (SELECT entity, attribute, value, min(triple_id) AS doc_id, CASE WHEN coalesce(regexp_matches(lower(value), '\b(absent|negative|denied|none|no)\b'), false) THEN '-' ELSE '+' END AS polarity FROM triples WHERE source <> 'ehr' GROUP BY 1, 2, 3),
+fd AS (SELECT doc_id, left(trim(coalesce(entity, '') || ' ' || coalesce(attribute, '') || ' ' || coalesce(value, ''), ' '), 512) AS text FROM fc), fq AS (SELECT ref_id AS query_id, canon_name AS text FROM canon_items WHERE item_kind = 'condition'), {_bm25('fd', 'fq', 5)},
+kn AS (SELECT query_id, string_agg('[' || polarity || '] (' || coalesce(entity, '') || ', ' || coalesce(attribute, '') || ', ' || coalesce(value, '') || ')', chr(10) ORDER BY place) AS ls, string_agg(coalesce(entity, '') || ' ' || coalesce(attribute, '') || ' ' || coalesce(value, ''), ' ' ORDER BY place) AS tx FROM bm JOIN fc USING (doc_id) GROUP BY 1)"""
+TEXT |= {
+    "r06_enriched": f"WITH {_ENRICHED} SELECT claim_id, lexical, dense, neighbours, score FROM er",
+    "r05_fused": f"WITH {_ENRICHED} SELECT note_id, count(*) AS n, floor(avg(score) * 1000 + 1e-6) / 1000 AS mean_score FROM er WHERE note_id IS NOT NULL GROUP BY 1",
+    "r07_lines": f"WITH {_KNOW} SELECT query_id, 'Medical knowledge graph:' || chr(10) || ls AS lines FROM kn",
+    "r10_augmented": f"WITH {_KNOW} SELECT fq.query_id, 'A chart review.' || coalesce(' Medical knowledge: ' || tx, '') || ' Question: Is there ' || text || '?' AS prompt FROM fq LEFT JOIN kn ON kn.query_id = fq.query_id",
+}
 _X = f"x AS (SELECT triple_id, source, loaded_at, round(0.5::DOUBLE * {ONTOLOGY} + 0.5::DOUBLE * {TEMPORAL.replace(AS_OF, '2026-01-01')}, 4) AS trust FROM (SELECT *, fhir_type AS kind, temporal_start AS anchor FROM triples))"
 STREAMS = {
     "x1_ingest": f"WITH {_X} SELECT triple_id, trust, trust >= 0.6 AS accepted FROM x",
-    "x2_rates": f"WITH {_X} SELECT to_timestamp(floor(epoch(loaded_at) / 2592000) * 2592000) AT TIME ZONE 'UTC' AS start, source, count(*) AS n, count(*) FILTER (WHERE trust >= 0.6) AS n_accepted FROM x GROUP BY 1, 2",
+    "x2_rates": f"WITH {_X} SELECT to_timestamp(floor(epoch(loaded_at) / 2592000) * 2592000) AT TIME ZONE 'UTC' AS start, source, count(*) AS n, count(*) FILTER (WHERE trust >= 0.6) AS n_accepted FROM x GROUP BY 1, 2 HAVING floor(epoch(min(loaded_at)) / 2592000) * 2592000 + 2592000 <= (SELECT floor(epoch(max(loaded_at)) * 1000) / 1000 - 604800 FROM triples)",
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgate.functions import clinical
 from factgate.operators import notes, retrieval, validate
+from factgate.operators.calibrate import global_rank
 from factgate import vocab
 from factgate.tables import small_rows
 from factgate.tables import spread
@@ -127,14 +128,54 @@ def r08_options(s: SparkSession, d: str) -> DataFrame:
     return m.select("query_id", *(F.round(c, 5).alias(c) for c in ("pos", "neg", "margin")), retrieval.ternary(F.col("margin")).alias("decision"))
 
 
+def _titles(s: SparkSession, d: str) -> DataFrame:
+    """Code titles with a number of their own: doc_id, text."""
+    codes = t(s, d, "d_icd_diagnoses").filter("icd9_code is not null and long_title is not null").groupBy("icd9_code").agg(F.min("long_title").alias("text"))
+    return global_rank(codes.select("icd9_code", "text"), ["icd9_code"]).select(F.col("rank").alias("doc_id"), "text")
+
+
+def _cut(c: str | Column) -> Column:
+    """Cut to three places; ties of a rounded number would depend on its last bit."""
+    return F.floor((F.col(c) if isinstance(c, str) else c) * 1000 + 1e-6) / 1000
+
+
+def r06_enriched(s: SparkSession, d: str) -> DataFrame:
+    """Lexical, vector and graph evidence of every claim, fused (R-05, R-06)."""
+    tr = t(s, d, "triples").filter("source <> 'ehr'")
+    c = tr.select(F.col("triple_id").alias("claim_id"), "entity", "value")
+    edges = tr.select(F.trim(F.coalesce("entity", F.lit(""))).alias("src"), F.trim(F.coalesce("value", F.lit(""))).alias("dst"))
+    x = retrieval.enriched(c, _titles(s, d), edges)
+    return x.select("claim_id", "lexical", _cut("dense").alias("dense"), "neighbours", _cut("score").alias("score"))
+
+
 def r05_fused(s: SparkSession, d: str) -> DataFrame:
-    """Fusion of lexical, vector and graph evidence for canonical conditions (R-05, R-06)."""
-    lex = r02_bm25(s, d).filter("place = 1").select(F.col("query_id").alias("ref_id"), "score")
-    vec = r03_dense(s, d).filter("place = 1").select((F.col("query_id") / 100 + 501).cast("bigint").alias("v_ref"), F.col("score").alias("cos"))
-    deg = t(s, d, "triples").filter("note_id is not null").groupBy(F.lower(F.trim("entity")).alias("e")).agg(F.countDistinct(F.lower("value")).alias("deg"))
-    c = t(s, d, "canon_items").filter("item_kind = 'condition'").select("ref_id", "canon_name")
-    x = c.join(lex, "ref_id", "left").join(vec, F.col("ref_id") == F.col("v_ref"), "left").join(deg, F.lower("canon_name") == F.col("e"), "left")
-    return x.select("ref_id", retrieval.fuse(F.col("score"), F.col("cos"), F.col("deg")).alias("fused"))
+    """Mean evidence by note (R-06): the fused scores of its claims."""
+    of = t(s, d, "triples").filter("source <> 'ehr' and note_id is not null").select(F.col("triple_id").alias("claim_id"), "note_id")
+    return r06_enriched(s, d).join(of, "claim_id").groupBy("note_id").agg(F.count("*").alias("n"), _cut(F.avg("score")).alias("mean_score"))
+
+
+def _facts(s: SparkSession, d: str) -> DataFrame:
+    """Distinct facts of the models with the id of their first claim; a fact that denies carries '-'."""
+    f = t(s, d, "triples").filter("source <> 'ehr'").groupBy("entity", "attribute", "value").agg(F.min("triple_id").alias("doc_id"))
+    denies = F.coalesce(F.lower("value").rlike(r"\b(absent|negative|denied|none|no)\b"), F.lit(False))
+    return f.withColumn("polarity", F.when(denies, "-").otherwise("+"))
+
+
+def _knowledge(s: SparkSession, d: str) -> DataFrame:
+    f = _facts(s, d)
+    q = t(s, d, "canon_items").filter("item_kind = 'condition'").select(F.col("ref_id").alias("query_id"), F.col("canon_name").alias("text"))
+    return retrieval.knowledge(retrieval.bm25(f.select("doc_id", retrieval.fact_text().alias("text")), q, 5), f)
+
+
+def r07_lines(s: SparkSession, d: str) -> DataFrame:
+    """The five facts nearest to each canonical condition, as lines with polarity (R-07)."""
+    return _knowledge(s, d).select("query_id", "lines")
+
+
+def r10_augmented(s: SparkSession, d: str) -> DataFrame:
+    """A question about each canonical condition with the facts found for it (R-10)."""
+    q = t(s, d, "canon_items").filter("item_kind = 'condition'").select(F.col("ref_id").alias("query_id"), F.lit("A chart review.").alias("context"), F.concat(F.lit("Is there "), "canon_name", F.lit("?")).alias("question"))
+    return retrieval.augmented(q, _knowledge(s, d))
 
 
 def f22_answers(s: SparkSession, d: str) -> DataFrame:
@@ -156,6 +197,6 @@ def f35_props(s: SparkSession, d: str) -> DataFrame:
     return x.select("event_id", F.col("p.k").alias("k"), F.to_json(F.struct((F.col("p.k") * 2).alias("k"))).alias("doubled"))
 
 
-QUERIES = {f.__name__: f for f in (w09_first_notes, f17_dates, f14_sections, m01_mentions, f16_candidates, m02_chunks, m05_in_turn, m06_extracted, f24_negation, e09_keyword, r02_bm25, r03_dense, r08_options, r05_fused, f22_answers, f21_salvage, f35_props)}
+QUERIES = {f.__name__: f for f in (w09_first_notes, f17_dates, f14_sections, m01_mentions, f16_candidates, m02_chunks, m05_in_turn, m06_extracted, f24_negation, e09_keyword, r02_bm25, r03_dense, r08_options, r05_fused, r06_enriched, r07_lines, r10_augmented, f22_answers, f21_salvage, f35_props)}
 
 from factgate.plans.oracles import TEXT as ORACLE  # noqa: E402

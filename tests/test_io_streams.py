@@ -59,9 +59,11 @@ def test_sinks_and_resume(spark, tmp_path):
     assert writers.unfinished(f, spark, str(tmp_path / "none"), "note_id").count() == 2
     writers.write_facts(f.filter("note_id = 1"), str(tmp_path / "f"), ["model"])
     assert [r.note_id for r in writers.unfinished(f, spark, str(tmp_path / "f"), "note_id").collect()] == [2]
-    st = spark.createDataFrame([("s", "p", 'say "x"\nnow', "string"), ("s", "p", "o", "uri"), ("s", "p", "1.5", "float")], "s string, p string, o string, o_kind string")
+    st = spark.createDataFrame([("kg:s", "kg:p", 'say "x"\nnow', "string"), ("kg:s", "kg:p", "kg:o", "uri"), ("kg:s", "kg:p", "1.5", "float")], "s string, p string, o string, o_kind string")
     writers.write_statements(st, str(tmp_path / "nt"))
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "nt")).collect()) == ['<s> <p> "1.5"^^<xsd:float> .', '<s> <p> "say \\"x\\"\\nnow" .', "<s> <p> <o> ."]
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "nt")).collect()) == [
+        '<urn:kg:s> <urn:kg:p> "1.5"^^<http://www.w3.org/2001/XMLSchema#float> .', '<urn:kg:s> <urn:kg:p> "say \\"x\\"\\nnow" .', "<urn:kg:s> <urn:kg:p> <urn:kg:o> .",
+    ]
     writers.write_report(f.agg(F.count("*").alias("n")), str(tmp_path / "r"))
     writers.json_notes_out(f, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "r")).first().n == 2 and spark.read.json(str(tmp_path / "j")).count() == 2
@@ -82,6 +84,24 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert rows(rates) == rows(ingest.admission_rates(want)) and rates.agg(F.sum("n")).first()[0] == t.count()
 
 
+def test_late_rows_are_dropped_and_open_windows_wait(spark, tmp_path):
+    from datetime import datetime
+
+    def part(rows):
+        df = spark.createDataFrame([(i, 1, "model_a", "anemia", "x", "Condition", None, datetime(2020, 1, day)) for i, day in rows], "triple_id bigint, note_id bigint, source string, entity string, value string, fhir_type string, temporal_start string, loaded_at timestamp")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+
+    import time
+
+    for rows_ in ([(1, 20), (2, 14)], [(6, 21)], [(3, 1), (1, 20), (4, 21), (5, 30)]):
+        part(rows_)
+        time.sleep(1.1)  # files are taken in the order they were written
+    got = ingest.finish(ingest.ingest(ingest.stream_table(spark, str(tmp_path / "late"), 1)), "append")
+    assert sorted(r.triple_id for r in got.collect()) == [1, 2, 4, 5, 6]  # 3 is late, 1 is known
+    rates = ingest.finish(ingest.admission_rates(ingest.ingest(ingest.stream_table(spark, str(tmp_path / "late"), 1)), "5 days"), "append").collect()
+    assert [(r.start.day, r.n) for r in rates] == [(14, 1)]  # later windows are still open
+
+
 def test_registry():
     import __spark_entry__ as e
 
