@@ -16,6 +16,10 @@ from factgate.functions.text import normalize
 from factgate.functions.clinical import category
 
 CHUNK = 6000
+#: Times a generator is asked before its answer counts as empty.
+ATTEMPTS = 4
+#: Context of a prompt: mentions looked up, their least length, hits a mention and the least score of a hit.
+CONTEXT_MENTIONS, CONTEXT_LENGTH, CONTEXT_HITS, CONTEXT_SCORE = 30, 3, 2, 0.5
 #: Prior facts in a prompt: mentions looked up, facts a mention, lines in all.
 PRIOR_MENTIONS, PRIOR_FACTS, PRIOR_LINES = 10, 2, 10
 FIELDS = ("entity", "attribute", "value", "fhir_type", "temporal_anchor", "evidence_span")
@@ -117,15 +121,28 @@ def prompts(parts: DataFrame, notes: DataFrame, found: DataFrame) -> DataFrame:
     return df.select("note_id", "chunk_no", F.concat_ws("\n", head, body, F.concat(F.lit("Candidates: "), F.coalesce("terms", F.lit("none")))).alias("prompt"), "mentions")
 
 
+def answers_of(generate: Callable[[list[str]], list[str]], prompts: list[str], attempts: int = ATTEMPTS) -> list[str]:
+    """As many answers as prompts. A batch that fails or comes back short is asked again; then its prompts one by one, and a prompt that
+    keeps failing has the empty answer."""
+    for _ in range(attempts):
+        try:
+            got = list(generate(prompts))
+        except Exception:  # noqa: BLE001 - a generator may fail in any way
+            continue
+        if len(got) == len(prompts):
+            return [a or "" for a in got]
+    return [""] if len(prompts) == 1 else [answers_of(generate, [p], attempts)[0] for p in prompts]
+
+
 def extract(prompted: DataFrame, generate: Callable[[list[str]], list[str]]) -> DataFrame:
     """Facts from a generator of answers, chunk by chunk, batched: note_id, chunk_no, pos and the fact's fields.
 
-    generate takes a batch of prompts and gives as many answers; an answer without readable facts gives no rows.
+    generate takes a batch of prompts and gives as many answers; an answer without readable facts gives no rows. Failures are tried again.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [(k, c, i, *(o[f] for f in FIELDS)) for k, c, answer in zip(p["note_id"], p["chunk_no"], generate(p["prompt"].tolist()), strict=True) for i, o in enumerate(kernels.salvage(answer))]
+            rows = [(k, c, i, *(o[f] for f in FIELDS)) for k, c, answer in zip(p["note_id"], p["chunk_no"], answers_of(generate, p["prompt"].tolist()), strict=True) for i, o in enumerate(kernels.salvage(answer))]
             yield pd.DataFrame(rows, columns=["note_id", "chunk_no", "pos", *FIELDS])
 
     return prompted.select("note_id", "chunk_no", "prompt").mapInPandas(run, FACTS)
@@ -150,7 +167,7 @@ def extract_in_turn(prompted: DataFrame, generate: Callable[[list[str]], list[st
         known, rows = list(seeds), []
         for k, c, prompt, mentions in p.sort_values("chunk_no")[["note_id", "chunk_no", "prompt", "mentions"]].itertuples(index=False):
             prior = prior_lines([] if mentions is None else list(mentions), known)
-            facts = kernels.salvage(generate(["\n".join([prompt, *prior])])[0])
+            facts = kernels.salvage(answers_of(generate, ["\n".join([prompt, *prior])])[0])
             known += facts
             rows += [(k, c, i, *(o[f] for f in FIELDS)) for i, o in enumerate(facts)]
         return pd.DataFrame(rows, columns=["note_id", "chunk_no", "pos", *FIELDS])
@@ -158,6 +175,39 @@ def extract_in_turn(prompted: DataFrame, generate: Callable[[list[str]], list[st
     return prompted.select("note_id", "chunk_no", "prompt", "mentions").groupBy("note_id").applyInPandas(run, FACTS)
 
 
+def context_mentions(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """note_id, chunk_no, place, term: the distinct terms of the first CONTEXT_MENTIONS mentions of each chunk that are long enough."""
+    w = Window.partitionBy("note_id", "chunk_no").orderBy("start", "stop", "text")
+    firsts = in_chunks(found, parts).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= CONTEXT_MENTIONS)
+    return firsts.withColumn("term", F.lower(F.trim("text"))).filter(F.length("term") >= CONTEXT_LENGTH).groupBy("note_id", "chunk_no", "term").agg(F.min("place").alias("place"))
+
+
+def ontology_context(mentioned: DataFrame, hits: DataFrame) -> DataFrame:
+    """note_id, chunk_no, context: a line for every good hit of every term of a chunk, in the order of the terms.
+
+    mentioned: context_mentions. hits: term, title, code, score, place (the best CONTEXT_HITS of a term).
+    """
+    good = hits.filter((F.col("score") > CONTEXT_SCORE) & (F.col("place") <= CONTEXT_HITS))
+    line = F.concat(F.lit('  - "'), "title", F.lit('" ['), "code", F.lit('] (matched: "'), "term", F.lit('")'))
+    x = mentioned.join(good.withColumnRenamed("place", "hit"), "term").select("note_id", "chunk_no", F.struct("place", "hit", line.alias("line")).alias("l"))
+    lines = F.transform(F.array_sort(F.collect_list("l")), lambda y: y["line"])  # at most CONTEXT_MENTIONS x CONTEXT_HITS
+    return x.groupBy("note_id", "chunk_no").agg(F.concat_ws("\n", F.lit("## Concepts of the list:"), F.array_join(lines, "\n")).alias("context"))
+
+
+class ChunkNote:
+    """Table function chunk_note(text, max): the greedily filled paragraphs of one text as rows."""
+
+    def eval(self, text: str, limit: int):
+        for i, (a, b) in enumerate(kernels.chunk_paragraphs(text, limit) if text else []):
+            yield i, a, b
+
+
+def register_chunk_note(spark) -> str:
+    """Makes chunk_note callable from SQL and gives its name."""
+    spark.udtf.register("chunk_note", F.udtf(ChunkNote, returnType="chunk_no int, start int, stop int"))
+    return "chunk_note"
+
+
 def entropy(probabilities: Column) -> Column:
     """Mean of -sum p ln p over an array of arrays of token probabilities."""
     one = F.transform(probabilities, lambda ps: F.aggregate(ps, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.ln(p)).otherwise(0.0)))

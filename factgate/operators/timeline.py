@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from factgate.functions import mentions as kernels
 from factgate.functions.clinical import tidy
+from factgate.tables import broadcast_if_small
 
 NEAR = 500
+#: Keys looked up at a time by broadcast.
+MAX_KEYS = 500_000
 
 
 def date_form(c: Column) -> Column:
@@ -93,10 +96,15 @@ def snapshot(relations: DataFrame, at: str) -> DataFrame:
     return relations.filter((start.isNull() | (start <= at)) & (stop.isNull() | (stop > at)))
 
 
-def about(relations: DataFrame, key: str) -> DataFrame:
-    """Relations whose subject or object is the key, up to case."""
-    k = key.lower()
-    return relations.filter((F.lower("subject") == k) | (F.lower("object") == k))
+def about(relations: DataFrame, keys: DataFrame) -> DataFrame:
+    """Relations whose subject or object is a key, up to case, in time order: key, nth and the relation. keys: key.
+
+    Strings order as strings, a relation without a start comes last, ties by relation_id; one that has the key on both sides counts once.
+    """
+    k = keys.select(F.lower("key").alias("key")).distinct()
+    ends = relations.withColumn("key", F.explode(F.array_distinct(F.array(F.lower("subject"), F.lower("object")))))
+    w = Window.partitionBy("key").orderBy(F.coalesce("temporal_start", F.lit("9999")), "relation_id")
+    return ends.join(broadcast_if_small(k, MAX_KEYS), "key", "left_semi").withColumn("nth", F.row_number().over(w))
 
 
 def changes(relations: DataFrame) -> DataFrame:
@@ -109,6 +117,17 @@ def changes(relations: DataFrame) -> DataFrame:
     return g.filter("n_objects > 1")
 
 
+def change_timeline(relations: DataFrame) -> DataFrame:
+    """The relations of every (subject, predicate) that changes, in time order: subject, predicate, nth, temporal_start, object.
+
+    Rows instead of a list a group, so a hot subject is sorted with spill and never held whole; missing starts are empty and come first.
+    """
+    hot = changes(relations).select("subject", "predicate")
+    at = F.coalesce("temporal_start", F.lit(""))
+    w = Window.partitionBy("subject", "predicate").orderBy(at, "object", "relation_id")
+    return relations.join(hot, ["subject", "predicate"], "left_semi").select("subject", "predicate", F.row_number().over(w).alias("nth"), at.alias("temporal_start"), "object")
+
+
 def relations_of(triples: DataFrame) -> DataFrame:
     """Flat triples as relations between names."""
     return triples.select(F.col("triple_id").alias("relation_id"), F.lower(F.trim("entity")).alias("subject"), F.lower(F.trim("attribute")).alias("predicate"), F.lower(F.trim("value")).alias("object"), F.col("fhir_type").alias("subject_type"), F.lit("Value").alias("object_type"), "temporal_start", "temporal_end", "evidence_span", "note_id").filter("coalesce(subject, '') <> '' and coalesce(object, '') <> ''")

@@ -223,8 +223,13 @@ def t05_snapshot(s: SparkSession, d: str) -> DataFrame:
 
 
 def t06_about(s: SparkSession, d: str) -> DataFrame:
-    """Relations of one entity in time order is a sort away (T-06, W-12)."""
-    return timeline.about(timeline.relations_of(t(s, d, "triples")), "suloraspramil").select("relation_id", "subject", "predicate", "object", "temporal_start")
+    """Relations of the canonical names with a number divisible by 10, in time order (T-06, W-12)."""
+    keys = t(s, d, "canon_items").filter("ref_id % 10 = 0").select(F.col("canon_name").alias("key"))
+    return timeline.about(timeline.relations_of(t(s, d, "triples")), keys).select("key", "nth", "relation_id", "subject", "predicate", "object")
+
+
+def t07_timeline(s: SparkSession, d: str) -> DataFrame:
+    return timeline.change_timeline(timeline.relations_of(t(s, d, "triples")))
 
 
 def t07_changes(s: SparkSession, d: str) -> DataFrame:
@@ -247,6 +252,6 @@ def t10_reified(s: SparkSession, d: str) -> DataFrame:
     return r.select(F.explode(parts).alias("x")).select("x.*")
 
 
-QUERIES = {f.__name__: f for f in (g01_statements, s13_ntriples, g03_merged, g06_depths, g07_conditions, g07_medications, g07_procedures, g07_linked, g07_high_trust, g07_temporal, g07_entity_count, g08_cohorts, g09_summary, g09_treated, g09_most_used, g09_comorbid, g09_dated, g10_report, g05_usage, o06_top_properties, j13_two_hops, g15_nodes, g15_edges, g16_propagated, g17_labels, g18_mapped, g05_schema, f28_short, f20_recency, f18_forms, t01_anchored, t03_timeline, t04_metrics, t05_snapshot, t06_about, t07_changes, t08_relations, t09_stats, t10_reified)}
+QUERIES = {f.__name__: f for f in (g01_statements, s13_ntriples, g03_merged, g06_depths, g07_conditions, g07_medications, g07_procedures, g07_linked, g07_high_trust, g07_temporal, g07_entity_count, g08_cohorts, g09_summary, g09_treated, g09_most_used, g09_comorbid, g09_dated, g10_report, g05_usage, o06_top_properties, j13_two_hops, g15_nodes, g15_edges, g16_propagated, g17_labels, g18_mapped, g05_schema, f28_short, f20_recency, f18_forms, t01_anchored, t03_timeline, t04_metrics, t05_snapshot, t06_about, t07_changes, t07_timeline, t08_relations, t09_stats, t10_reified)}
 
 from factgate.plans.oracles import GRAPH as ORACLE  # noqa: E402

@@ -264,7 +264,8 @@ GRAPH = {
     "g17_labels": f"WITH {_GT} SELECT lower(trim(entity, ' ')) AS node, arg_max(CAST(trust >= 0.6 AS INT), claim_id) AS label FROM cl GROUP BY 1",
     "f20_recency": "SELECT triple_id, CASE WHEN y IS NULL THEN 0.5 ELSE round(greatest(0, least(1, 1 - CAST(0.05 AS DOUBLE) * (2026 - y))), 4) END AS recency FROM (SELECT triple_id, try_cast(regexp_extract(temporal_start, '(19|20)\\d{2}', 0) AS INT) AS y FROM triples)",
     "t05_snapshot": f"WITH {_R} SELECT relation_id, subject, predicate, object FROM r WHERE (lower(coalesce(temporal_start, '')) {_MISSING} OR temporal_start <= '2018') AND (lower(coalesce(temporal_end, '')) {_MISSING} OR temporal_end > '2018')",
-    "t06_about": f"WITH {_R} SELECT relation_id, subject, predicate, object, temporal_start FROM r WHERE subject = 'suloraspramil' OR object = 'suloraspramil'",
+    "t06_about": f"WITH {_R}, rk AS (SELECT *, unnest(list_distinct([subject, object])) AS key FROM r) SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY coalesce(temporal_start, '9999'), relation_id) AS INT) AS nth, relation_id, subject, predicate, object FROM rk WHERE key IN (SELECT lower(canon_name) FROM canon_items WHERE ref_id % 10 = 0)",
+    "t07_timeline": f"WITH {_R}, ch AS (SELECT subject AS cs, predicate AS cp FROM r GROUP BY 1, 2 HAVING count(DISTINCT object) > 1) SELECT subject, predicate, CAST(row_number() OVER (PARTITION BY subject, predicate ORDER BY coalesce(temporal_start, ''), object, relation_id) AS INT) AS nth, coalesce(temporal_start, '') AS temporal_start, object FROM r JOIN ch ON cs = subject AND cp = predicate",
     "t07_changes": f"WITH {_R} SELECT subject, predicate, count(*) AS n, count(DISTINCT object) AS n_objects, arg_min(object, (coalesce(temporal_start, '9999'), relation_id)) AS first_object, arg_max(object, (coalesce(temporal_start, '9999'), relation_id)) AS last_object FROM r GROUP BY 1, 2 HAVING count(DISTINCT object) > 1",
     "t08_relations": f"WITH {_R} SELECT relation_id, subject, predicate, object, subject_type FROM r",
     "t09_stats": f"WITH {_R} SELECT count(*) AS n, count(DISTINCT subject) AS n_subjects, count(DISTINCT predicate) AS n_predicates, count(temporal_start) AS n_dated FROM r",
@@ -447,6 +448,58 @@ SELECT query_id, round(pos, 5) AS pos, round(neg, 5) AS neg, round(pos - neg, 5)
 av AS (SELECT * FROM fa WHERE NOT EXISTS (SELECT 1 FROM sd WHERE sd.note_id = fa.note_id AND contains(said, concept)))
 SELECT concept, count(*) AS n_keyword, (SELECT count(*) FROM fa WHERE fa.concept = f.concept) AS n_false, (SELECT count(*) FROM av WHERE av.concept = f.concept) AS n_avoided FROM f GROUP BY concept""",
 }
+def _found(pattern: str, columns: str, source: str = "notes") -> str:
+    """Every match of a pattern: note_id, m (the match), start and further columns. Offsets are the lengths before it."""
+    return f"""SELECT note_id, ms[i] AS m, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS INT) AS start, {columns}
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT note_id, string_split_regex(text, {q(pattern)}) AS ps, regexp_extract_all(text, {q(pattern)}) AS ms FROM {source} WHERE text <> chr(0)))"""
+
+
+_SECTIONS = " UNION ALL ".join(_found("(?i)" + p, f"{q(n)} AS section") for n, p in vocab.SECTIONS)
+_FULL_MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
+_ABBR_MONTH = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+_ABS = (
+    (r"\b(\d{1,2})/(\d{1,2})/(\d{2,4})\b", (3, 1, 2)), (r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", (1, 2, 3)), (rf"(?i)\b({_FULL_MONTH})\s+(\d{{1,2}}),?\s+(\d{{4}})\b", (3, 1, 2)),
+    (rf"(?i)\b({_FULL_MONTH})\s+(\d{{4}})\b", (2, 1, 0)), (rf"(?i)\b({_ABBR_MONTH})\w*\s+(\d{{1,2}}),?\s*(\d{{4}})?\b", (3, 1, 2)),
+)
+
+
+def _dated(pattern: str, at: tuple[int, int, int], x: str) -> str:
+    """The normal form of the first match of an absolute pattern in x."""
+    y, m, d = (f"regexp_extract({x}, {q(pattern)}, {i})" for i in at)
+    year = f"CASE WHEN {y} = '' THEN '????' WHEN CAST({y} AS INT) < 50 THEN CAST(CAST({y} AS INT) + 2000 AS VARCHAR) WHEN CAST({y} AS INT) < 100 THEN CAST(CAST({y} AS INT) + 1900 AS VARCHAR) ELSE lpad(CAST(CAST({y} AS INT) AS VARCHAR), 4, '0') END"
+    month = f"lpad(CASE WHEN regexp_matches({m}, '^[0-9]') THEN CAST(try_cast({m} AS INT) AS VARCHAR) ELSE CAST((instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(substr({m}, 1, 3))) + 2) // 3 AS VARCHAR) END, 2, '0')"
+    return f"{year} || '-' || {month}" + (f" || '-' || lpad(CAST(CAST({d} AS INT) AS VARCHAR), 2, '0')" if at[2] else "")
+
+
+def _date_rows() -> str:
+    from factgate.functions.mentions import _RELATIVE
+
+    rows = [_found(p, f"{_dated(p, at, 'ms[i]')} AS form, 'absolute' AS kind") for p, at in _ABS]
+    rows += [_found("(?i)" + p.pattern, f"ms[i] AS form, {q(n)} AS kind") for p, n in _RELATIVE]
+    return " UNION ALL ".join(f"SELECT note_id, m AS raw, form, start, CAST(start + length(m) AS INT) AS stop, kind FROM ({r})" for r in rows)
+
+
+def _any(ws: tuple[str, ...]) -> str:
+    import re
+
+    return f"regexp_matches(tt, {q('|'.join(re.escape(w) for w in ws))})"
+
+
+_CATEGORY = f"""CASE WHEN {_any(vocab.TREATMENT_WORDS)} OR section = 'MEDICATIONS' OR (regexp_matches(tt, {q('(?:' + '|'.join(vocab.DRUG_ENDINGS) + ')$')}) AND length(tt) > 4) THEN 'TREATMENT'
+  WHEN {_any(vocab.TEST_WORDS)} OR section IN ('LABS', 'IMAGING', 'PATHOLOGY') THEN 'TEST' WHEN {_any(vocab.PROBLEM_WORDS)} OR section IN ('HPI', 'ASSESSMENT', 'PMH') THEN 'PROBLEM' ELSE 'OTHER' END"""
+_MENTIONS = f"""{_NOTES}, {_FOUND}, hd AS ({_SECTIONS}), ms1 AS (SELECT mt.note_id, substr(text, start + 1, length(name)) AS text, start, CAST(start + length(name) AS INT) AS stop FROM mt),
+sx1 AS (SELECT ms1.*, coalesce((SELECT arg_min(section, (-hd.start, section)) FROM hd WHERE hd.note_id = ms1.note_id AND hd.start < ms1.start), 'UNKNOWN') AS section FROM ms1),
+mn AS (SELECT note_id, text, start, stop, section, {_CATEGORY} AS category FROM (SELECT *, trim(lower(text), ' ') AS tt FROM sx1))"""
+TEXT |= {
+    "f14_sections": f"WITH {_NOTES} SELECT note_id, start, section FROM ({_SECTIONS})",
+    "f17_dates": f"WITH {_NOTES} {_date_rows()}",
+    "m01_mentions": f"WITH {_MENTIONS} SELECT * FROM mn",
+    "f16_candidates": f"WITH {_MENTIONS}, fm AS (SELECT note_id, category, {norm('text')} AS n, min((start, text)) AS m FROM mn GROUP BY 1, 2, 3) SELECT note_id, category, count(*) AS n_mentions, array_to_string(list_transform(list_sort(list(m))[1:200], lambda x: x[2]), ', ') AS line FROM fm GROUP BY 1, 2",
+    "m08_entropy": "SELECT vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 5) AS entropy FROM (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS e FROM embeddings))",
+}
+GRAPH["f18_forms"] = "SELECT triple_id, CASE " + " ".join(f"WHEN regexp_matches(temporal_start, {q(p)}) THEN {_dated(p, at, 'temporal_start')}" for p, at in _ABS) + " END AS form FROM triples WHERE temporal_start IS NOT NULL"
+
+
 def _bm25(corpus: str, queries: str, k: int) -> str:
     """CTEs ending in bm(query_id, doc_id, score, place). corpus(doc_id, text), queries(query_id, text) are CTEs."""
     return f"""bc AS (SELECT doc_id, list_filter(string_split({norm("coalesce(text, '')")}, ' '), lambda w: w <> '') AS ts FROM {corpus}), bs AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM bc),

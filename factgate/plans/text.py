@@ -83,6 +83,31 @@ def m06_extracted(s: SparkSession, d: str) -> DataFrame:
     return notes.extract(_prompts(s, d), _answers).select("note_id", "chunk_no", "pos", "entity", "attribute", "value")
 
 
+def m03_context(s: SparkSession, d: str) -> DataFrame:
+    """The context of each chunk's prompt: code titles and canonical names that the terms of the chunk find (M-03)."""
+    n = _notes(s, d)
+    mentioned = notes.context_mentions(notes.find_terms(n, _terms(s, d)), notes.chunks(n, 1500))
+    terms = mentioned.select("term").distinct()
+    titles = t(s, d, "d_icd_diagnoses").filter("icd9_code is not null").groupBy(F.concat(F.lit("ICD9:"), "icd9_code").alias("doc_id")).agg(F.min("long_title").alias("text"))
+    corpus = titles.unionByName(t(s, d, "canon_items").filter("ref_id is not null").select(F.concat(F.lit("LIST:"), F.col("ref_id").cast("string")).alias("doc_id"), F.col("canon_name").alias("text")))
+    hits = retrieval.bm25(corpus, terms.select(F.col("term").alias("query_id"), F.col("term").alias("text")), notes.CONTEXT_HITS)
+    named = hits.join(corpus, "doc_id").select(F.col("query_id").alias("term"), F.col("text").alias("title"), F.col("doc_id").alias("code"), "score", "place")
+    return notes.ontology_context(mentioned, named)
+
+
+def m08_entropy(s: SparkSession, d: str) -> DataFrame:
+    """Entropy of the softmax of each vector, the formula of a generator's token entropy (M-08, F-31)."""
+    e = F.transform("embedding", lambda x: F.exp(x.cast("double")))
+    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return t(s, d, "embeddings").select("vec_id", F.round(notes.entropy(F.array(F.transform(e, lambda x: x / total))), 5).alias("entropy"))
+
+
+def h2_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Chunks by a table function called from SQL (H-2)."""
+    name = notes.register_chunk_note(s)
+    return s.sql(f"SELECT note_id, c.* FROM {{n}}, LATERAL {name}(text, 1500) AS c", n=_notes(s, d).select("note_id", "text"))
+
+
 def f24_negation(s: SparkSession, d: str) -> DataFrame:
     """All and positive occurrences of the ten concepts by note (F-24)."""
     x = _notes(s, d).select("note_id", *(F.struct(*(c.alias(n) for c, n in zip(clinical.positive_mentions(F.col("text"), k), ("n_all", "n_positive"), strict=True))).alias(k) for k in vocab.CONCEPTS))
@@ -197,6 +222,6 @@ def f35_props(s: SparkSession, d: str) -> DataFrame:
     return x.select("event_id", F.col("p.k").alias("k"), F.to_json(F.struct((F.col("p.k") * 2).alias("k"))).alias("doubled"))
 
 
-QUERIES = {f.__name__: f for f in (w09_first_notes, f17_dates, f14_sections, m01_mentions, f16_candidates, m02_chunks, m05_in_turn, m06_extracted, f24_negation, e09_keyword, r02_bm25, r03_dense, r08_options, r05_fused, r06_enriched, r07_lines, r10_augmented, f22_answers, f21_salvage, f35_props)}
+QUERIES = {f.__name__: f for f in (w09_first_notes, f17_dates, f14_sections, m01_mentions, f16_candidates, m02_chunks, m03_context, m05_in_turn, m06_extracted, m08_entropy, h2_chunks, f24_negation, e09_keyword, r02_bm25, r03_dense, r08_options, r05_fused, r06_enriched, r07_lines, r10_augmented, f22_answers, f21_salvage, f35_props)}
 
 from factgate.plans.oracles import TEXT as ORACLE  # noqa: E402
