@@ -70,7 +70,10 @@ def _prefix(size: Column) -> Column:
 
 def _ranked(items: DataFrame, ranks: DataFrame) -> DataFrame:
     """key, text, r (the ranks of its pairs, rarest first), n, bits (a 64-bit map of the ranks). Partitioned by key once; nothing after it moves."""
-    rows = items.repartition("key").select("key", "text", F.explode(pairs(F.col("text"))).alias("pair"))
+    spark = items.sparkSession
+    # a stated number is kept by adaptive execution, which would read so few bytes in one task
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = items.repartition(parts, "key").select("key", "text", F.explode(pairs(F.col("text"))).alias("pair"))
     return rows.join(ranks, "pair").groupBy("key", "text").agg(F.array_sort(F.collect_list("rank")).alias("r"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("rank") % 64)).alias("bits")).withColumn("n", F.size("r"))
 
 
