@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from factgate.functions.text import trim_blanks
 from factgate.session import cut_lineage
+from factgate.tables import is_small
 
 #: Entries (12 bytes each) of a model that is sent to the tasks.
 MAX_LOCAL = 300_000
 #: Bands: so many standard deviations of log perplexity around a language's mean.
 WIDTH = 2.0
 LEAST_WORDS = 5
+#: Tables of one row a language are broadcast up to so many languages.
+MAX_LANGUAGES = 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -88,7 +91,7 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
     return got.groupBy("h3").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("uv", "vw", "v", "w", "lang")))
 
 
-def _discounts(counts: DataFrame, n: str) -> DataFrame:
+def _discounts(counts: DataFrame, n: str, hint=F.broadcast) -> DataFrame:
     """d1, d2, d3 of each language from its numbers of n-grams seen once to four times."""
     s = counts.groupBy("lang").agg(*(F.count_if(F.col(n) == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
@@ -97,7 +100,7 @@ def _discounts(counts: DataFrame, n: str) -> DataFrame:
         raw = i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1))
         return F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), raw)).alias(f"d{i}")
 
-    return F.broadcast(s.select("lang", d(1), d(2), d(3)))  # one row a language
+    return hint(s.select("lang", d(1), d(2), d(3)))  # one row a language
 
 
 def _discount(n: Column) -> Column:
@@ -114,14 +117,15 @@ def _interpolated(n: Column, lower: Column) -> Column:
     return (n - _discount(n)) / F.col("mass") + freed * lower
 
 
-def train(tri: DataFrame) -> DataFrame:
-    """h3, logp: interpolated modified Kneser-Ney probability of every trigram seen. tri: count_trigrams, best checkpointed."""
+def train(tri: DataFrame, hint=F.broadcast) -> DataFrame:
+    """h3, logp: interpolated modified Kneser-Ney probability of every trigram seen. tri: count_trigrams, best checkpointed. hint: how
+    tables of one row a language are joined."""
     bi = tri.groupBy("vw").agg(F.count("*").alias("n"), F.min("v").alias("v"), F.min("w").alias("w"), F.min("lang").alias("lang"))
     uni = bi.groupBy("w").agg(F.count("*").alias("n"), F.min("lang").alias("lang"))
-    whole = F.broadcast(_context(uni, "lang", "n").join(uni.groupBy("lang").agg(F.count("*").alias("words")), "lang"))
-    p1 = uni.join(_discounts(uni, "n"), "lang").join(whole, "lang").select("w", _interpolated(F.col("n"), 1 / F.col("words")).alias("p1"))
-    p2 = bi.join(_discounts(bi, "n"), "lang").join(_context(bi, "v", "n"), "v").join(p1, "w").select("vw", _interpolated(F.col("n"), F.col("p1")).alias("p2"))
-    p3 = tri.join(_discounts(tri, "n"), "lang").join(_context(tri, "uv", "n"), "uv").join(p2, "vw")
+    whole = hint(_context(uni, "lang", "n").join(uni.groupBy("lang").agg(F.count("*").alias("words")), "lang"))
+    p1 = uni.join(_discounts(uni, "n", hint), "lang").join(whole, "lang").select("w", _interpolated(F.col("n"), 1 / F.col("words")).alias("p1"))
+    p2 = bi.join(_discounts(bi, "n", hint), "lang").join(_context(bi, "v", "n"), "v").join(p1, "w").select("vw", _interpolated(F.col("n"), F.col("p1")).alias("p2"))
+    p3 = tri.join(_discounts(tri, "n", hint), "lang").join(_context(tri, "uv", "n"), "uv").join(p2, "vw")
     return p3.select("h3", F.ln(_interpolated(F.col("n"), F.col("p2"))).cast("float").alias("logp"))
 
 
@@ -167,12 +171,14 @@ def perplexity_bands(docs: DataFrame, width: float = WIDTH, max_local: int = MAX
     """
     docs = docs.select("doc_id", "text", _lang())
     tri = cut_lineage(count_trigrams(docs.select("text", "lang")))
-    model = train(tri)
+    # languages are free text: their tables are broadcast only if few are counted
+    hint = F.broadcast if is_small(docs.select("lang").distinct(), MAX_LANGUAGES) else (lambda df: df)
+    model = train(tri, hint)
     local = tri.limit(max_local + 1).count() <= max_local
     scored = cut_lineage(_scored_locally(docs, model) if local else _scored_joined(docs, model))
     loss = F.when(F.col("n_words") >= LEAST_WORDS, -F.col("logp") / F.col("n_words"))
     scored = scored.select("doc_id", "lang", "n_words", loss.alias("loss"))
     level = scored.groupBy("lang").agg(F.avg("loss").alias("mean"), F.coalesce(F.stddev_pop("loss"), F.lit(0.0)).alias("sd"))
-    x = scored.join(F.broadcast(level), "lang")  # one row a language
+    x = scored.join(hint(level), "lang")  # one row a language
     band = F.when(F.col("loss").isNull(), "short").when(F.col("loss") < F.col("mean") - width * F.col("sd"), "low").when(F.col("loss") > F.col("mean") + width * F.col("sd"), "high").otherwise("ok")
     return x.select("doc_id", "lang", "n_words", F.round(F.exp("loss"), 4).alias("perplexity"), band.alias("band"))

@@ -177,7 +177,6 @@ def assign_splits(groups: DataFrame, records: DataFrame, targets: DataFrame, see
         def chain(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in parts:
                 for c in p["id"]:
-                
                     cost, at = anneal(vec, _hashed(ids, shares, seed + int(c)), goal * (vec.sum(0) / np.maximum(total, 1.0)), scale, seed + int(c), STEPS)
                     yield pd.DataFrame({"cost": [cost], "chain": [c], "at": [at.tolist()]})
 
