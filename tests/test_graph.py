@@ -54,3 +54,9 @@ def test_dated_events_of_one_entity_are_spread_over_tasks(spark, tables, monkeyp
     df = graph.g09_dated(spark, tables(rows))
     n = df.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
     assert sum(n) == 900 and max(n) < 450
+
+
+def test_spaces_of_any_kind_are_cut_off_names(spark, tables):
+    rows = [(1, "Gout", "status", "mild", "2019-01-01"), (2, "Gout\u00a0\u2009", "status", "mild\u3000", "2019-01-02\u00a0"), (3, "\u2009No\u00a0grip ", "status", "x", "2019-01-03")]
+    times = ("2019-01-01", "2019-01-02")
+    assert found(graph.g09_dated(spark, tables(rows))) == sorted([*((f"patient:s{p}", "Gout", t) for p in (1, 2) for t in times), ("patient:s3", "No\u00a0grip", "2019-01-03")])
